@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -115,3 +116,11 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends[:-1] &= space[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(at, start, "right") - 1
+
+
+def pinned(df: DataFrame, **columns) -> DataFrame:
+    """The frame with more columns, each computed once a row: without a generator in between, the optimizer would copy
+    the expression into every lambda that uses it."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(F.expr(column) if isinstance(column, str) else column)).alias(name))
+    return df

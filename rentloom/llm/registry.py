@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from rentloom.llm import exact_dedup, packing
+from rentloom.llm import exact_dedup, line_dedup, packing, secret_scan
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
+}
+ORACLE = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
 }
-ORACLE = {"op8_exact_dedup": exact_dedup.ORACLE}
