@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rentloom.llm import exact_dedup, jaccard_join, line_dedup, packing, secret_scan
+from rentloom.llm import byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, secret_scan
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
