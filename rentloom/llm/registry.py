@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, secret_scan
+from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_avi_mjpeg": avi_mjpeg.op2_avi_mjpeg,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
