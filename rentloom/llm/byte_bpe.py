@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.chunks import chunk_name
+from rentloom.llm.chunks import bucket_count, chunk_name
 from rentloom.llm.common import slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -175,12 +175,12 @@ def _dictionary(hashes: np.ndarray, answers: list[dict], buckets: int) -> list[l
     return out
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, buckets: int = 64, with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, buckets: int | None = None, with_ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, and ids (array of int) unless it is left out.
 
     No special tokens. A null text is empty and has no ids; null or repeated ids are kept as they are.
     """
-    path = path or _default_path()
+    path, buckets = path or _default_path(), buckets or bucket_count(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     more = ", ids array<int>" if with_ids else ""

@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from rentloom.llm.common import slices
 
-BUCKETS = 64
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two, twice the shuffle partitions at least, so that buckets stay small as the input grows."""
+    return 1 << (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
 
 def chunk_name(part: pa.RecordBatch) -> int:
@@ -60,12 +64,13 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFram
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, text string, chunk long")
 
 
-def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callable, limit: int, buckets: int = BUCKETS) -> DataFrame:
+def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callable, limit: int, bits: int = 64) -> DataFrame:
     """(chunk, keys): per chunk and bucket the packed keys that recur.
 
     keys_of(part) gives a sorted array of distinct keys of a chunk, and a mask of those that recur within it. The mask
-    travels as the lowest bit of a key.
+    travels beside them. Keys have as many bits as given.
     """
+    buckets = bucket_count(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +79,7 @@ def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callabl
                 if not len(keys):
                     continue
                 name = chunk_name(part)
-                cut = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets - 1).bit_length()))
+                cut = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - (buckets - 1).bit_length()))
                 own = [(b, name, pack_keys(k), np.packbits(t).tobytes()) for b, (k, t) in enumerate(zip(np.split(keys, cut), np.split(twice, cut), strict=True)) if len(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own, strict=True)], names=["bucket", "chunk", "keys", "twice"])
 
@@ -97,9 +102,9 @@ def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callabl
     return sent.groupBy("bucket").applyInArrow(meet, "chunk long, keys binary")
 
 
-def with_recurring(docs: DataFrame, id_col: str, text_col: str, keys_of: Callable, use: Callable, schema: str, limit: int) -> DataFrame:
+def with_recurring(docs: DataFrame, id_col: str, text_col: str, keys_of: Callable, use: Callable, schema: str, limit: int, bits: int = 64) -> DataFrame:
     """use(ids, texts, keys) -> pa.Table for every chunk that has recurring keys: its rows and those keys, sorted."""
-    found = recurring_keys(docs, id_col, text_col, keys_of, limit)
+    found = recurring_keys(docs, id_col, text_col, keys_of, limit, bits)
 
     def join(rows: pa.Table, blobs: pa.Table) -> pa.Table:
         if not len(blobs):
