@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, toxicity
+from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_suffix_dedup": substring_dedup.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
