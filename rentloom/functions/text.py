@@ -103,7 +103,7 @@ def bathrooms(c: Column | str) -> Column:
 
 def title_from_slug(slug: Column | str, capitals: bool = True) -> Column:
     """The last path segment as words; a plus sign stays one."""
-    raw = F.regexp_extract(_col(slug), r"([^/?#]+)(?:\.html)?/?(?:[?#].*)?$", 1)
+    raw = F.regexp_extract(_col(slug), r"([^/?#]+?)(?:\.html)?/?(?:[?#].*)?$", 1)
     text = squeeze(F.replace(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), F.lit("-"), F.lit(" ")))
     return F.nullif(F.initcap(text) if capitals else text, F.lit(""))
 

@@ -37,7 +37,7 @@ def unpivot_months(df: DataFrame, ids: list[str], value: str, start: str | None
     read at all."""
     months = [c for c in month_columns(df) if start is None or c >= start]
     wide = df.select(*ids, *[F.expr(f"try_cast(`{m}` AS DOUBLE)").alias(m) for m in months])
-    return wide.unpivot(ids, months, "date", value).withColumn("date", F.try_to_timestamp("date"))
+    return wide.unpivot([F.col(c) for c in ids], [F.col(f"`{m}`") for m in months], "date", value).withColumn("date", F.try_to_timestamp("date"))
 
 
 def not_in(c: Column | str, values: list) -> Column:

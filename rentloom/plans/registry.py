@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from rentloom.plans import queries_relational, queries_scalar
+
+QUERIES: dict = queries_scalar.QUERIES | queries_relational.QUERIES
+ORACLE: dict = queries_scalar.ORACLE | queries_relational.ORACLE

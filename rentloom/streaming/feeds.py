@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A folder of Parquet files as a stream. Times without a zone are taken in the session's, as watermarks need one."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    plain = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
+    return raw.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else raw
 
 
 def first_seen_stream(stream: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
