@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -98,6 +98,12 @@ def stretch_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def every_stretch(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all stretches of n bytes, as ``stretch_hash`` gives them."""
+    _, down = powers(len(sums))
+    return mix((sums[n:] - sums[:-n]) * down[: len(sums) - n] + np.uint64(n))
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, all other bytes as they are."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -116,7 +122,7 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = ~space
     ends[:-1] &= space[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return start, end, np.searchsorted(at, start, "right") - 1
+    return start, end, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
 
 
 def pinned(df: DataFrame, **columns) -> DataFrame:

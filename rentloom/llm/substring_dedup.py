@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.chunks import bucket_count, with_recurring
-from rentloom.llm.common import buffer_of, materialize, mix, prefix_hash, slices, stretch_hash
+from rentloom.llm.common import buffer_of, every_stretch, materialize, mix, prefix_hash, slices, stretch_hash
 from rentloom.llm.suffix_groups import suffix_order
 
 LENGTH = 100
@@ -32,7 +32,7 @@ GRAM = 32
 SIDE = (LENGTH - GRAM) // 2
 WIDE = GRAM + SIDE
 KEY_BITS = 48
-CHUNK = 4 << 20
+CHUNK = 3 << 19
 U = np.uint64
 _LOW = U((1 << 24) - 1)
 
@@ -43,8 +43,7 @@ def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none
-    start = np.arange(n - GRAM + 1)
-    tag = (stretch_hash(sums, start, start + GRAM) & ~_LOW) | (start.astype(U) & _LOW)
+    tag = (every_stretch(sums, GRAM) & ~_LOW) | (np.arange(n - GRAM + 1, dtype=U) & _LOW)
     w = LENGTH - GRAM + 1
     rows = -(-len(tag) // w) * w
     full = np.full(rows, np.iinfo(np.uint64).max, U)
@@ -55,7 +54,7 @@ def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndar
     count = n - LENGTH + 1
     least = np.minimum(back[:count], ahead[w - 1 : w - 1 + count])
     first = np.arange(count)
-    row = np.searchsorted(at, first, "right") - 1
+    row = np.repeat(np.arange(len(at) - 1), np.diff(np.minimum(at, count)))
     inside = first + LENGTH <= at[row + 1]
     first, row = first[inside], row[inside]
     # Positions are kept modulo 2^24, which is more than the windows of one anchor span.
