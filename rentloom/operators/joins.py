@@ -40,7 +40,6 @@ def asof_join(left: DataFrame, panel: DataFrame, values: list[str], month: str =
     series of months, whose length the calendar bounds.
     """
     keys = [key] if key else []
-    part = W.partitionBy(*keys).orderBy("__pm") if key else W.partitionBy(F.lit(1)).orderBy("__pm")
     spans = panel.where(F.col(month).isNotNull()).select(*[F.col(k).alias("__pk") for k in keys], F.col(month).alias("__pm"), *[F.col(v).alias(f"__{v}") for v in values])
     part = W.partitionBy("__pk").orderBy("__pm") if key else W.partitionBy(F.lit(1)).orderBy("__pm")
     spans = spans.withColumn("__next", F.lead("__pm").over(part))
@@ -69,36 +68,33 @@ def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, k: a + crossing(k.cast("int"))) % 2 == 1
 
 
+def _first_hit(areas: Column, lon: Column, lat: Column) -> Column:
+    """Of an array of (name, contour, position), the name of the first by position that holds a point."""
+    hits = F.filter(areas, lambda a: inside_ring(lon, lat, a["contour"]))
+    return F.array_min(F.transform(hits, lambda a: F.struct(a["position"].alias("position"), a["name"].alias("name"))))["name"]
+
+
 def assign_area(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", cell: float = 0.02) -> DataFrame:
     """Adds the area that each point is in, null outside; of several the one with the least position.
 
-    Areas are cut into grid cells, points fall into one; the join is on the cell, with the ring as residual condition.
+    Areas are cut into grid cells, and each cell has the list of its areas; a point meets that list by an equi-join on
+    its cell, so no point is duplicated or grouped again.
     """
-    box = areas.select(
-        F.col(name).alias("__a"),
-        "contour",
-        "position",
-        *[F.expr(f"array_{how}(transform(contour, p -> p[{k}]))").alias(f"__{how}{k}") for how in ("min", "max") for k in (0, 1)],
-    )
-    steps = lambda k: F.sequence(F.floor(F.col(f"__min{k}") / cell), F.floor(F.col(f"__max{k}") / cell))
-    cells = box.withColumn("__cx", F.explode(steps(0))).withColumn("__cy", F.explode(steps(1)))
-    tagged = points.withColumns({"__row": F.monotonically_increasing_id(), "__px": F.floor(F.col(lon) / cell), "__py": F.floor(F.col(lat) / cell)})
-    near = tagged.join(cells, (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")) & F.col(lon).between(F.col("__min0"), F.col("__max0")) & F.col(lat).between(F.col("__min1"), F.col("__max1")))
-    hits = near.where(inside_ring(F.col(lon), F.col(lat), F.col("contour"))).groupBy("__row").agg(F.min_by("__a", "position").alias(name))
-    return tagged.drop(name).join(hits, "__row", "left").drop("__row", "__px", "__py")
-
-
-def assign_area_small(points: DataFrame, areas: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon", name: str = "zip_code", most: int = 10_000) -> DataFrame:
-    """As ``assign_area`` for an areas table of at most ``most`` rows, which is checked: it is broadcast and points never
-    move. ``key`` names columns that tell points apart."""
-    held = areas.limit(most + 1).count()
-    if held > most:
+    box = areas.select(F.struct(F.col(name).alias("name"), "contour", "position").alias("area"), *[F.expr(f"array_{how}(transform(contour, p -> p[{k}]))").alias(f"{how}{k}") for how in ("min", "max") for k in (0, 1)])
+    steps = lambda k: F.sequence(F.floor(F.col(f"min{k}") / cell), F.floor(F.col(f"max{k}") / cell))
+    cells = box.withColumn("__cx", F.explode(steps(0))).withColumn("__cy", F.explode(steps(1))).groupBy("__cx", "__cy").agg(F.collect_list("area").alias("__areas"))
+    tagged = points.drop(name).withColumns({"__cx": F.floor(F.col(lon) / cell), "__cy": F.floor(F.col(lat) / cell)})
+    near = tagged.join(cells, ["__cx", "__cy"], "left")
+    return near.withColumn(name, _first_hit(F.col("__areas"), F.col(lon), F.col(lat))).drop("__cx", "__cy", "__areas")
+
+
+def assign_area_small(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", most: int = 10_000) -> DataFrame:
+    """As ``assign_area`` for an areas table of at most ``most`` rows, which is checked: it is broadcast as one row and
+    points never move."""
+    if areas.limit(most + 1).count() > most:
         return assign_area(points, areas, lat, lon, name)
-    small = F.broadcast(areas.select(F.col(name).alias("__a"), "contour", "position"))
-    joined = points.drop(name).join(small, inside_ring(F.col(lon), F.col(lat), F.col("contour")), "left")
-    rest = [c for c in points.columns if c not in key and c != name]
-    out = joined.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], F.min_by("__a", "position").alias(name))
-    return out.select(*[c for c in points.columns if c != name], name)
+    one = areas.agg(F.collect_list(F.struct(F.col(name).alias("name"), "contour", "position")).alias("__areas"))
+    return points.drop(name).crossJoin(F.broadcast(one)).withColumn(name, _first_hit(F.col("__areas"), F.col(lon), F.col(lat))).drop("__areas")
 
 
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ def areas(spark):
 
 def test_points(spark, areas):
     points = spark.createDataFrame([(1, 37.745, -122.415), (2, 37.775, -122.405), (3, 0.0, 0.0), (4, None, -122.4), (5, 37.7, None)], "k int, lat double, lon double")
-    for out in (J.assign_area(points, areas), J.assign_area_small(points, areas, ["k"])):
+    for out in (J.assign_area(points, areas), J.assign_area_small(points, areas)):
         assert {r.k: r.zip_code for r in out.collect()} == {1: "94110", 2: "94103", 3: None, 4: None, 5: None}
 
 
