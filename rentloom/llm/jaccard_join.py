@@ -11,8 +11,9 @@ left are compared in full.
 Bands double in size. A set is sketched for its own band and, when a set of the band below can be 0.8 of its size, for
 that band too. Equal sets are one class throughout, so copies cost nothing.
 
-Within a block's holders each is first compared with the smallest class only, and components are formed of the links
-found; after that only holders in different components remain to be compared, all with all.
+Within a block's holders each is first compared with one only, one of a few with the fewest blocks that recur nowhere.
+Components are formed of the links found, and holders that are still apart are compared with the one that has the most
+links, which is what copies were made of rather than a changed copy; after that only holders in different components remain to be compared, all with all.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.chunks import with_recurring
+from rentloom.llm.chunks import bucket_count, pack_keys, unpack_keys, with_recurring
 from rentloom.llm.common import buffer_of, lower_ascii, materialize, mix, prefix_hash, slices, stretch_hash, word_bounds
 from rentloom.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-CHUNK = 8 << 20
+CHUNK = 2 << 20
+KEY_BITS = 48
+HUBS = 4
+FAMILY_BLOCK = 500
+ROUNDS = 1
 U = np.uint64
 
 
@@ -41,21 +46,28 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.int64), np.zeros(0, U)
     word = stretch_hash(prefix_hash(data), start, end)
     count = np.bincount(row, minlength=len(column))
-    shingle = np.zeros(len(word), U)
+    ends = np.cumsum(count)
+    whole = np.flatnonzero(ends[row] - np.arange(len(row)) >= words)
+    shingle = np.zeros(len(whole), U)
     for k in range(words):
-        part = np.zeros(len(word), U)
-        part[: len(word) - k or None] = word[k:]
-        same = np.zeros(len(word), bool)
-        same[: len(word) - k or None] = row[k:] == row[: len(row) - k or None]
-        shingle = np.where(same, mix(shingle * U(0x9E3779B97F4A7C15) + part + U(k + 1)), shingle)
-    left = np.searchsorted(row, row, "right") - np.arange(len(row))
-    keep = (left >= words) | ((count[row] < words) & (left == count[row]))
-    row, shingle = row[keep], mix(shingle[keep])
-    order = np.lexsort((shingle, row))
-    row, shingle = row[order], shingle[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
-    return row[first], shingle[first]
+        shingle += word[whole + k] * U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    shingle, of = mix(shingle), row[whole]
+    short = np.flatnonzero((count > 0) & (count < words))
+    if len(short):
+        # All words of a short text together, marked with their number.
+        extra = []
+        for r in short:
+            own = word[ends[r] - count[r] : ends[r]]
+            extra.append(sum(int(w) * pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k, w in enumerate(own)) + (int(count[r]) << 60) & (1 << 64) - 1)
+        shingle, of = np.concatenate([shingle, mix(np.array(extra, U))]), np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        shingle, of = shingle[order], of[order]
+    cut = np.searchsorted(of, np.arange(len(column) + 1))
+    for r in np.flatnonzero(np.diff(cut)):
+        shingle[cut[r] : cut[r + 1]].sort()
+    first = np.ones(len(of), bool)
+    first[1:] = (of[1:] != of[:-1]) | (shingle[1:] != shingle[:-1])
+    return of[first], shingle[first]
 
 
 def class_ids(row: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,16 +87,20 @@ def band_of(size: np.ndarray) -> np.ndarray:
     return np.frexp(size.astype(float))[1] - 1
 
 
-def band_shape(band: int) -> tuple[int, int]:
-    """(blocks, most that two linked sets differ by) of a band; a set of the band above has at most 1.25 of its top."""
+def block_count(band: int) -> int:
+    """Blocks of a band's sketches: about 3.2 shingles a block at the band's top. Up to 4 a block, more blocks hold
+    something than linked sets can differ by."""
     top = (2 << band) - 1
-    most = (top + top * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
-    blocks = max(most + 2, int(np.ceil(top / 3.2)) if top > 100 else top)
-    return blocks, most
+    return max(2, int(np.ceil(top / 3.2)) if top > 100 else top)
 
 
-def block_keys(row: np.ndarray, shingle: np.ndarray, size: np.ndarray, below: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key) of the blocks of each set, for its own band or the one below where that can hold a partner."""
+def most_different(size: np.ndarray) -> np.ndarray:
+    """The most that a set of this size and any set linked with it can differ by: (|A| + |B|) / 9 at 80 percent."""
+    return (size + size * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def block_keys(row: np.ndarray, shingle: np.ndarray, size: np.ndarray, below: bool) -> tuple[np.ndarray, ...]:
+    """(row, band, whether it holds anything, key) of the blocks of each set, for its own band or the one below where that can hold a partner."""
     band = band_of(size) - below
     use = size > 0
     if below:
@@ -92,29 +108,23 @@ def block_keys(row: np.ndarray, shingle: np.ndarray, size: np.ndarray, below: bo
     pick = use[row]
     row, shingle = row[pick], shingle[pick]
     if not len(row):
-        return row, row, shingle
-    shapes = np.array([band_shape(b) for b in range(int(band.max()) + 1)], dtype=np.int64)
-    band_r = band[row]
-    block = (mix(shingle ^ U(0xA5A5)) >> U(33)).astype(np.int64) % shapes[band_r, 0]
-    order = np.lexsort((block, row))
-    row, block, shingle, band_r = row[order], block[order], shingle[order], band_r[order]
-    cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-    held = np.bitwise_xor.reduceat(shingle, cut)
-    r, b, bd = row[cut], block[cut], band_r[cut]
-    filled = np.bincount(r, minlength=len(size))
+        return row, row, row > 0, shingle
+    shapes = np.array([block_count(b) for b in range(int(band.max()) + 1)], dtype=np.int64)
+    blocks = np.where(use, shapes[np.maximum(band, 0)], 0)
+    base = np.concatenate([[0], np.cumsum(blocks)])
+    at = base[row] + (mix(shingle ^ U(0xA5A5)) >> U(33)).astype(np.int64) % blocks[row]
+    held, filled = np.zeros(base[-1], U), np.zeros(base[-1], bool)
+    np.bitwise_xor.at(held, at, shingle)
+    filled[at] = True
+    r = np.repeat(np.arange(len(size)), blocks)
     # Fewer filled blocks than may differ: such a set also meets others like it by its empty blocks.
-    thin = np.flatnonzero(use & (filled <= shapes[np.maximum(band, 0), 1]))
-    more_r, more_b = [], []
-    for x in thin:
-        lo, hi = np.searchsorted(r, [x, x + 1])
-        empty = np.setdiff1d(np.arange(shapes[band[x], 0]), b[lo:hi])
-        more_r.append(np.full(len(empty), x))
-        more_b.append(empty)
-    if more_r:
-        r, b = np.concatenate([r, *more_r]), np.concatenate([b, *more_b])
-        held = np.concatenate([held, np.zeros(len(r) - len(held), U)])
-        bd = band[r]
-    return r, bd, mix(mix(held + U(7)) ^ mix((bd.astype(U) << U(40)) ^ b.astype(U)))
+    thin = use & (np.bincount(r[filled], minlength=len(size)) <= most_different(size))
+    sent = np.flatnonzero(filled | thin[r])
+    r, b, held, real = r[sent], (np.arange(base[-1]) - base[r])[sent], held[sent], filled[sent]
+    bd = band[r]
+    key = mix(mix(held + U(7)) ^ mix((bd.astype(U) << U(40)) ^ b.astype(U))) >> U(64 - KEY_BITS)
+    # The lowest bit tells the two bands apart that a set is sketched for.
+    return r, bd, real, (key & ~U(1)) | (bd.astype(U) & U(1))
 
 
 def _keys(column: pa.Array):
@@ -140,12 +150,17 @@ def _keys_of(part: pa.RecordBatch):
 
 def _holders(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
     """One row per class of a chunk that holds recurring blocks: class, n, filled blocks by band, bands, keys, shingles."""
-    row, shingle, size, name, r, band, key = _keys(texts)
+    row, shingle, size, name, r, band, real, key = _keys(texts)
     own = band_of(size)
-    filled = [np.bincount(r[band == own[r] - below], minlength=len(size)) for below in (0, 1)]
+    filled = [np.bincount(r[real & (band == own[r] - below)], minlength=len(size)) for below in (0, 1)]
     at = np.searchsorted(again, key)
     at[at == len(again)] = 0
     hit = again[at] == key
+    # A set whose blocks that recur nowhere are more than may differ has no partner in that band.
+    below = (band != own[r]).astype(np.int64)
+    recurring = np.bincount(2 * r[hit] + below[hit], minlength=2 * len(size))
+    every = np.stack(filled, 1).ravel()
+    hit &= every[2 * r + below] - recurring[2 * r + below] <= most_different(size)[r]
     order = np.argsort(r[hit], kind="stable")
     r, band, key = r[hit][order], band[hit][order], key[hit][order]
     rows = np.unique(r)
@@ -159,9 +174,11 @@ def _holders(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
             "own": pa.array(own[rows], pa.int32()),
             "f0": pa.array(filled[0][rows], pa.int32()),
             "f1": pa.array(filled[1][rows], pa.int32()),
+            "u0": pa.array(filled[0][rows] - recurring[2 * rows], pa.int32()),
+            "u1": pa.array(filled[1][rows] - recurring[2 * rows + 1], pa.int32()),
             "bands": pa.array([band[a:b].astype(np.int32) for a, b in zip(k0, k1, strict=True)], pa.list_(pa.int32())),
             "keys": pa.array([signed[a:b] for a, b in zip(k0, k1, strict=True)], pa.list_(pa.int64())),
-            "shingles": pa.array([shingle[a:b].tobytes() for a, b in zip(s0, s1, strict=True)], pa.binary()),
+            "shingles": pa.array([pack_keys(shingle[a:b] >> U(64 - KEY_BITS)) for a, b in zip(s0, s1, strict=True)], pa.binary()),
         }
     )
 
@@ -171,7 +188,7 @@ def _linked(batches):
     for batch in batches:
         keep = np.zeros(len(batch), bool)
         for k, (a, b) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-            x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
+            x, y = unpack_keys(a.as_py()), unpack_keys(b.as_py())
             same = np.searchsorted(x, y)
             same[same == len(x)] = 0
             both = int((x[same] == y).sum())
@@ -181,22 +198,40 @@ def _linked(batches):
             yield out
 
 
-def verified(pairs: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough. The side with more pairs is joined first."""
-    sets = holders.select("cls", "shingles")
-    joined = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = joined.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. Only nodes that are in pairs move their sets."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = sets.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    joined = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    joined = joined.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long")
 
 
-def sketch_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) that the sketches allow, from one row per block that both hold (a, fa, b, fb, band).
+_MOST = f"(({{0}}) * {100 - PERCENT}) div {100 + PERCENT}"
+
 
-    Each filled block of one side that the other doesn't share stands for one shingle of difference at least.
+def sketch_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, that the sketches allow, from one row (a, b, key) per block that both hold.
+
+    Each filled block of one side that the other doesn't share stands for one shingle of difference at least, in the
+    band of the smaller set.
     """
-    most = F.array(*[F.lit(band_shape(b)[1]) for b in range(40)])
-    shared = pairs.groupBy("a", "b", "band", "fa", "fb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where(F.greatest("fa", "fb") - F.col("shared") <= F.element_at(most, F.col("band") + 1)).select("a", "b").distinct()
+    odd = F.col("key") % 2 == 1
+    shared = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), odd.alias("odd")).groupBy("a", "b").agg(F.count_if("odd").alias("odd"), F.count_if(~F.col("odd")).alias("even"))
+    side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "f0", "f1")])
+    both = shared.join(side("a"), "a").join(side("b"), "b")
+    fa = F.when(F.col("own_a") > F.col("own_b"), F.col("f1_a")).otherwise(F.col("f0_a"))
+    fb = F.when(F.col("own_b") > F.col("own_a"), F.col("f1_b")).otherwise(F.col("f0_b"))
+    held = F.when(F.least("own_a", "own_b") % 2 == 1, F.col("odd")).otherwise(F.col("even"))
+    alike = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
+    return both.where(alike & (F.greatest(fa, fb) - held <= F.expr(_MOST.format("n_a + n_b")))).select("a", "b")
+
+
+def star_pairs(blocks: DataFrame, order, nodes: DataFrame) -> DataFrame:
+    """Pairs of each block's holders with the one that comes first in an order, as far as they are still apart."""
+    hubs = blocks.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("h"), F.min("c").alias("x"), F.max("c").alias("y")).where("x != y")
+    met = blocks.join(hubs.select("key", F.col("h.node").alias("a"), F.col("h.c").alias("ca")), "key").where("c != ca")
+    return sketch_pairs(met.select("a", F.col("node").alias("b"), "key"), nodes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,26 +260,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def class_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect whatever is linked."""
-    schema = "cls long, n int, own int, f0 int, f1 int, bands array<int>, keys array<long>, shingles binary"
-    held = with_recurring(docs, id_col, text_col, _keys_of, _holders, schema, CHUNK)
+    schema = "cls long, n int, own int, f0 int, f1 int, u0 int, u1 int, bands array<int>, keys array<long>, shingles binary"
+    held = with_recurring(docs, id_col, text_col, _keys_of, _holders, schema, CHUNK, KEY_BITS)
     holders = materialize(held, "jaccard-holders")
-    single = holders.dropDuplicates(["cls"])
-    blocks = single.select("cls", "own", "f0", "f1", F.explode(F.arrays_zip("bands", "keys")).alias("x")).select("cls", F.col("x.keys").alias("key"), F.col("x.bands").alias("band"), F.when(F.col("x.bands") == F.col("own"), F.col("f0")).otherwise(F.col("f1")).alias("f"))
-    least = blocks.groupBy("key").agg(F.min(F.struct("cls", "f")).alias("least"), F.max("cls").alias("z")).where("least.cls != z")
-    starred = blocks.join(least, "key").where("cls != least.cls")
-    starred = starred.select(F.col("least.cls").alias("a"), F.col("least.f").alias("fa"), F.col("cls").alias("b"), F.col("f").alias("fb"), "band")
-    first = materialize(sketch_pairs(starred), "jaccard-first")
-    links = materialize(verified(first, single), "jaccard-links")
-    parts = components(links)
-    # Holders of one block that are still apart.
-    placed = blocks.join(parts, F.col("cls") == F.col("node"), "left").select("key", "band", "cls", "f", F.coalesce("component", "cls").alias("c"))
+    # One node per class, numbered so that the sets with the fewest blocks that recur nowhere come first.
+    single = holders.drop("shingles").dropDuplicates(["cls"]).orderBy("u0", "cls").withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(single, "jaccard-nodes")
+    sets = holders.select("cls", "shingles").join(nodes.select("cls", "node"), "cls")
+    blocks = nodes.select("node", F.explode("keys").alias("key")).withColumn("c", F.col("node"))
+    # First the set with the fewest lone blocks, one of a few among equals; then the one that most links lead to, which
+    # is what a group's copies were made of.
+    spread = F.xxhash64("node", F.floor(F.col("key") / 2) % HUBS)
+    tried = materialize(star_pairs(blocks.join(nodes.select("node", "u0"), "node"), F.struct("u0", spread.alias("s")), nodes), "jaccard-tried")
+    links = materialize(verified(tried, sets), "jaccard-links")
+    for _ in range(ROUNDS):
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        degree = ends.groupBy("node").agg((-F.count(F.lit(1))).alias("d"))
+        placed = materialize(_enough(_still_apart(_placed(blocks, links)), nodes), "jaccard-placed")
+        ranked = placed.join(degree, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        more = materialize(star_pairs(ranked, F.col("d"), nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+        links = materialize(links.unionByName(verified(more, sets)), "jaccard-links")
+        tried = tried.unionByName(more)
+    # Holders of one block that are still apart, as far as they have enough such blocks for a link, all with all.
+    apart = materialize(_enough(_still_apart(_placed(placed, links)), nodes), "jaccard-apart")
+    rest = materialize(apart_pairs(apart, nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    found = links.unionByName(verified(rest, sets))
+    names = lambda k: nodes.select(F.col("node").alias(k), F.col("cls").alias(f"cls_{k}"))
+    return found.join(names("a"), "a").join(names("b"), "b").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+
+def apart_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that the sketches allow, among all holders of common blocks.
+
+    Holders that blocks connect are a family. A family is dealt out in blocks of FAMILY_BLOCK sets, and each pair of
+    them is compared in one task, as a product of matrices; only pairs that the bound allows leave it.
+    """
+    least = apart.groupBy("key").agg(F.min("node").alias("a"))
+    family = components(apart.join(least, "key").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
+    held = apart.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("c").alias("c"))
+    rows = materialize(held.join(nodes.select("node", "n", "own", "f0", "f1"), "node").join(family, "node"), "jaccard-families")
+    dealt = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("long").alias("parts"))
+    placed = rows.join(dealt, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+    # Small families share tasks.
+    deal = F.when(F.col("parts") > 1, F.xxhash64("family", lo, hi)).otherwise(F.pmod(F.xxhash64("family"), F.lit(bucket_count(apart))))
+    placed = placed.select(deal.alias("deal"), "family", lo.alias("lo"), hi.alias("hi"), "i", "node", "c", "n", "own", "f0", "f1", "keys")
+    return placed.groupBy("deal").applyInArrow(_compare, "a long, b long")
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    out_a, out_b = [], []
+    group = np.stack([table.column(k).to_numpy() for k in ("family", "lo", "hi")], 1)
+    _, which = np.unique(group, axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1):
+        part = table.take(pa.array(rows))
+        node, c, n, own, f0, f1, i, lo, hi = (part.column(k).to_numpy() for k in ("node", "c", "n", "own", "f0", "f1", "i", "lo", "hi"))
+        lists = part.column("keys").combine_chunks()
+        key = lists.flatten().to_numpy()
+        at = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        values, column, times = np.unique(key, return_inverse=True, return_counts=True)
+        common = times[column] > 1
+        at, column = at[common], column[common]
+        x, y = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        shared = np.zeros((2, len(x), len(y)), np.float32)
+        step = 4096
+        for first in range(0, len(values), step):
+            for odd in (0, 1):
+                pick = (column >= first) & (column < first + step) & (values[column] % 2 == odd)
+                if pick.any():
+                    held = np.zeros((len(node), step), np.float32)
+                    held[at[pick], column[pick] - first] = 1
+                    shared[odd] += held[x] @ held[y].T
+        na, nb, oa, ob = n[x][:, None], n[y][None], own[x][:, None], own[y][None]
+        most = ((na + nb) * (100 - PERCENT)) // (100 + PERCENT)
+        fa = np.where(oa > ob, f1[x][:, None], f0[x][:, None])
+        fb = np.where(ob > oa, f1[y][None], f0[y][None])
+        both = np.where(np.minimum(oa, ob) % 2 == 1, shared[1], shared[0])
+        ok = (np.maximum(fa, fb) - both <= most) & (both > 0) & (c[x][:, None] != c[y][None]) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
+        r, k = np.nonzero(ok)
+        out_a.append(np.minimum(node[x[r]], node[y[k]]))
+        out_b.append(np.maximum(node[x[r]], node[y[k]]))
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    once = np.unique(np.stack([a, b], 1), axis=0)
+    return pa.table({"a": pa.array(once[:, 0], pa.int64()), "b": pa.array(once[:, 1], pa.int64())})
+
+
+def _placed(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """Blocks with their holders' components by the links so far."""
+    return blocks.drop("c").join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+
+
+def _still_apart(placed: DataFrame) -> DataFrame:
+    """Rows of the blocks whose holders are in more than one component."""
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    apart = materialize(placed.join(mixed, "key", "left_semi"), "jaccard-apart")
-    left = apart.select("key", F.col("cls").alias("a"), F.col("f").alias("fa"), F.col("c").alias("ca"))
-    right = apart.select("key", F.col("cls").alias("b"), F.col("f").alias("fb"), "c", "band")
-    pairs = left.join(right, "key").where((F.col("ca") != F.col("c")) & (F.col("a") < F.col("b"))).drop("key", "ca", "c")
-    second = sketch_pairs(pairs).join(first, ["a", "b"], "left_anti")
-    return links.unionByName(verified(second, single))
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _enough(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the sets that have as many blocks left, in either band, as a link needs there."""
+    most = F.expr(_MOST.format(f"n + n * 100 div {PERCENT}"))
+    counts = placed.groupBy("node").agg(F.count_if(F.col("key") % 2 == 1).alias("odd"), F.count_if(F.col("key") % 2 == 0).alias("even"))
+    here, below = (F.when(F.col("own") % 2 == k, F.col("odd")).otherwise(F.col("even")) for k in (1, 0))
+    able = counts.join(nodes.select("node", "n", "own", "f0", "f1"), "node").where((F.col("f0") - here <= most) | ((F.col("f1") + below > 0) & (F.col("f1") - below <= most)))
+    return placed.join(able.select("node"), "node", "left_semi")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
