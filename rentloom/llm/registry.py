@@ -9,6 +9,7 @@ QUERIES = {
     "op2_avi_mjpeg": avi_mjpeg.op2_avi_mjpeg,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op4_line_dedup_words": line_dedup.op4_line_dedup_words,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_suffix_dedup": substring_dedup.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLE = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op4_line_dedup_words": line_dedup.ORACLE_WORDS,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }

@@ -34,3 +34,16 @@ def test_odd_rows(spark, documents):
     assert got[None] == (3, 0, "x\ny\nz") and got[5] == (3, 3, "")
     assert got[6][1] == 2999 and line_dedup(documents([])).count() == 0
     assert line_dedup(documents([(1, "a\nb\nc"), (1, "a\nb\nc")])).where("n_removed > 0").count() == 0
+
+
+def test_long_runs_of_few_lines(spark, documents):
+    long = " ".join(f"w{k}" for k in range(51))
+    half = [" ".join(f"{c}{k}" for k in range(26)) for c in "xy"]
+    rows = [(1, f"a\n{long}\nb"), (2, long), (3, f"c\nd\n{long}\ne"), (4, "\n".join(half)), (5, "\n".join(["f", *half])), (6, half[0]), (7, " ".join(long.split()[1:])), (8, " ".join(long.split()[1:]))]
+    docs = documents(rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup(docs).collect()}
+    assert got[1] == (3, 0, rows[0][1]) and got[2] == (1, 1, "") and got[3] == (4, 1, "c\nd\ne")
+    assert got[4] == (2, 0, rows[3][1]) and got[5] == (3, 2, "f") and got[6] == (1, 0, half[0])
+    # Fifty words are not enough.
+    assert got[8] == (1, 0, rows[7][1])
+    assert {r.doc_id for r in line_dedup(docs, words=None).where("n_removed > 0").collect()} == set()
