@@ -332,14 +332,8 @@ def stream_month_rollup(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     folder = _stream_folder(spark)
     stream = S.read_stream(spark, f"{sf_dir}/events.parquet*", source.schema)
-    days = S.daily_counts(stream, "ts", ["event_type"], large=F.col("value") > 50)
-    S.run_available(days, f"{folder}/days", f"{folder}/checkpoint")
-    done = spark.read.parquet(f"{folder}/days")
-    # Days that are still open when the stream stops are counted in batch.
-    closed = done.agg(F.max("day").alias("closed"))
-    rest = source.crossJoin(F.broadcast(closed)).where(F.col("closed").isNull() | (F.col("ts") >= F.col("closed") + F.expr("INTERVAL 1 DAY")))
-    rest = rest.groupBy(F.date_trunc("DAY", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("large"))
-    return S.monthly(done.unionByName(rest), ["event_type"], ["n", "large"])
+    days = S.add_available(stream, f"{folder}/days", f"{folder}/checkpoint", lambda rows: S.daily_counts(rows, "ts", ["event_type"], large=F.col("value") > 50))
+    return S.monthly(days, ["event_type"], ["n", "large"])
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")

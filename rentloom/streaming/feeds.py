@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +33,25 @@ def append_new(batch: DataFrame, target: str, key: str) -> None:
     new.write.mode("append").parquet(target)
 
 
-def daily_counts(stream: DataFrame, time: str, keys: list[str], delay: str = "2 days", **flags: Column) -> DataFrame:
-    """Counts per day window and key. Days close behind the watermark, so state ends; months are summed in batch."""
-    w = F.window(time, "1 day")
-    return stream.withWatermark(time, delay).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()]).select(F.col("window.start").alias("day"), *keys, "n", *flags)
+def daily_counts(rows: DataFrame, time: str, keys: list[str], **flags: Column) -> DataFrame:
+    """Counts per day and key of a batch, or of one trigger's rows: those of several add up, see ``monthly``."""
+    return rows.groupBy(F.date_trunc("DAY", time).alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+
+
+def add_available(stream: DataFrame, path: str, checkpoint: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """count(rows) of each trigger, for everything that is there now; all triggers' counts are returned.
+
+    Each trigger has its own folder, which a repeated one overwrites, so nothing counts twice. There is no state and no
+    watermark: rows count however late they come.
+    """
+    spark = stream.sparkSession
+    count(spark.createDataFrame([], stream.schema)).write.mode("overwrite").parquet(f"{path}/trigger=-1")
+
+    def add(batch: DataFrame, k: int) -> None:
+        count(batch).write.mode("overwrite").parquet(f"{path}/trigger={k}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).drop("trigger")
 
 
 def monthly(days: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

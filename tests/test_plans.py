@@ -1,3 +1,10 @@
+import os
+import random
+from datetime import datetime, timedelta
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +12,7 @@ from rentloom.functions import constants as C
 from rentloom.operators import modelling as M
 from rentloom.plans import listings as L
 from rentloom.plans import panels as P
+from rentloom.plans import queries_relational as Q
 
 
 def months(spark, rows, schema):
@@ -41,3 +49,20 @@ def test_representative_cases(spark):
     assert [(r.zip_code, r.category) for r in got[:2]] == [("94110", "over"), ("94103", "under")] and len(got) == 4
     with pytest.raises(ValueError):
         L.clean_listings(spark.createDataFrame([("x",)], "address string"))
+
+
+def test_month_rollup_of_shuffled_files(spark, tmp_path):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    (tmp_path / "events.parquet").mkdir()
+    order = rng.sample(range(20), 20)
+    for place, k in enumerate(order):
+        times = [start + timedelta(days=4 * k, minutes=rng.randrange(4 * 24 * 60)) for _ in range(30)] + [None]
+        values = [rng.choice([10.0, 90.0, None]) for _ in times]
+        kinds = [rng.choice(["click", "view", None]) for _ in times]
+        name = tmp_path / "events.parquet" / f"part-{place:02d}.parquet"
+        pq.write_table(pa.table({"event_id": list(range(31)), "ts": pa.array(times, pa.timestamp("us")), "event_type": kinds, "value": pa.array(values, pa.float64())}), name)
+        os.utime(name, (1_700_000_000 + place, 1_700_000_000 + place))
+    got = {tuple(r) for r in Q.stream_month_rollup(spark, str(tmp_path)).select("event_type", "month", "n", "large").collect()}
+    sql = Q.ORACLE["stream_month_rollup"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(duckdb.sql(sql).fetchall()) and sum(r[2] for r in got) == 620
