@@ -8,6 +8,8 @@
 3. Different segments of one anchor are suffix-sorted together, word by word, by linear grouping (``suffix_groups``).
    Suffixes that agree in as many bytes as a window has after its first word break are neighbours in that order;
    together with the bytes before the break they say which windows are equal, and the earliest place of each stays.
+   An anchor of more than HOT different segments is dealt over all groups by segment; each group's earliest windows then
+   meet by the hash of their bytes, which keeps the earliest of all.
 4. Removed stretches are joined to their documents.
 
 Places are ordered by id, then by start. Rows that repeat both id and text are one document; a null id comes first; a
@@ -33,6 +35,7 @@ SIDE = (LENGTH - GRAM) // 2
 WIDE = GRAM + SIDE
 KEY_BITS = 48
 CHUNK = 3 << 19
+HOT = 512
 U = np.uint64
 _LOW = U((1 << 24) - 1)
 
@@ -210,7 +213,8 @@ def equal_windows(segs: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere."""
+    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere, and with ``c``, the
+    hash of its bytes, each other window of the hot anchors, whose segments are in other groups too."""
     segs = [s.as_py() for s in table.column("seg")]
     windows, a, g, doc, start = (table.column(c).to_numpy() for c in ("windows", "a", "g", "id", "start"))
     owner, offset, cls = equal_windows(segs, windows)
@@ -223,24 +227,49 @@ def _later(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0)) if len(hit) else hit
     ends = np.append(cut[1:], len(hit))
     o, x, y = owner[hit[cut]], offset[hit[cut]], offset[hit[ends - 1]] if len(hit) else hit
-    return pa.table({"a": a[o], "g": g[o], "x": x, "y": y + 1})
-
-
-def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    fresh = np.flatnonzero(~again)
+    fresh = fresh[table.column("hot").to_numpy()[owner[fresh]]]
+    f, z = owner[fresh], offset[fresh]
+    base = np.concatenate([[0], np.cumsum([len(s) for s in segs])]).astype(np.int64)
+    at = base[f] + z
+    bytes_of = stretch_hash(prefix_hash(np.frombuffer(b"".join(segs), np.uint8)), at, at + LENGTH)
+    c = mix(bytes_of ^ mix(a.astype(U)[f])).view(np.int64)
+    none = pa.nulls(len(o), pa.int64())
+    put = lambda one, two: pa.chunked_array([pa.array(one, pa.int64()), pa.array(two, pa.int64())])
+    return pa.table({"a": put(a[o], a[f]), "g": put(g[o], g[f]), "x": put(x, z), "y": put(y + 1, z + 1), "c": put(none, c), "id": put(none, doc[f]), "start": put(none, start[f] + z)})
+
+
+def dealt(holders: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """(a, g, owner, windows, hot, bucket) of the anchors that have several segments: those of one anchor share a bucket, unless
+    they are more than ``hot``; then each segment has its own."""
+    several = holders.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", (F.col("n") > hot).alias("hot"))
+    return holders.join(several, "a").select("a", "g", "owner", "windows", "hot", F.pmod(F.when(F.col("hot"), F.col("g")).otherwise(F.col("a")), F.lit(buckets)).alias("bucket"))
+
+
+def _hot_runs(windows: DataFrame) -> DataFrame:
+    """(a, g, x, y): stretches of the hot anchors' windows that stand earlier in another group."""
+    first = windows.groupBy("c").agg(F.min(F.struct("id", "start", "g")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, "c").where(F.struct("id", "start", "g") != F.col("first"))
+    own = again.groupBy("a", "g").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    starts = "filter(xs, (v, i) -> i = 0 or xs[i - 1] != v - 1)"
+    ends = "filter(xs, (v, i) -> i = size(xs) - 1 or xs[i + 1] != v + 1)"
+    return own.select("a", "g", F.explode(F.expr(f"zip_with({starts}, {ends}, (s, e) -> struct(s as x, e + 1 as y))")).alias("r")).select("a", "g", "r.x", "r.y")
+
+
+def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text_hash, start, stop): bytes to remove; stretches may overlap."""
     longs = "ids array<long>, texts array<long>, starts array<long>"
     found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g long, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
     rows = materialize(found, "segments")
     light = rows.select("a", "g", "windows", F.struct(F.col("ids")[0].alias("id"), F.col("starts")[0].alias("start"), F.col("texts")[0].alias("text")).alias("p"))
     holders = materialize(light.groupBy("a", "g").agg(F.min("p").alias("owner"), F.min("windows").alias("windows")), "segment-owners")
-    several = holders.groupBy("a").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("a")
-    owners = holders.join(several, "a", "left_semi")
+    owners = dealt(holders, 2 * bucket_count(docs), hot)
     full = rows.select("a", "g", "seg", F.col("ids")[0].alias("i"), F.col("starts")[0].alias("s"), F.col("texts")[0].alias("t"))
     held = full.join(owners, ["a", "g"]).where((F.col("owner.id") == F.col("i")) & (F.col("owner.start") == F.col("s")) & (F.col("owner.text") == F.col("t")))
-    held = held.select("a", "g", "windows", "seg", F.col("i").alias("id"), F.col("s").alias("start")).dropDuplicates(["a", "g"])
-    buckets = 2 * bucket_count(docs)
-    runs = held.groupBy(F.pmod("a", F.lit(buckets))).applyInArrow(lambda t: _later(t), "a long, g long, x long, y long")
+    held = held.select("a", "g", "windows", "seg", F.col("i").alias("id"), F.col("s").alias("start"), "hot", "bucket").dropDuplicates(["a", "g"])
+    runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g long, x long, y long, c long, id long, start long")
     runs = materialize(runs, "segment-runs")
+    runs = runs.where("c is null").select("a", "g", "x", "y").unionByName(_hot_runs(runs.where("c is not null")))
     places = rows.select("a", "g", "windows", F.explode(F.arrays_zip("ids", "starts", "texts")).alias("p"))
     own = holders.select("a", "g", "owner")
     placed = places.join(own, ["a", "g"]).withColumn("first", (F.col("p.ids") == F.col("owner.id")) & (F.col("p.starts") == F.col("owner.start")) & (F.col("p.texts") == F.col("owner.text")))
@@ -249,10 +278,10 @@ def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return whole.unionByName(part)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
-    gone = removed_stretches(docs, id_col, text_col)
+    gone = removed_stretches(docs, id_col, text_col, hot)
     # Stretches of one document are joined up before they are gathered, in runs of neighbours.
     per = gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
 

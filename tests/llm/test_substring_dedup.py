@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from rentloom.llm.substring_dedup import LENGTH, substring_dedup
+from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, substring_dedup
 from rentloom.llm.suffix_groups import suffix_order
 
 
@@ -48,3 +48,18 @@ def test_odd_rows(spark, documents):
     got = {r.doc_id: r.n_removed for r in substring_dedup(documents([(None, text), (3, text)])).collect()}
     assert got[3] == len(text) and 0 < got[None] < len(text)
     assert substring_dedup(documents([])).count() == 0
+
+
+def test_hot_anchors(spark, documents):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    common = [prose(30), prose(22)]
+    rows = [(i, f"{prose(rng.randrange(8, 20))} {common[i % 2]} {prose(rng.randrange(8, 20))}") for i in range(60)]
+    # Passages with the same words next to them, so that windows outside the passage recur as well.
+    rows += [(100 + i, f"{rows[i][1][40:]} {prose(9)} {rows[59 - i][1][:-30]}") for i in range(20)]
+    want = brute(rows)
+    for hot in (1, 5, HOT):
+        assert {r[0]: tuple(r)[1:] for r in substring_dedup(documents(rows), hot=hot).collect()} == want
+    holders = spark.range(3000).selectExpr("cast(if(id < 2500, 7, id % 100) as long) a", "xxhash64(id) g", "id owner", "1 windows")
+    most = lambda hot: max(r["count"] for r in dealt(holders, 16, hot).groupBy("bucket").count().collect())
+    assert most(HOT) < 400 and most(10_000) >= 2500
