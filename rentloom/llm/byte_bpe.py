@@ -1,43 +1,37 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are split into pre-tokens. A chunk of documents keeps its pre-tokens as positions: for each document the row of
-every pre-token, in order, in the chunk's own list of distinct words. The words go through one shuffle by hash, packed
-per chunk and bucket; there each distinct word of the whole corpus is encoded once, and its ids go back to every chunk
-that has it. Each chunk then puts its documents' ids together by position. Decoding joins ids with the table of token
-bytes.
+Texts are split into pre-tokens. A chunk of documents keeps its pre-tokens as positions: for each document the number of
+every pre-token, in order, among the chunk's own distinct words, which are sorted by hash. The words go through one
+shuffle by ranges of their hash, packed per chunk and range; there each distinct word of the corpus is encoded once, and
+its ids go back to every chunk that has it. Each chunk then puts its documents' ids together by position. Decoding joins
+the ids so put together with the table of token bytes, which has one row a token and is joined to every chunk whole.
 
-Chunks are made twice, once for the words and once for the positions; both are named by their rows (see ``chunks``).
+Chunks are made twice, once for the words and once for the positions; both are named alike (see ``chunks``).
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentloom.llm.chunks import bucket_count, chunk_name
-from rentloom.llm.common import slices
+from rentloom.llm.chunks import bucket_count, in_chunks
+from rentloom.llm.common import prefix_hash, slices, stretch_hash
+from rentloom.llm.pretokens import WordEncoder, WordIds, Words, gather, ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 32 << 20
+PART = 2 << 20
+CACHED_WORDS = 2_000_000
+STEP = 200_000
+U = np.uint64
 
 
-@lru_cache(4)
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-@lru_cache(4)
 def token_table(path: str) -> list[bytes]:
     """Bytes by id."""
     table = [b""] * (max(ranks(path).values()) + 1)
@@ -52,32 +46,9 @@ def _default_path() -> str:
     return P.path(RANKS)
 
 
-class _Numbers(dict):
-    """Words numbered in the order in which they are first seen."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
-def number_words(texts: pa.Array, split) -> tuple[list[np.ndarray], list[str]]:
-    numbers = _Numbers()
-    rows = []
-    for text in texts:
-        words = split(text.as_py() or "")
-        rows.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-    return rows, list(numbers)
-
-
-def _split():
-    import public_tokenizers as P
-
-    return regex.compile(P.PATTERN).findall
-
-
 def _planes(values: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(3).compress(raw.tobytes())
+    return zstandard.ZstdCompressor(1).compress(raw.tobytes())
 
 
 def _unplanes(blob: bytes) -> np.ndarray:
@@ -85,100 +56,115 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
-def _words_by_bucket(words: list[str], buckets: int) -> list[tuple[int, np.ndarray]]:
-    at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(buckets + 1))
-    return [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
+def _bits(buckets: int) -> int:
+    return (buckets - 1).bit_length()
+
+
+class ChunkWords:
+    """A chunk's distinct words, sorted by hash, and its rows' pre-tokens as numbers of them. Words are cut PART bytes of
+    text at a time."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.parts = [Words(p.column(1)) for p in slices(part, part.schema.names[1], PART)]
+        none = np.zeros(0, U)
+        every = np.concatenate([none, *[w.hashes for w in self.parts]])
+        self.hashes, self.first, self.number = np.unique(every, return_index=True, return_inverse=True)
+        self.edges = np.concatenate([[0], np.cumsum([len(w) for w in self.parts])]).astype(np.int64)
+
+    def positions(self) -> tuple[np.ndarray, np.ndarray]:
+        """(how many pre-tokens each row has, all their numbers)."""
+        counts = [np.diff(w.cut) for w in self.parts]
+        rows = [self.number[a:][w.row] for a, w in zip(self.edges, self.parts, strict=False)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *counts]), np.concatenate([none, *rows])
+
+    def texts(self) -> list[bytes]:
+        out: list = [b""] * len(self.hashes)
+        for k, w in enumerate(self.parts):
+            mine = np.flatnonzero((self.first >= self.edges[k]) & (self.first < self.edges[k + 1]))
+            for row, text in zip(mine.tolist(), w.texts(self.first[mine] - self.edges[k]), strict=True):
+                out[row] = text
+        return out
 
 
 def word_ids(docs: DataFrame, path: str, chunk: int, buckets: int) -> DataFrame:
-    """(chunk, bucket, n, ids): for each chunk's words of a bucket, in the chunk's order, how many ids and which."""
+    """(chunk, bucket, n, ids): for each chunk's words of a bucket, in the chunk's order, how many ids and which. A bucket
+    is read row by row, and holds no more than the ids of CACHED_WORDS words."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _split()
+        for name, part in in_chunks(batches, chunk):
+            own = ChunkWords(part)
+            words = own.texts()
+            cut = np.searchsorted(own.hashes, np.arange(1, buckets, dtype=U) << U(64 - _bits(buckets))) if buckets > 1 else []
+            edges = [0, *map(int, cut), len(words)]
+            out = []
+            for bucket, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if b > a:
+                    sizes = np.fromiter(map(len, words[a:b]), np.uint32, b - a)
+                    out.append((bucket, name, _planes(sizes), zstandard.ZstdCompressor(3).compress(b"".join(words[a:b]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "sizes", "words"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordIds(WordEncoder(path), CACHED_WORDS)
         for batch in batches:
-            for part in slices(batch, "text", chunk):
-                name = chunk_name(part)
-                _, words = number_words(part.column(1), split)
-                out = []
-                for bucket, rows in _words_by_bucket(words, buckets):
-                    own = [words[k].encode() for k in rows]
-                    sizes = np.fromiter(map(len, own), np.uint32, len(own))
-                    out.append((bucket, name, _planes(sizes), zstandard.ZstdCompressor(3).compress(b"".join(own))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bucket", "chunk", "sizes", "words"])
-
-    def encode(table: pa.Table) -> pa.Table:
-        import public_tokenizers as P
-        import tiktoken
-
-        one = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-        known: dict[bytes, list[int]] = {}
-        out = []
-        for row in table.to_pylist():
-            ends = np.cumsum(_unplanes(row["sizes"]))
-            raw = zstandard.ZstdDecompressor().decompress(row["words"])
-            counts, ids = [], []
-            at = 0
-            for end in ends.tolist():
-                word, at = raw[at:end], end
-                if (got := known.get(word)) is None:
-                    got = known[word] = one.encode_ordinary(word.decode())
-                counts.append(len(got))
-                ids += got
-            out.append((row["chunk"], row["bucket"], _planes(np.array(counts)), _planes(np.array(ids))))
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("chunk", "bucket", "n", "ids"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+            for row in batch.to_pylist():
+                ends = np.cumsum(_unplanes(row["sizes"]).astype(np.int64))
+                raw = zstandard.ZstdDecompressor().decompress(row["words"])
+                starts = np.concatenate([[0], ends[:-1]])
+                hashes = stretch_hash(prefix_hash(np.frombuffer(raw, np.uint8)), starts, ends)
+                first, many = known.of(hashes, lambda which: [raw[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])  # noqa: B023
+                ids = gather(known.flat, first, many)
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["bucket"]], pa.int64()), pa.array([_planes(many)]), pa.array([_planes(ids)])], names=["chunk", "bucket", "n", "ids"])
 
     sent = docs.mapInArrow(send, "bucket long, chunk long, sizes binary, words binary")
     return sent.groupBy("bucket").applyInArrow(encode, "chunk long, bucket long, n binary, ids binary")
 
 
 def positions(docs: DataFrame, chunk: int) -> DataFrame:
-    """One row per chunk: the ids of its documents, how many pre-tokens each has, their word rows, and all words' buckets."""
+    """One row per chunk: the ids of its documents, how many pre-tokens each has, their word numbers, how many words."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _split()
-        for batch in batches:
-            for part in slices(batch, "text", chunk):
-                rows, words = number_words(part.column(1), split)
-                every = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-                hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
-                ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk_name(part)], pa.int64()), ids, pa.array([_planes(np.array([len(r) for r in rows]))]), pa.array([_planes(every)]), pa.array([_planes(hashes)])],
-                    names=["chunk", "docs", "counts", "rows", "hashes"],
-                )
-
-    return docs.mapInArrow(task, f"chunk long, docs array<{kind}>, counts binary, rows binary, hashes binary")
-
-
-def _dictionary(hashes: np.ndarray, answers: list[dict], buckets: int) -> list[list[int]]:
-    """The ids of a chunk's words, in the chunk's order."""
-    at = (hashes % np.uint32(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    out: list = [None] * len(hashes)
-    by = {a["bucket"]: a for a in answers}
-    cut = np.searchsorted(at[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine = order[cut[b] : cut[b + 1]]
-        if not len(mine):
-            continue
-        ends = np.cumsum(_unplanes(by[b]["n"])).tolist()
-        ids = _unplanes(by[b]["ids"]).tolist()
-        if len(ends) != len(mine):
-            raise ValueError("a chunk's rows changed between two passes; write the input to a table first")
-        first = 0
-        for k, end in zip(mine.tolist(), ends, strict=True):
-            out[k], first = ids[first:end], end
-    return out
+        for name, part in in_chunks(batches, chunk):
+            own = ChunkWords(part)
+            counts, rows = own.positions()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.int64()), ids, pa.array([_planes(counts)]), pa.array([_planes(rows)]), pa.array([len(own.hashes)], pa.int64())],
+                names=["chunk", "docs", "counts", "rows", "words"],
+            )
+
+    return docs.mapInArrow(task, f"chunk long, docs array<{kind}>, counts binary, rows binary, words long")
+
+
+def token_row(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table as one row (sizes and bytes by id), which as many bytes as the vocabulary has bound."""
+    table = token_table(path)
+    sizes = np.array(list(map(len, table)), "<u4").tobytes()
+    return spark.createDataFrame([(bytearray(sizes), bytearray(b"".join(table)))], "token_sizes binary, token_bytes binary")
+
+
+class _Strings:
+    """Byte strings by number, put one after the other."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes.astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, strings: list[bytes]) -> _Strings:
+        return cls(np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings)), np.int64))
+
+    def join(self, numbers: np.ndarray) -> bytes:
+        return gather(self.flat, self.first[numbers], self.sizes[numbers]).tobytes()
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, buckets: int | None = None, with_ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, and ids (array of int) unless it is left out.
 
-    No special tokens. A null text is empty and has no ids; null or repeated ids are kept as they are.
+    No special tokens. A null text is empty and has no ids; ids of any type are passed on, null or repeated ones too; other
+    columns are not read. buckets is a power of two.
     """
     path, buckets = path or _default_path(), buckets or bucket_count(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -186,34 +172,47 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = ", ids array<int>" if with_ids else ""
 
     def assemble(own: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens = token_table(path)
         out = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
+        order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
+        blobs = lambda name: [_unplanes(b.as_py()) for b in answers.column(name).take(pa.array(order))]
+        many = np.concatenate([np.zeros(0, np.int64), *blobs("n")]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *blobs("ids")])
+        first = np.cumsum(many) - many
         for row in own.to_pylist():
-            words = _dictionary(_unplanes(row["hashes"]), answers.to_pylist(), buckets)
-            text = [",".join(map(str, w)) for w in words]
-            raw = [b"".join([tokens[i] for i in w]) for w in words]
-            size = np.array([len(w) for w in words], np.int64)
-            every = _unplanes(row["rows"])
-            at = 0
-            for doc, n in zip(row["docs"], _unplanes(row["counts"]).tolist(), strict=True):
-                mine, at = every[at : at + n], at + n
-                order = mine.tolist()
-                out["id"].append(doc)
-                out["n_tokens"].append(int(size[mine].sum()))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(text.__getitem__, order)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join(map(raw.__getitem__, order))).hexdigest())
+            if row["words"] != len(many):
+                raise ValueError("a chunk's rows changed between two passes; write the input to a table first")
+            tokens = _Strings(np.frombuffer(row["token_bytes"], np.uint8), np.frombuffer(row["token_sizes"], "<u4"))
+            decimal = _Strings.of([b"%d," % k for k in range(len(tokens.sizes))])
+            every, cut = _unplanes(row["rows"]), np.concatenate([[0], np.cumsum(_unplanes(row["counts"]).astype(np.int64))])
+            # Whole documents, of about STEP pre-tokens at a time.
+            doc = 0
+            while doc < len(row["docs"]):
+                stop = max(doc + 1, int(np.searchsorted(cut, cut[doc] + STEP, "right")) - 1)
+                mine = every[cut[doc] : cut[stop]]
+                size = many[mine]
+                ids = gather(flat, first[mine], size)
+                at = np.concatenate([[0], np.cumsum(size)])[cut[doc : stop + 1] - cut[doc]]
+                text, raw = decimal.join(ids), tokens.join(ids)
+                text_at = np.concatenate([[0], np.cumsum(decimal.sizes[ids])])[at].tolist()
+                raw_at = np.concatenate([[0], np.cumsum(tokens.sizes[ids])])[at].tolist()
+                out["id"] += row["docs"][doc:stop]
+                out["n_tokens"] += np.diff(at).tolist()
+                out["ids_sha256"] += [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(text_at, text_at[1:], strict=False)]
+                out["decoded_sha256"] += [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(raw_at, raw_at[1:], strict=False)]
                 if with_ids:
-                    out["ids"].append([i for k in order for i in words[k]])
+                    out["ids"] += [ids[a:b].astype(np.int32) for a, b in zip(at, at[1:], strict=False)]
+                doc = stop
         types = {"id": own.schema.field("docs").type.value_type, "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         return pa.table({k: pa.array(v, types.get(k, pa.string())) for k, v in out.items()})
 
-    left = positions(rows, chunk).groupBy("chunk")
+    # The join with the token-byte table, one row of a bounded size.
+    left = positions(rows, chunk).crossJoin(F.broadcast(token_row(docs.sparkSession, path))).groupBy("chunk")
     right = word_ids(rows, path, chunk, buckets).groupBy("chunk")
     got = left.cogroup(right).applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
     return got.withColumnRenamed("id", id_col)
 
 
-def token_bytes(spark, path: str | None = None) -> DataFrame:
+def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(token, bytes) of a rank file: as many rows as the vocabulary has, which is what bounds a broadcast of it."""
     return spark.createDataFrame(list(enumerate(map(bytearray, token_table(path or _default_path())))), "token int, bytes binary")
 
@@ -221,7 +220,7 @@ def token_bytes(spark, path: str | None = None) -> DataFrame:
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(id, decoded): ids joined with the token-byte table and put together by position. Unknown ids give nothing.
 
-    Rows are told apart by id and ids; an empty or null list decodes to an empty value.
+    For tables of ids from elsewhere; rows are told apart by id and ids. An empty or null list decodes to an empty value.
     """
     keyed = encoded.select(F.col(id_col), F.xxhash64(ids_col).alias("__h"), F.posexplode_outer(ids_col).alias("__pos", "token")).distinct()
     joined = keyed.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "token", "left")

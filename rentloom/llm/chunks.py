@@ -4,23 +4,22 @@ A scan task cuts its rows into chunks of bounded size. Every chunk sends its dis
 through one shuffle and gets back those that recur; no row is sent per key, and a key with any number of holders is one
 entry per chunk. A second pass then has each chunk's texts and its recurring keys together.
 
-A chunk is named by its rows, so both passes see the same chunks when the input reads the same rows in the same order,
-as a table scan does.
+A chunk is named by its rows and its place, so both passes see the same chunks when the input reads the same rows in the
+same order, as a table scan does.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import slices
-
+from rentloom.llm.common import buffer_of, slices
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -28,13 +27,24 @@ def bucket_count(docs: DataFrame) -> int:
     return 1 << (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
 
-def chunk_name(part: pa.RecordBatch) -> int:
-    """A 63-bit name that follows from the ids and texts of a chunk."""
-    total = [zlib.crc32(repr(part.column(0).to_pylist()).encode())]
+def chunk_name(part: pa.RecordBatch, k: int) -> int:
+    """A 63-bit name that follows from the ids and texts of a chunk, from its partition and its place k there, so that
+    chunks of equal rows have names of their own."""
+    total = xxhash.xxh3_64(f"{TaskContext.get().partitionId()} {k} {part.column(0).to_pylist()!r}")
     for column in part.columns[1:]:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), -1), np.int64)
-        total.append(zlib.crc32(lengths.tobytes()))
-    return (total[0] << 31) ^ total[-1]
+        data, at = buffer_of(column)
+        total.update(at.tobytes())
+        total.update(np.ascontiguousarray(data))
+    return total.intdigest() >> 1
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(name, rows) of a task's chunks. Two passes over the same scan give the same."""
+    k = 0
+    for batch in batches:
+        for part in slices(batch, batch.schema.names[1], limit):
+            yield chunk_name(part, k), part
+            k += 1
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -56,9 +66,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFram
     """id, text and chunk: rows tagged with the chunk that they are in."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[1], limit):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([chunk_name(part)] * len(part), pa.int64())], names=["id", "text", "chunk"])
+        for name, part in in_chunks(batches, limit):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([name] * len(part), pa.int64())], names=["id", "text", "chunk"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, text string, chunk long")
@@ -73,12 +82,9 @@ def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callabl
     buckets = bucket_count(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[1], limit):
-                keys, twice = keys_of(part)
-                if not len(keys):
-                    continue
-                name = chunk_name(part)
+        for name, part in in_chunks(batches, limit):
+            keys, twice = keys_of(part)
+            if len(keys):
                 cut = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - (buckets - 1).bit_length()))
                 own = [(b, name, pack_keys(k), np.packbits(t).tobytes()) for b, (k, t) in enumerate(zip(np.split(keys, cut), np.split(twice, cut), strict=True)) if len(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own, strict=True)], names=["bucket", "chunk", "keys", "twice"])

@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.common import slices
-from rentloom.llm.pretokens import WordEncoder, Words, gather
+from rentloom.llm.pretokens import WordEncoder, WordIds, Words, gather
 
 CAPACITY = 1024
 END_ID = 0
@@ -36,33 +35,6 @@ CHUNK = 4 << 20
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds:
-    """Ids of words by the words' hashes. Words are encoded when first seen, and all are forgotten at the limit."""
-
-    def __init__(self, encode):
-        self.encode = encode
-        self.forget()
-
-    def forget(self):
-        self.rows: dict[int, int] = {}
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(where each different word's ids begin in ``flat``, how many they are)."""
-        if len(self.rows) > CACHED_WORDS:
-            self.forget()
-        keys = words.hashes.tolist()
-        rows = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            ids, sizes = self.encode(words.texts(new))
-            rows[new] = np.arange(len(self.rows), len(self.rows) + len(new))
-            self.rows.update(zip(words.hashes[new].tolist(), rows[new].tolist(), strict=True))
-            self.flat = np.concatenate([self.flat, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        return self.at[rows], self.at[rows + 1] - self.at[rows]
-
-
 class Encoder:
     """Ids of texts as the tokenizers library gives them for name.json. Words are encoded by the same vocabulary's ranks,
     once each; a text that holds the end marker itself goes to the library."""
@@ -71,7 +43,7 @@ class Encoder:
         import public_tokenizers as P
 
         self.name, self.library = name, None
-        self.words = WordIds(WordEncoder(P.path(f"{name}.tiktoken")))
+        self.words = WordIds(WordEncoder(P.path(f"{name}.tiktoken")), CACHED_WORDS)
 
     def whole(self, text: str) -> np.ndarray:
         import public_tokenizers as P
@@ -83,7 +55,7 @@ class Encoder:
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         """Each text's ids and the end id."""
         words = Words(column)
-        first, many = self.words.of(words)
+        first, many = self.words.of(words.hashes, words.texts)
         many_of = many[words.row]
         ids = gather(self.words.flat, first[words.row], many_of)
         ends = np.concatenate([[0], np.cumsum(many_of)])[words.cut[1:]]

@@ -9,7 +9,9 @@ whole chunk in arrays; no text is matched on its own. Tests hold the cuts agains
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +145,30 @@ def gather(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
     if not len(ends) or not ends[-1]:
         return flat[:0]
     return flat[np.repeat(first - (ends - many), many) + np.arange(ends[-1])]
+
+
+class WordIds:
+    """Ids of words by the words' hashes. Words are encoded when first seen, and all are forgotten at the limit."""
+
+    def __init__(self, encode: WordEncoder, limit: int):
+        self.encode, self.limit = encode, limit
+        self.forget()
+
+    def forget(self):
+        self.rows: dict[int, int] = {}
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, hashes: np.ndarray, texts: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word's ids begin in ``flat``, how many they are); texts(which) gives the bytes of new words."""
+        if len(self.rows) > self.limit:
+            self.forget()
+        keys = hashes.tolist()
+        rows = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            ids, sizes = self.encode(texts(new))
+            rows[new] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows.update(zip(hashes[new].tolist(), rows[new].tolist(), strict=True))
+            self.flat = np.concatenate([self.flat, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        return self.at[rows], self.at[rows + 1] - self.at[rows]
