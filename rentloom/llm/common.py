@@ -9,21 +9,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one does for
+    a local session, whose executors are the driver; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="rentloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, name: str = "doc") -> Column:
+    """All columns of a frame as one struct, so that columns added beside it can't clash with them."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias(name)
+
+
+def unpacked(docs: DataFrame, changed: dict[str, Column] | None = None, added: dict[str, Column] | None = None, name: str = "doc") -> list[Column]:
+    """The columns of a packed frame again, some of them changed, and new ones. A new column takes the place of one that
+    has its name already, in whatever case."""
+    changed, added = changed or {}, added or {}
+    gone = {c.lower() for c in added}
+    kept = [(changed[c] if c in changed else F.col(name).getField(c)).alias(c) for c in docs.columns if c.lower() not in gone]
+    return [*kept, *[v.alias(c) for c, v in added.items()]]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later jobs neither recompute it nor depend on the
     executors that made it."""

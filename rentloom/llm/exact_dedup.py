@@ -1,7 +1,9 @@
 """Exact dedup by progressive refinement: length, then a prefix hash, then the full hash of what is left.
 
 Texts are equal when they are identical after lower-casing A-Z only; null counts as empty. Only the id and the text are
-read, whatever other columns there are. Rows with a null id take part and rank below all others.
+read, whatever other columns there are, so their names can't clash. Rows with a null id take part and rank below all
+others. No text is moved: what is shuffled are lengths and hashes, each level's groups are counted before they move, and
+a level looks only at rows whose group of the level before recurs.
 """
 
 from __future__ import annotations
@@ -9,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rentloom.llm.common import materialize, quoted
+
 PREFIX_CHARS = 64
+# Keys that are broadcast, at most: some 100 bytes each, so 20 MB. More are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,41 +25,58 @@ def normalized(text: Column | str) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    raw = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.octet_length(raw).alias("n"),
-        F.xxhash64(normalized(F.substring(raw, 1, PREFIX_CHARS))).alias("p"),
-        raw.alias("raw"),
-    )
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    raw = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    return docs.select(F.col(quoted(id_col)).alias("id"), raw.alias("raw"), F.octet_length(raw).alias("n"))
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more equal texts: n, p, full (the three keys), keep_id (largest id), group_size.
+def _prefix() -> Column:
+    return F.xxhash64(normalized(F.substring("raw", 1, PREFIX_CHARS)))
 
-    Each level aggregates keys before it shuffles, so a text with any number of copies is one row per task. The full
-    text moves only for rows whose length and prefix both recur.
-    """
-    keyed = _keys(docs, id_col, text_col)
-    lengths = keyed.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n")
-    prefixes = (
-        keyed.select("n", "p").join(lengths, "n", "left_semi").groupBy("n", "p").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n", "p")
-    )
-    left = keyed.join(prefixes, ["n", "p"], "left_semi")
-    return (
-        left.select("id", "n", "p", F.sha2(normalized("raw"), 256).alias("full"))
-        .groupBy("n", "p", "full")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+
+def _full() -> Column:
+    return F.sha2(normalized("raw"), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256. Repeated ids with equal texts are all kept."""
-    groups = equal_groups(docs, id_col, text_col)
-    rows = _keys(docs, id_col, text_col).select("id", "n", "p", F.sha2(normalized("raw"), 256).alias("full"))
-    return rows.join(groups, ["n", "p", "full"], "left").select(
+def _recurring(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, bool]:
+    """Keys that several rows have, as a table, and whether they are few enough for a broadcast."""
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*keys)
+    table = materialize(found, "exact-" + "-".join(keys))
+    few = table.count() <= most
+    return (F.broadcast(table) if few else table), few
+
+
+def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
+    """Groups of two or more equal texts: n, p, full (the three keys), keep_id (largest id), group_size.
+
+    Surviving keys of a level are broadcast to the scan while they are few, so the content of a text whose length or
+    prefix is its own is not looked at. If they are many, the next level's hash is taken in the scan and joined instead;
+    in neither case does a text leave the task that read it.
+    """
+    rows = _rows(docs, id_col, text_col)
+    lengths, few = _recurring(rows.select("n"), ["n"], most)
+    if few:
+        rows = rows.join(lengths, "n", "left_semi").withColumn("p", _prefix())
+    else:
+        rows = rows.withColumn("p", _prefix())
+    prefixes, few = _recurring(rows.select("n", "p"), ["n", "p"], most)
+    if few:
+        left = rows.join(prefixes, ["n", "p"], "left_semi").select("id", "n", "p", _full().alias("full"))
+    else:
+        left = rows.select("id", "n", "p", _full().alias("full")).join(prefixes, ["n", "p"], "left_semi")
+    return left.groupBy("n", "p", "full").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. Repeated ids with equal texts are all kept.
+
+    Groups meet their rows by the full hash, which is one of the columns asked for.
+    """
+    groups = materialize(equal_groups(docs, id_col, text_col, most).select("full", "keep_id", "group_size"), "exact-groups")
+    if groups.count() <= most:
+        groups = F.broadcast(groups)
+    rows = _rows(docs, id_col, text_col).select("id", _full().alias("full"))
+    return rows.join(groups, "full", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("keep_id", "id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),

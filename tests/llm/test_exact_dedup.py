@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 from rentloom.llm.exact_dedup import exact_dedup
@@ -13,8 +14,16 @@ def test_against_brute_force(spark, documents):
     groups = defaultdict(list)
     for i, t in rows:
         groups[lowered(t)].append(i)
-    got = exact_dedup(documents(rows).withColumnRenamed("lang", "n"))
-    seen = sorted((r.doc_id is not None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got.collect())
+    docs = documents(rows).withColumnsRenamed({"lang": "n", "source": "full"})
     want = sorted((i is not None, i or 0, (k := max(x for x in groups[lowered(t)] if x is not None)), len(groups[lowered(t)]), i == k) for i, t in rows)
-    assert seen == want
+    for most in (1000, 0):
+        got = exact_dedup(docs, most=most).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got) == want
+        assert all(r.text_sha256 == hashlib.sha256(lowered(dict(rows[:9])[r.doc_id]).encode()).hexdigest() for r in got if r.doc_id in range(1, 9))
     assert exact_dedup(documents([])).count() == 0
+
+
+def test_long_and_null_texts(spark, documents):
+    rows = [(1, "Word " * 200_000), (2, "wORD " * 200_000), (3, "word " * 199_999 + "w0rd ")]
+    assert {r.doc_id: r.keep_id for r in exact_dedup(documents(rows)).collect()} == {1: 2, 2: 2, 3: 3}
+    assert {r.keep_id for r in exact_dedup(documents([(1, None), (5, None), (2, None)])).collect()} == {5}
