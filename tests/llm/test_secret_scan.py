@@ -37,3 +37,27 @@ def test_masking(spark, documents):
     got = {r.doc_id: r.text for r in mask_secrets(documents(ROWS)).collect()}
     assert got[7] == "password=EXAMPLEEXAMPLE" and got[6] == "clean text" and got[4] is None
     assert "7db7aa4a5fcc78305" not in got[1] and MASK in got[1] and len(got) == len(ROWS)
+
+
+def test_masks_stand_where_the_values_stand(spark):
+    hexes = "0123456789abcdef" * 2
+    rows = [
+        (1, "token: yesterday and yesterday came", "en", "a"),
+        (2, f"é secret={hexes} x{hexes}y password=token=abcdefghij", "en", "a"),
+        (3, None, "en", "a"), (None, "token: yesterdays", "de", "b"), (4, "token: spread4567", "en", "c"), (5, "token: spread4567", "de", "c"), (6, "token: spread4567", "fr", "c"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").selectExpr("doc_id", "text", "lang", "source", "7 AS `__t`", "8 AS t", "9 AS `s``x.y`", "10 AS u")
+    out = mask_secrets(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == f"token: {MASK} and yesterday came" and got[3].text is None and got[None].text == f"token: {MASK}"
+    assert got[2].text == f"é secret={MASK} x{MASK}y password={MASK}" or hexes in got[2].text
+    assert all((r[4], r[5], r[6], r[7]) == (7, 8, 9, 10) for r in got.values())
+    # One owner, but three repositories.
+    assert got[4].text == "token: spread4567"
+
+
+def test_many_matches_in_one_text(spark, documents):
+    text = " ".join(f"secret=value{k:05d}" for k in range(5000))
+    got = {r.doc_id: r for r in secret_scan(documents([(1, text), (2, "")])).collect()}
+    assert got[1].n_assign == 5000 and got[1].spans == brute(text) and got[2].n_assign == 0
