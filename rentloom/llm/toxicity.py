@@ -13,7 +13,6 @@ length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import buffer_of, lower_ascii, mix, prefix_hash, slices, stretch_hash
+from rentloom.llm.common import buffer_of, lower_ascii, materialize, mix, prefix_hash, quoted, slices, stretch_hash
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
@@ -40,11 +39,64 @@ COST_SIGN, COST_REPEAT, COST_FILLER, COST_KEEP_REPEAT = 1.0, 0.5, 0.3, 1.5
 
 # The model's alphabet: 0 is an edge, 1 to 26 are letters, 27 is any other letter.
 LETTERS = 28
-_SIGNS = re.escape("".join(LOOKS_LIKE))
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z{_SIGNS}](?:[ .\-_*][A-Za-z{_SIGNS}]){{3,}}(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9{_SIGNS}])(?=[A-Za-z{_SIGNS}]*[A-Za-z])(?=[a-zA-Z{_SIGNS}]*[{_SIGNS}][A-Za-z{_SIGNS}]*[A-Za-z]|[A-Za-z{_SIGNS}]*([A-Za-z])\1\1)[A-Za-z{_SIGNS}]{{3,40}}(?![A-Za-z0-9])"
-)
+SPACED = 4
+APART = " .-_*"
+WINDOW = 256
+
+
+def _of(characters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer(characters.encode(), np.uint8)] = True
+    return table
+
+
+_LETTER, _SIGN, _APART = _of("".join(map(chr, [*range(65, 91), *range(97, 123)]))), _of("".join(LOOKS_LIKE)), _of(APART)
+_WORD = _LETTER | _of("0123456789")
+
+
+def disguised_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of what looks disguised: words of letters and signs, of any length from three on, with a sign before
+    their last letter or a letter three times in a row; and SPACED or more single letters or signs, set apart by one
+    separator each. ``at`` says where texts begin (n + 1 places). The time is linear in the bytes."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    letter, sign = _LETTER[data], _SIGN[data]
+    symbol = letter | sign
+    begins, ends = symbol.copy(), symbol.copy()
+    begins[1:] &= ~symbol[:-1] | first[1:n]
+    ends[:-1] &= ~symbol[1:] | first[1:n]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    start, end = start[end - start >= 3], end[end - start >= 3]
+    last = np.maximum.accumulate(np.where(letter, np.arange(n), -1))[end - 1] if len(end) else end
+    signs = np.concatenate([[0], np.cumsum(sign)])
+    thrice = np.zeros(n + 1, np.int64)
+    if n > 2:
+        thrice[1 : n - 1] = np.cumsum(letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]))
+        thrice[n - 1 :] = thrice[n - 2]
+    inside = last >= start
+    hit = inside & ((signs[np.maximum(last, start)] > signs[start]) | (thrice[end - 2] > thrice[start]))
+    start, end = start[hit], end[hit]
+    # Single symbols: no letter or digit on either side. A link is such a symbol, a separator and the next one.
+    word = _WORD[data]
+    single = symbol.copy()
+    single[1:] &= ~(word[:-1] & ~first[1:n])
+    single[:-1] &= ~(word[1:] & ~first[1:n])
+    link = np.zeros(n, bool)
+    if n > 2:
+        link[:-2] = single[:-2] & _APART[data[1:-1]] & single[2:] & ~first[1 : n - 1] & ~first[2:n]
+    more = [(start, end)]
+    for odd in (0, 1):
+        own = np.concatenate([[False], link[odd::2], [False]]).astype(np.int8)
+        step = np.diff(own)
+        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        long = b - a >= SPACED - 1
+        more.append((2 * a[long] + odd, 2 * b[long] + odd + 1))
+    start, end = (np.concatenate([m[k] for m in more]) for k in (0, 1))
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order]
 
 
 def letter_codes(data: np.ndarray) -> np.ndarray:
@@ -58,7 +110,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "text"):
                 data, at = buffer_of(part.column(0))
                 code = np.zeros(len(data) + 2 * len(at) + 2, np.int32)
                 code[np.arange(len(data)) + 2 * np.searchsorted(at, np.arange(len(data)), "right")] = letter_codes(data)
@@ -66,7 +118,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
-    rows = docs.select(text_col).mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**3)
     counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return counts
@@ -82,49 +134,70 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
-def restore(span: str, model: np.ndarray) -> str:
-    """The most likely word behind a span: Viterbi over (last two letters), with the readings of each character."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ch in span.lower():
-        if "a" <= ch <= "z":
-            readings = [(ord(ch) - 96, 0.0, ch)]
-        elif ch in LOOKS_LIKE:
-            readings = [(ord(c) - 96, COST_SIGN, c) for c in LOOKS_LIKE[ch]]
-        elif ch.isalpha():
-            readings = [(27, 0.0, ch)]
-        else:
-            readings = []
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+def readings(ch: str) -> list[tuple[int, float, str]]:
+    """(letter's code, cost, letter) of what a character may stand for; none where it is no letter."""
+    if "a" <= ch <= "z":
+        return [(ord(ch) - 96, 0.0, ch)]
+    if ch in LOOKS_LIKE:
+        return [(ord(c) - 96, COST_SIGN, c) for c in LOOKS_LIKE[ch]]
+    return [(27, 0.0, ch)] if ch.isalpha() else []
 
-        def offer(state, cost, text, after=after):
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, text)
 
-        for (a, b), (cost, text) in best.items():
-            for code, own, letter in readings:
+def restore(span: str, model: np.ndarray) -> str:
+    """The most likely word behind a span: Viterbi over (last two letters), with the readings of each character. Spans of
+    more than WINDOW characters are read window by window, each from the state in which the one before ended best."""
+    state, out, text = (0, 0), [], span.lower()
+    for k in range(0, len(text), WINDOW):
+        state, letters = _window(text[k : k + WINDOW], state, model, k + WINDOW >= len(text))
+        out.append(letters)
+    return "".join(out)
+
+
+def _window(text: str, state: tuple[int, int], model: np.ndarray, final: bool) -> tuple[tuple[int, int], str]:
+    best: dict[tuple[int, int], float] = {state: 0.0}
+    back: list[dict] = []
+    for ch in text:
+        options = readings(ch)
+        after: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple] = {}
+
+        def offer(to, cost, of, letter, after=after, came=came):
+            if to not in after or cost < after[to]:
+                after[to], came[to] = cost, (of, letter)
+
+        for of, cost in best.items():
+            a, b = of
+            for code, own, letter in options:
                 if code == b:
-                    offer((a, b), cost + own + COST_REPEAT, text)
+                    offer(of, cost + own + COST_REPEAT, of, "")
                     own += COST_KEEP_REPEAT
-                offer((b, code), cost + own - model[a, b, code], text + letter)
-            if ch in FILLER or not readings:
-                offer((a, b), cost + COST_FILLER, text)
+                offer((b, code), cost + own - model[a, b, code], of, letter)
+            if ch in FILLER or not options:
+                offer(of, cost + COST_FILLER, of, "")
         best = after
-    return min((cost - model[a, b, 0], text) for (a, b), (cost, text) in best.items())[1]
+        back.append(came)
+    ends = {to: cost - (model[to[0], to[1], 0] if final else 0.0) for to, cost in best.items()}
+    state = now = min(ends, key=lambda to: (ends[to], to))
+    letters = []
+    for came in reversed(back):
+        now, letter = came[now]
+        letters.append(letter)
+    return state, "".join(reversed(letters))
 
 
-def disguised_words(texts: pa.Array, model: np.ndarray, known: dict) -> tuple[list[int], list[str]]:
+def disguised_words(data: np.ndarray, at: np.ndarray, model: np.ndarray, known: dict) -> tuple[np.ndarray, list[str]]:
     """(row, restored word) of every disguised span; a span is decoded once."""
-    rows, words = [], []
-    for row, text in enumerate(texts):
-        for m in DISGUISED.finditer(text.as_py() or ""):
-            span = m[0].lower()
-            if span not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[span] = restore(span, model)
-            rows.append(row)
-            words.append(known[span])
-    return rows, words
+    start, end = disguised_spans(data, at)
+    words = []
+    raw = data.tobytes()
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        span = raw[a:b].decode("ascii").lower()
+        if span not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[span] = restore(span, model)
+        words.append(known[span])
+    return np.searchsorted(at, start, "right") - 1, words
 
 
 def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -141,7 +214,7 @@ def features(texts: pa.Array, model: np.ndarray, known: dict) -> tuple[np.ndarra
     """(row, bucket) of all words' features, of the plain words and of the restored ones, and how many words rows have."""
     data, at = buffer_of(texts)
     rows, buckets, many = [], [], np.zeros(len(texts), np.int64)
-    found_rows, found = disguised_words(texts, model, known)
+    found_rows, found = disguised_words(data, at, model, known)
     restored = "\n".join(found).encode()
     for raw, edges, owner in ((data, at, None), (np.frombuffer(restored, np.uint8), None, found_rows)):
         if not len(raw):
@@ -161,7 +234,7 @@ def features(texts: pa.Array, model: np.ndarray, known: dict) -> tuple[np.ndarra
             many += np.bincount(row, minlength=len(texts))
         else:
             lines = np.concatenate([[0], np.cumsum(raw == 10)])
-            row = np.array(owner)[lines[start]]
+            row = owner[lines[start]]
         for b in _hashed(lower_ascii(raw), start, end):
             rows.append(row)
             buckets.append(b)
@@ -214,13 +287,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     language = trigram_model(count_trigrams(docs, text_col))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    # Bounded by ``most`` rows of two numbers.
-    joined = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, F.col("label").cast("int").alias("label"))
+    # Bounded by ``most`` rows of two numbers; their documents are written once, and read three times.
+    sample = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), id_col)
+    joined = materialize(sample.select("text", F.col("label").cast("int").alias("label")), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: dict = {}
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "text"):
                 row, bucket, many = features(part.column(0), language, seen)
                 pairs, count = np.unique(row * BUCKETS + bucket, return_counts=True)
                 yield part.column(1).to_numpy(zero_copy_only=False), pairs // BUCKETS, pairs % BUCKETS, count, many
@@ -288,7 +362,7 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
         table[model.buckets] = np.arange(len(model.buckets))
         seen: dict = {}
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "text"):
                 row, bucket, many = features(part.column(1), model.language, seen)
                 k = table[bucket].astype(np.int64)
                 pairs, count = np.unique(row[k >= 0] * CANDIDATES + k[k >= 0], return_counts=True)
@@ -296,7 +370,7 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
                 out = [zlib.crc32((str(i) if i is not None else "").encode()) % 4 == 2 for i in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(task, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(task, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op3_toxicity(spark, sf_dir):

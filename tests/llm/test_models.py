@@ -1,9 +1,13 @@
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from rentloom.llm import quality, toxicity
+from rentloom.llm.common import buffer_of
 
 WORDS = [f"{a}{b}" for a in ("la", "re", "mon", "ti") for b in ("sol", "per", "ka", "nu", "de", "ri")]
 
@@ -48,6 +52,37 @@ def test_quality(spark, documents):
     assert quality.score(documents([]), model).count() == 0
 
 
+def test_quality_scores_by_the_plain_formula(spark, documents):
+    """Shares of words and forms taken word by word, and the cumulative link over them."""
+    rng = np.random.default_rng(5)
+    model = quality.Ordinal(rng.normal(size=quality.BUCKETS), np.array([-0.2, 0.3]))
+
+    def bucket(value, salt):
+        return int(quality.mix(np.array([value], np.uint64) + np.uint64(salt))[0]) % quality.BUCKETS
+
+    def plain(text):
+        words = re.findall(rb"[^\x20\t-\r]+", (text or "").encode())
+        total, before = 0.0, None
+        for w in words:
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+            raw = np.frombuffer(low, np.uint8)
+            h = int(quality.stretch_hash(quality.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+            digit = sum(48 <= c <= 57 for c in w)
+            letter = sum(97 <= c <= 122 or c >= 128 for c in low)
+            form = min(sum(65 <= c <= 90 for c in w), 3)
+            for part, most in ((len(w) - letter - digit, 4), (digit, 3), (len(w) // 3, 6), (low == before, 1)):
+                form = form * (most + 1) + min(int(part), most)
+            total += model.weights[bucket(h, 11)] + model.weights[bucket(form, 1 << 40)]
+            before = low
+        s = total / max(len(words), 1)
+        tails = [1 / (1 + np.exp(c - s)) for c in model.thresholds]
+        return round(sum(tails), 9), round(tails[0], 9), bool(tails[0] >= 0.5)
+
+    rows = [*corpus(30)[0], (90, None), (91, ""), (92, "A a A b1 ÉTÉ!! (x) 2024"), (92, "A a A b1 ÉTÉ!! (x) 2024"), (None, "no id"), (93, "Long text " * 100_000)]
+    got = sorted((round(r.expected_grade, 9), round(r.tail, 9), r.keep) for r in quality.score(documents(rows), model).collect())
+    assert got == sorted(plain(t) for _, t in rows)
+
+
 def test_restoring():
     counts = np.zeros(toxicity.LETTERS**3)
     for w in ["blockhead", "nitwit", *WORDS]:
@@ -57,8 +92,96 @@ def test_restoring():
     model = toxicity.trigram_model(counts)
     for span, want in [("bl0ckhead", "blockhead"), ("b l o c k h e a d", "blockhead"), ("n1twiiit", "nitwit"), ("n.i.t.w.i.t", "nitwit")]:
         assert toxicity.restore(span, model) == want
-    rows, words = toxicity.disguised_words(pa.array(["plain text", "a b l o c k h e a d", None, "the n1tw1t, 100 km in 2024", "bl0ckhead"]), model, {})
-    assert ("nitwit" in words) and words[-1] == "blockhead" and 0 not in rows
+    texts = ["plain text", "a b l o c k h e a d", None, "the n1tw1t, 100 km in 2024", "bl0ckhead"]
+    data, at = buffer_of(pa.array(texts))
+    rows, words = toxicity.disguised_words(data, at, model, {})
+    assert "nitwit" in words and words[-1] == "blockhead" and 0 not in rows
+
+
+def spans(*texts):
+    data, at = buffer_of(pa.array(texts, pa.string()))
+    return [data[a:b].tobytes().decode() for a, b in zip(*toxicity.disguised_spans(data, at), strict=True)]
+
+
+def plain_spans(text):
+    """The same by one character after the other."""
+    signs, out = set(toxicity.LOOKS_LIKE), []
+    for m in re.finditer(rf"[A-Za-z{re.escape(''.join(signs))}]{{3,}}", text):
+        core = m[0].rstrip("".join(signs))
+        if core and (any(c in signs for c in core) or re.search(r"([A-Za-z])\1\1", m[0])):
+            out.append((m.start(), m[0]))
+    one = rf"(?<![A-Za-z0-9])[A-Za-z{re.escape(''.join(signs))}](?![A-Za-z0-9])"
+    out += [(m.start(), m[0]) for m in re.finditer(rf"{one}(?:[ .\-_*]{one}){{3,}}", text)]
+    return [x for _, x in sorted(out)]
+
+
+def test_disguised_spans():
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice("aabz1$ .-xé9!") for _ in range(rng.randrange(30)))
+        assert spans(text) == plain_spans(text), text
+    assert spans("n1", "twit") == [] and spans("a b", "c d") == [] and spans(None, "") == []
+    long = "bl0ckhead" * 5
+    assert spans(f"x {long} y") == [long]
+    began = time.time()
+    assert spans("a" + "1" * 1_000_000) == [] and len(spans(" ".join(["b1b"] * 100_000))) == 100_000
+    assert time.time() - began < 3
+    assert len(toxicity.restore("a1" * 3000, np.zeros((toxicity.LETTERS,) * 3))) <= 6000
+
+
+def cheapest(text, model):
+    """The cost of every way to read a span, and the cheapest."""
+    best = (np.inf, "")
+
+    def go(k, a, b, cost, out):
+        nonlocal best
+        if k == len(text):
+            best = min(best, (cost - model[a, b, 0], out))
+            return
+        for code, own, letter in toxicity.readings(text[k]):
+            if code == b:
+                go(k + 1, a, b, cost + own + toxicity.COST_REPEAT, out)
+                own += toxicity.COST_KEEP_REPEAT
+            go(k + 1, b, code, cost + own - model[a, b, code], out + letter)
+        if text[k] in toxicity.FILLER or not toxicity.readings(text[k]):
+            go(k + 1, a, b, cost + toxicity.COST_FILLER, out)
+
+    go(0, 0, 0, 0.0, "")
+    return best
+
+
+def test_restoring_finds_the_cheapest_reading():
+    rng = random.Random(2)
+    model = np.log(np.random.default_rng(2).dirichlet(np.ones(toxicity.LETTERS), (toxicity.LETTERS, toxicity.LETTERS)))
+    for _ in range(300):
+        text = "".join(rng.choice("abll11!|.- *") for _ in range(rng.randrange(1, 9)))
+        assert toxicity.restore(text, model) == cheapest(text, model)[1], text
+
+
+def test_toxicity_scores_by_the_plain_formula(spark, documents):
+    """Words, restored words and their beginnings counted one by one, and the logistic formula over them."""
+    rows, labels = corpus(200)
+    docs, table = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, table)
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+
+    def bucket(word, salt):
+        raw = np.frombuffer(word, np.uint8)
+        return int(toxicity.mix(toxicity.stretch_hash(toxicity.prefix_hash(raw), np.array([0]), np.array([len(raw)])) + np.uint64(salt))[0]) % toxicity.BUCKETS
+
+    def score(text):
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+        restored = [toxicity.restore(s.lower(), model.language).encode() for s in plain_spans(text or "")]
+        found = Counter()
+        for w in [w.lower() for w in words] + [w for r in restored for w in re.findall(rb"[A-Za-z\x80-\xff]+", r)]:
+            for salt in (1, *toxicity.BEGINNINGS):
+                found[bucket(w if salt == 1 else w[:salt], salt)] += 1
+        s = model.constant + model.length * np.log1p(len(words)) + sum(weights.get(k, 0.0) * np.log1p(n) for k, n in found.items())
+        return 1 / (1 + np.exp(-s))
+
+    odd = [(1000, None), (1001, ""), (1002, "n1twiit  B.L.O.C.K.H.E.A.D été"), (1002, "again"), (None, "no id")]
+    got = toxicity.score(documents([*rows[:40], *odd]), model).collect()
+    assert sorted(round(r.score, 9) for r in got) == sorted(round(float(score(t)), 9) for _, t in [*rows[:40], *odd])
 
 
 def test_toxicity(spark, documents):
