@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.chunks import bucket_count, with_recurring
-from rentloom.llm.common import buffer_of, every_stretch, materialize, mix, prefix_hash, slices, stretch_hash
+from rentloom.llm.common import buffer_of, every_stretch, materialize, mix, prefix_hash, quoted, slices, stretch_hash
 from rentloom.llm.suffix_groups import suffix_order
 
 LENGTH = 100
@@ -38,6 +38,20 @@ CHUNK = 3 << 19
 HOT = 512
 U = np.uint64
 _LOW = U((1 << 24) - 1)
+SECTION = 1 << 23
+
+
+def _smallest(grams: np.ndarray, count: int) -> np.ndarray:
+    """Where the smallest gram of each of the first ``count`` windows is, the leftmost of equal ones. Positions stand in the
+    low bits beside the hashes, so a section has fewer windows than these bits can count."""
+    tag = grams | np.arange(len(grams), dtype=U)
+    w = LENGTH - GRAM + 1
+    full = np.full(-(-len(tag) // w) * w, np.iinfo(np.uint64).max, U)
+    full[: len(tag)] = tag
+    grid = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[:count], ahead[w - 1 : w - 1 + count]) & _LOW).astype(np.int64)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,23 +60,17 @@ def anchors(data: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none
-    tag = (every_stretch(sums, GRAM) & ~_LOW) | (np.arange(n - GRAM + 1, dtype=U) & _LOW)
-    w = LENGTH - GRAM + 1
-    rows = -(-len(tag) // w) * w
-    full = np.full(rows, np.iinfo(np.uint64).max, U)
-    full[: len(tag)] = tag
-    grid = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    grams = every_stretch(sums, GRAM) & ~_LOW
     count = n - LENGTH + 1
-    least = np.minimum(back[:count], ahead[w - 1 : w - 1 + count])
+    place = np.empty(count, np.int64)
+    for x in range(0, count, SECTION):
+        y = min(x + SECTION, count)
+        place[x:y] = x + _smallest(grams[x : y + LENGTH - GRAM], y - x)
     first = np.arange(count)
     row = np.repeat(np.arange(len(at) - 1), np.diff(np.minimum(at, count)))
     inside = first + LENGTH <= at[row + 1]
     first, row = first[inside], row[inside]
-    # Positions are kept modulo 2^24, which is more than the windows of one anchor span.
-    place = (least[inside] & _LOW).astype(np.int64)
-    place = first + ((place - first) & int(_LOW))
+    place = place[inside]
     if not len(first):
         return none, none, none, none
     cut = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
@@ -103,9 +111,13 @@ def _known(again: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
-    """One row per different segment of a chunk: anchor and segment hash, its bytes, how many windows, and its places."""
+    """One row per different segment of a chunk: anchor and segment hash, its bytes, how many windows, and its places.
+
+    Places of one text that touch or overlap, as in a text that repeats itself, are one: the first start, the second (-1
+    if there is none) and the last.
+    """
     data, at, sums, anchor, first, last, row = _prepared(texts)
-    out = {"a": [], "g": [], "windows": [], "seg": [], "ids": [], "texts": [], "starts": []}
+    out = {"a": [], "g": [], "windows": [], "seg": [], "ids": [], "texts": [], "starts": [], "seconds": [], "lasts": []}
     if len(anchor):
         lk, left, rk, right = _wide_keys(sums, at, anchor, row)
         left, right = left & _known(again, lk), right & _known(again, rk)
@@ -122,21 +134,31 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
         names = np.array([i if i is not None else -(1 << 63) for i in ids.to_pylist()], np.int64)
         order = np.lexsort((lo, names[row], g, a))
         a, g, lo, hi, row = a[order], g[order], lo[order], hi[order], row[order]
-        cut = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0))
-        ends = np.append(cut[1:], len(a))
+        fresh = (np.diff(a, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0)
+        touch = np.diff(lo, prepend=-1) <= hi - lo + LENGTH
+        # Runs of places, and the runs at which another segment begins.
+        run = np.flatnonzero(fresh | (np.diff(row, prepend=-1) != 0) | ~touch)
+        stop = np.append(run[1:], len(a))
+        cut = np.flatnonzero(fresh[run])
+        ends = np.append(cut[1:], len(run))
         raw = data.tobytes()
         start = lo - at[row]
+        second = np.where(stop - run > 1, start[np.minimum(run + 1, len(a) - 1)], -1)
+        one = run[cut]
+        per = lambda values: [values[x:y] for x, y in zip(cut.tolist(), ends.tolist(), strict=True)]
         out = {
-            "a": a[cut],
-            "g": g[cut],
-            "windows": hi[cut] - lo[cut] + 1,
-            "seg": [raw[x:y] for x, y in zip(lo[cut].tolist(), (hi[cut] + LENGTH).tolist(), strict=True)],
-            "ids": [names[row[x:y]] for x, y in zip(cut, ends, strict=True)],
-            "texts": [own[row[x:y]] for x, y in zip(cut, ends, strict=True)],
-            "starts": [start[x:y] for x, y in zip(cut, ends, strict=True)],
+            "a": a[one],
+            "g": g[one],
+            "windows": hi[one] - lo[one] + 1,
+            "seg": [raw[x:y] for x, y in zip(lo[one].tolist(), (hi[one] + LENGTH).tolist(), strict=True)],
+            "ids": per(names[row[run]]),
+            "texts": per(own[row[run]]),
+            "starts": per(start[run]),
+            "seconds": per(second),
+            "lasts": per(start[stop - 1]),
         }
     longs = pa.list_(pa.int64())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs, longs), strict=True)})
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs, longs, longs, longs), strict=True)})
 
 
 def hash_of(text: str | None) -> int:
@@ -258,7 +280,7 @@ def _hot_runs(windows: DataFrame) -> DataFrame:
 
 def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text_hash, start, stop): bytes to remove; stretches may overlap."""
-    longs = "ids array<long>, texts array<long>, starts array<long>"
+    longs = "ids array<long>, texts array<long>, starts array<long>, seconds array<long>, lasts array<long>"
     found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g long, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
     rows = materialize(found, "segments")
     light = rows.select("a", "g", "windows", F.struct(F.col("ids")[0].alias("id"), F.col("starts")[0].alias("start"), F.col("texts")[0].alias("text")).alias("p"))
@@ -270,18 +292,26 @@ def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g long, x long, y long, c long, id long, start long")
     runs = materialize(runs, "segment-runs")
     runs = runs.where("c is null").select("a", "g", "x", "y").unionByName(_hot_runs(runs.where("c is not null")))
-    places = rows.select("a", "g", "windows", F.explode(F.arrays_zip("ids", "starts", "texts")).alias("p"))
+    places = rows.select("a", "g", "windows", F.explode(F.arrays_zip("ids", "starts", "texts", "seconds", "lasts")).alias("p"))
     own = holders.select("a", "g", "owner")
     placed = places.join(own, ["a", "g"]).withColumn("first", (F.col("p.ids") == F.col("owner.id")) & (F.col("p.starts") == F.col("owner.start")) & (F.col("p.texts") == F.col("owner.text")))
-    whole = placed.where(~F.col("first")).select(F.col("p.ids").alias("id"), F.col("p.texts").alias("text_hash"), F.col("p.starts").alias("start"), (F.col("p.starts") + F.col("windows") + LENGTH - 1).alias("stop"))
+    again = F.when(F.col("first"), F.col("p.seconds")).otherwise(F.col("p.starts"))
+    whole = placed.withColumn("again", again).where("again >= 0").select(F.col("p.ids").alias("id"), F.col("p.texts").alias("text_hash"), F.col("again").alias("start"), (F.col("p.lasts") + F.col("windows") + LENGTH - 1).alias("stop"))
     part = runs.join(own, ["a", "g"]).select(F.col("owner.id").alias("id"), F.col("owner.text").alias("text_hash"), (F.col("owner.start") + F.col("x")).alias("start"), (F.col("owner.start") + F.col("y") + LENGTH - 1).alias("stop"))
     return whole.unionByName(part)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for."""
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for.
+
+    Documents are in the order of their ids, which have to be integers; ids of other types raise a TypeError. Other columns
+    are not read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    gone = removed_stretches(docs, id_col, text_col, hot)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; documents are put in order by integer ids")
+    docs = docs.select(F.col(quoted(id_col)).alias("own"), F.col(quoted(text_col)).alias("text"))
+    gone = removed_stretches(docs, "own", "text", hot)
     # Stretches of one document are joined up before they are gathered, in runs of neighbours.
     per = gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone"))
 
@@ -312,7 +342,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((doc, len(raw), len(raw) - len(left), many, hashlib.sha256(left).hexdigest(), *([left] * with_text)))
             yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, batch.column(0).type) for k, c in enumerate(zip(*out, strict=True))], names=["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    rows = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).mapInArrow(tag, f"own {kind}, text string, h long")
+    rows = docs.mapInArrow(tag, f"own {kind}, text string, h long")
     key = F.coalesce(F.col("own").cast("long"), F.lit(-(1 << 63)))
     joined = rows.join(per, (key == F.col("id")) & (F.col("h") == F.col("text_hash")), "left").select("own", "text", "gone")
     return joined.mapInArrow(cut, ddl).withColumnRenamed("own", id_col)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from rentloom.llm import substring_dedup as substring_dedup_module
 from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, substring_dedup
 from rentloom.llm.suffix_groups import suffix_order
 
@@ -63,3 +64,21 @@ def test_hot_anchors(spark, documents):
     holders = spark.range(3000).selectExpr("cast(if(id < 2500, 7, id % 100) as long) a", "xxhash64(id) g", "id owner", "1 windows")
     most = lambda hot: max(r["count"] for r in dealt(holders, 16, hot).groupBy("bucket").count().collect())
     assert most(HOT) < 400 and most(10_000) >= 2500
+
+
+def test_sections_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(97, 100, 3000), np.tile(rng.integers(97, 123, 7), 300)]).astype(np.uint8)
+    at, sums = np.array([0, 1200, len(data)]), substring_dedup_module.prefix_hash(data)
+    whole = substring_dedup_module.anchors(data, at, sums)
+    monkeypatch.setattr(substring_dedup_module, "SECTION", 97)
+    cut = substring_dedup_module.anchors(data, at, sums)
+    for a, b in zip(whole, cut, strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_very_long_text(spark, documents):
+    line = "a sentence that stands in many places and is long enough to count as a repeat when it comes back again. "
+    rows = [(1, line * 3), (2, "x" * 3_000_000 + line), (3, None)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup(documents(rows)).collect()}
+    assert got[1] == (2 * len(line), 1) and got[3] == (0, 0) and got[2][0] >= 3_000_000 - 1 + len(line) - 1
