@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rentloom.llm.common import buffer_of, slices
+from rentloom.llm.common import buffer_of, quoted, slices
 
 SIDE = 8
 SAMPLES = SIDE * SIDE
@@ -291,7 +292,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ddl = ", ".join(f"{k} {t}" for k, t in fields)
     schema = _arrow(docs, ddl)
-    return docs.select(id_col, text_col).mapInArrow(task, ddl).withColumnRenamed("id", id_col)
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(task, ddl).withColumnRenamed("id", id_col)
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -13,7 +13,8 @@ that band too. Equal sets are one class throughout, so copies cost nothing.
 
 Within a block's holders each is first compared with one only, one of a few with the fewest blocks that recur nowhere.
 Components are formed of the links found, and holders that are still apart are compared with the one that has the most
-links, which is what copies were made of rather than a changed copy; after that only holders in different components remain to be compared, all with all.
+links, which is what copies were made of rather than a changed copy; after that only holders in different components remain
+to be compared, all with all.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.chunks import bucket_count, pack_keys, unpack_keys, with_recurring
-from rentloom.llm.common import buffer_of, lower_ascii, materialize, mix, prefix_hash, slices, stretch_hash, word_bounds
+from rentloom.llm.common import buffer_of, lower_ascii, materialize, mix, packed, prefix_hash, quoted, slices, stretch_hash, unpacked, word_bounds
 from rentloom.llm.components import components
 
 WORDS = 5
@@ -249,15 +250,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64())], names=["id", "n", "cls"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sized, f"id {kind}, n long, cls long")
-    links = class_links(docs, id_col, text_col)
-    parts = components(links)
-    named = rows.join(parts, rows["cls"] == parts["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("c"))
-    alone = F.col("c") == 0
-    smallest = named.where(~alone).groupBy("c").agg(F.min("id").alias("least"))
+    plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    rows = plain.mapInArrow(sized, f"id {kind}, n long, cls long")
+    named = _named(rows, class_links(plain, "id", "text"))
+    smallest = named.where("c != 0").groupBy("c").agg(F.min("id").alias("least"))
     return named.join(smallest, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with their component c by the links between classes; rows without words have 0."""
+    parts = components(links)
+    return rows.join(parts, rows["cls"] == parts["node"], "left").withColumn("c", F.coalesce("component", "cls")).drop("component", "node")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with one row left of each group of near-duplicates: that with the smallest id, null ids last, then
+    the one with the smallest hash of its text. All rows without words stay, and all columns, whatever their names.
+
+    Rows are told apart by id and text, so a row that repeats an id with another text is judged by its own text. Of rows
+    that repeat both and stay, one stays.
+    """
+
+    def tagged(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, shingle = shingle_sets(part.column(1))
+                size, name = class_ids(row, shingle, len(part))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(name, pa.int64())], names=["id", "t", "n", "cls"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text_hash = F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), text_hash.alias("t"))
+    rows = plain.mapInArrow(tagged, f"id {kind}, t long, n long, cls long")
+    named = materialize(_named(rows, class_links(plain, "id", "text")).where("c != 0").select("id", "t", "c"), "jaccard-named")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "t")
+    first = named.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    inside = named.join(first, "c").select("id", "t", (place == F.col("first")).alias("stays"))
+    gone = inside.where(~F.col("stays")).select("id", "t").distinct()
+    own = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), text_hash.alias("u"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("u") == F.col("t"))
+    kept = own.join(gone, same, "left_anti")
+    twice = materialize(inside.where("stays").groupBy("id", "t").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id", "t"), "jaccard-repeats")
+    if not twice.isEmpty():
+        # Rows that stay and are there several times: one of them, the first by all its columns as text.
+        repeats = kept.join(twice, same, "left_semi").groupBy("own", "u").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+        kept = kept.join(twice, same, "left_anti").select("doc").unionByName(repeats.select("doc"))
+    return kept.select(*unpacked(docs))
+
+
 def class_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect whatever is linked."""
     schema = "cls long, n int, own int, f0 int, f1 int, u0 int, u1 int, bands array<int>, keys array<long>, shingles binary"

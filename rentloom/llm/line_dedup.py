@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 A run of RUN_LINES or more consecutive lines that also stands earlier (smaller id, or earlier in the same document) is
-deleted; its first occurrence stays. So is a shorter run, one line too, of more than LONG_WORDS words. Every window of RUN_LINES line hashes selects its smallest hash as fingerprint
-(the leftmost on ties), so two equal runs of that length are bound to select the same line. Only fingerprints that
+deleted; its first occurrence stays. So is a shorter run, one line too, of more than LONG_WORDS words. Every window of
+RUN_LINES line hashes selects its smallest hash as fingerprint (the leftmost on ties), so two equal runs of that length are bound to select the same line. Only fingerprints that
 recur are followed up: their positions are joined to the first position of the same window, and matches that go on to
 the left and right along the same pair of documents are merged into maximal runs. Shorter windows with enough words are
 few, so all of them are grouped by their hash.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rentloom.llm.common import pinned
+from rentloom.llm.common import packed, pinned, quoted, unpacked
 
 RUN_LINES = 3
 LONG_WORDS = 50
@@ -29,7 +29,7 @@ _LINES = "split(coalesce({0}, ''), '\n', -1)"
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, run: int = RUN_LINES) -> DataFrame:
     """One row per selected line: id, t (hash of the text), f (its hash), lo (first window that selects it) and near,
     the line hashes of all windows that select it."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("raw"))
     hashed = pinned(rows.select("id", F.xxhash64("raw").alias("t"), F.split("raw", "\n", -1).alias("lines")), h="transform(lines, x -> xxhash64(x))")
     smallest = f"array_position(slice(h, i + 1, {run}), array_min(slice(h, i + 1, {run})))"
     at = pinned(
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, run: int = RUN_LIN
 
 def long_windows(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -> DataFrame:
     """Windows of fewer than ``run`` lines that have more than ``words`` words: id, t, line, n (lines) and g (hash)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("raw"))
     split = pinned(rows.select("id", F.xxhash64("raw").alias("t"), F.split("raw", "\n", -1).alias("lines")), w=F.transform(F.col("lines"), lambda x: F.regexp_count(x, F.lit(_WORD))))
     enough = "aggregate(slice(w, i + 1, {n}), 0, (a, x) -> a + x) > {words}"
     of = "if(size(w) >= {n}, transform(filter(sequence(0, size(w) - {n}), i -> " + enough + "), i -> struct(i as line, {n} as n)), array())"
@@ -89,21 +89,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN_LINES, words: int | None = LONG_WORDS) -> DataFrame:
-    """The documents with later repeated runs deleted from the text, and n_lines, n_removed, both longs."""
+    """The documents with later repeated runs deleted from the text, and n_lines, n_removed, both longs, which take the
+    place of columns that have these names already. All other columns are passed on, whatever their names."""
     runs = repeated_runs(docs, id_col, text_col, run, words).groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-    runs = runs.select(F.col("id").alias("__id"), F.col("t").alias("__u"), F.col("runs").alias("__runs"))
-    rows = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = rows.join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__u")), "left")
-    cut = joined.withColumns({"__lines": F.expr(_LINES.format(f"`{text_col}`")), "__hit": F.col("__runs").isNotNull()}).withColumn(
-        "__kept", F.expr("CASE WHEN __hit THEN filter(__lines, (x, i) -> NOT exists(__runs, r -> i >= r.start AND i < r.stop)) END")
-    )
-    size = F.size("__lines").cast("long")
-    text = F.when(F.col("__hit"), F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return cut.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        size.alias("n_lines"),
-        F.when(F.col("__hit"), size - F.size("__kept")).otherwise(0).cast("long").alias("n_removed"),
+    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), F.col(quoted(text_col)).alias("raw"), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("u"))
+    joined = rows.join(runs, F.col("own").eqNullSafe(F.col("id")) & (F.col("u") == F.col("t")), "left")
+    cut = joined.withColumns({"lines": F.expr(_LINES.format("raw")), "hit": F.col("runs").isNotNull()}).withColumn(
+        "kept", F.expr("CASE WHEN hit THEN filter(lines, (x, i) -> NOT exists(runs, r -> i >= r.start AND i < r.stop)) END")
     )
+    size = F.size("lines").cast("long")
+    text = F.when(F.col("hit"), F.array_join("kept", "\n")).otherwise(F.col("raw"))
+    removed = F.when(F.col("hit"), size - F.size("kept")).otherwise(0).cast("long")
+    return cut.select(*unpacked(docs, {text_col: text}, {"n_lines": size, "n_removed": removed}))
 
 
 def _hashed(spark, sf_dir, words):

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rentloom.llm.common import buffer_of, lower_ascii, mix, prefix_hash, slices, stretch_hash, word_bounds
+from rentloom.llm.common import buffer_of, lower_ascii, mix, packed, prefix_hash, quoted, slices, stretch_hash, unpacked, word_bounds
 
 BUCKETS = 2048
 TRAIN_ROWS = 4000
@@ -120,44 +121,43 @@ def rating() -> Column:
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> Ordinal:
     """Fit on the ``most`` rated documents with the smallest hashes of their ids. ratings: id, grade. Rows without an id
-    or a grade are left out; an id that is rated twice counts once, with its lowest grade."""
+    or a grade are left out; an id that is rated twice counts once, with its lowest grade. Of documents that repeat an id,
+    2 x ``most`` rows at most are fitted, those with the smallest ids as text."""
     rated = ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64(id_col), id_col).limit(most)
     # Bounded by ``most`` rows.
-    joined = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "grade")
+    joined = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias("raw")).join(F.broadcast(chosen), id_col).select(id_col, "raw", "grade")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, "raw"):
                 x = vectors(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), part.column(0).cast(pa.string())], names=["grade", "x", "id"])
 
-    rows = joined.mapInArrow(task, "grade long, x binary, id string").toArrow()
+    rows = joined.mapInArrow(task, "grade long, x binary, id string").orderBy("id", F.xxhash64("x")).limit(2 * most).toArrow()
     if not len(rows):
         return Ordinal(np.zeros(BUCKETS), np.zeros(0))
-    order = np.argsort(np.array(rows.column("id").to_pylist()), kind="stable")[: 2 * most]
-    x = np.stack([np.frombuffer(v.as_py(), np.float32) for v in rows.column("x")])[order]
-    return fit(x, rows.column("grade").to_numpy()[order])
+    return fit(np.stack([np.frombuffer(v.as_py(), np.float32) for v in rows.column("x")]), rows.column("grade").to_numpy())
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """The documents and expected_grade, tail (P(grade >= keep_grade)), keep. A text without words scores as the zero
-    vector does; without a model (no ratings) everything is kept, with tail 1."""
-    names = docs.columns
-    place = {c: i for i, c in enumerate(names)}
+    """The documents and expected_grade, tail (P(grade >= keep_grade)), keep, which take the place of columns that have
+    these names already. A text without words scores as the zero vector does; without a model (no ratings) everything is
+    kept, with tail 1."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                row, word, form = word_features(part.column(place[text_col]))
+            for part in slices(batch, "raw"):
+                row, word, form = word_features(part.column(1))
                 n = len(part)
                 sums = np.bincount(row, model.weights[word] + model.weights[form], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
                 expected, tails = model.grades(sums)
                 tail = tails[:, keep_grade - 1] if keep_grade <= tails.shape[1] else np.ones(n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(expected), pa.array(tail), pa.array(tail >= keep_tail)], names=[*names, "expected_grade", "tail", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep_tail)], names=["doc", "expected_grade", "tail", "keep"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(task, f"{ddl}, expected_grade double, tail double, keep boolean")
+    scored = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(n, k) for n, k in (("expected_grade", T.DoubleType()), ("tail", T.DoubleType()), ("keep", T.BooleanType())))])
+    rows = docs.select(packed(docs), F.col(quoted(text_col)).alias("raw")).mapInArrow(task, scored)
+    return rows.select(*unpacked(docs, added={c: F.col(c) for c in ("expected_grade", "tail", "keep")}))
 
 
 def op1_quality_classifier(spark, sf_dir):
