@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: STAGES, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents. n_chars follows the text where a stage changes it. Empty inputs go through all stages.
+of documents, whatever other columns there are. n_chars follows the text where a stage changes it. Null and repeated ids,
+null texts and empty inputs go through all stages.
 """
 
 from __future__ import annotations
@@ -30,10 +31,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without words all stay."""
-    groups = jaccard_join.near_duplicates(docs)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Of each group of near-duplicates the row with the smallest id stays; rows without words all stay. Rows are judged by
+    id and text, so null or repeated ids cost no other text."""
+    return jaccard_join.without_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# The classifier's training and the tokenizer can't be written in SQL; tests hold run() against a plain version.
+# The classifier's training and the tokenizer can't be written in SQL; tests/llm hold run() against a plain version.
 ORACLE_SQL = None
 
 
