@@ -13,13 +13,13 @@ SCOPE_RANGE = (2000.0, 8000.0)
 CENSUS_SENTINEL = -666666666
 MONTH_COLUMN = r"^\d{4}-\d{2}-\d{2}$"
 VIOLENT = [
-    "Assault", "Homicide", "Human Trafficking", "Human Trafficking (A), Commercial Sex Acts", "Human Trafficking (B), Involuntary Servitude",
-    "Human Trafficking, Commercial Sex Acts", "Offences Against The Family And Children", "Rape", "Robbery", "Sex Offense",
-    "Weapons Carrying Etc", "Weapons Offence", "Weapons Offense",
+    "Assault", "Robbery", "Sex Offense", "Homicide", "Weapons Offense", "Weapons Carrying Etc", "Weapons Offence",
+    "Human Trafficking, Commercial Sex Acts", "Human Trafficking (A), Commercial Sex Acts", "Human Trafficking (B), Involuntary Servitude",
+    "Human Trafficking", "Rape", "Offences Against The Family And Children",
 ]
 PROPERTY = [
-    "Arson", "Burglary", "Embezzlement", "Forgery And Counterfeiting", "Fraud", "Larceny Theft", "Malicious Mischief",
-    "Motor Vehicle Theft", "Motor Vehicle Theft?", "Recovered Vehicle", "Stolen Property", "Vandalism",
+    "Larceny Theft", "Burglary", "Motor Vehicle Theft", "Motor Vehicle Theft?", "Vandalism", "Malicious Mischief", "Arson",
+    "Stolen Property", "Embezzlement", "Forgery And Counterfeiting", "Fraud", "Recovered Vehicle",
 ]
 FLOORPLAN = r"(?U)(?i)(Studio|\d+\s+Beds\+|\d+\s+Beds|\d+\s+Bed)\s+\$\s*([\d,]+)\+?"
 UNIT_PRICE = r"(?U)(?i)(Studio|\d+\s+Beds?\+?)\s+\$\s*([\d,]+)(\+?)"
@@ -31,9 +31,17 @@ SCORE_LABELS = {
     "bike": [(90, "Biker's Paradise"), (70, "Very Bikeable"), (50, "Bikeable"), (25, "Somewhat Bikeable"), (0, "Somewhat Bikeable")],
 }
 SIZE_FACTORS = {0: 0.70, 1: 0.90, 2: 1.10, 3: 1.35, 4: 1.55, 5: 1.70}
+UNIT_AT = r"(?i)^\s*(?:unit|apt|apartment|suite|ste|#)\s*[\w-]+\s+at\s+(.+)$"
+TRAILING_UNIT = r"(?i),?\s*(?:unit|apt|apartment|suite|ste|#)\s*[\w-]+\s*$"
 SLUG_STOPS = ["san", "francisco", "sf", "ca", "california", "unit", "apt", "apartment", "suite", "ste"]
-BLOCK_MARKERS = ["access denied", "captcha", "verify you are human", "unusual traffic", "pardon our interruption"]
+URL_MARKERS = ["captcha", "access denied", "akamai", "interstitial"]
+BLOCK_MARKERS = [
+    "captcha", "access denied", "unusual traffic", "verify you are human", "pardon our interruption", "are you a robot", "akamai",
+    "access to this page",
+]
 SQFT_COLUMNS = ["sqft", "square_feet", "sq_ft", "square_feet_listed"]
+UNIT_COLUMNS = ["title", "beds_baths", "pricing", "address", "zip_code", "url", "scraped_at"]
+UNIT_KEYS = ["zip_code", "bedrooms", "bathrooms", "rent_usd"]
 LISTING_COLUMNS = ["zip_code", "date", "rent_usd", "beds_baths", "sqft", "address", "url"]
 MODEL_NUMERIC = [
     "bedrooms", "bathrooms", "walk_score", "transit_score", "census_median_income", "census_renter_ratio", "census_vacancy_rate",

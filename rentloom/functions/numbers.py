@@ -84,6 +84,12 @@ def or_null(c: Column | str) -> Column:
     return F.when(~F.isnan(_col(c)), _col(c))
 
 
+def finite(c: Column | str) -> Column:
+    """A double; NaN and infinities as null."""
+    c = _col(c).cast("double")
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def normal_output(df: DataFrame, bands: list[str], contributors: str | None = None) -> DataFrame:
     """Model output with real nulls and an empty list for missing contributors."""
     out = df.withColumns({b: or_null(b) if b in df.columns else F.lit(None).cast("double") for b in bands})

@@ -32,6 +32,11 @@ def standard_zip(c: Column | str) -> Column:
     return F.when(n.between(0, 99999), F.lpad(n.cast("long").cast("string"), 5, "0"))
 
 
+def zero_filled(c: Column, width: int = 5) -> Column:
+    """Leading zeros up to a width; longer texts stay whole."""
+    return F.lpad(c, F.greatest(F.length(c), F.lit(width)), F.lit("0"))
+
+
 def money(c: Column | str) -> Column:
     """"$1,000.50" as 1000.5."""
     return number(F.regexp_replace(_col(c).cast("string"), "[$,%]", ""))
@@ -132,8 +137,8 @@ def score_label(c: Column | str, kind: str) -> Column:
 
 def clean_address(c: Column | str) -> Column:
     """Without a leading "Unit 5 at" and a trailing "apt 5"."""
-    s = F.regexp_replace(F.trim(_col(c)), r"(?i)^\s*(?:unit|apt|apartment|suite|ste|#)\s*[\w-]+\s+at\s+(.+)$", "$1")
-    s = F.regexp_replace(s, r"(?i),?\s*(?:unit|apt|apartment|suite|ste|#)\s*[\w-]+\s*$", "")
+    s = F.regexp_replace(F.trim(_col(c)), C.UNIT_AT, "$1")
+    s = F.regexp_replace(s, C.TRAILING_UNIT, "")
     return F.nullif(F.trim(s, F.lit(" ,")), F.lit(""))
 
 
@@ -145,7 +150,6 @@ def addressable(c: Column | str) -> Column:
 def street_of_slug(slug: Column | str) -> Column:
     """"14-isis-st-san-francisco-ca" as "14 isis st"; tokens of six and more letters and digits are ids."""
     words = F.split(_col(slug), "-")
-    stop = F.expr("1")
     stops = F.array(*[F.lit(x) for x in C.SLUG_STOPS])
     flags = F.transform(words, lambda w: F.array_contains(stops, F.lower(w)))
     stop = F.array_position(flags, F.lit(True)).cast("int")
@@ -164,7 +168,7 @@ def recover_address(address: Column | str, url: Column | str, zip_code: Column |
     """(query, source): the address, else the URL's, else the ZIP's centre, else none."""
     raw, clean, from_url = F.trim(_col(address)), clean_address(address), address_of_url(url)
     z = F.trim(_col(zip_code).cast("string"))
-    padded = F.coalesce(F.lpad(number(z).cast("long").cast("string"), 5, "0"), z)
+    padded = F.coalesce(zero_filled(number(z).cast("long").cast("string")), z)
     pair = lambda q, s: F.struct(q.cast("string").alias("query"), s.alias("source"))
     return (
         F.when(addressable(clean), pair(clean, F.when(clean == raw, "address").otherwise("address_normalized")))
@@ -189,8 +193,9 @@ def actual_rent(first: Column | str, second: Column | str) -> Column:
 
 
 def looks_blocked(url: Column | str, body: Column | str, markers: list[str] | None = None) -> Column:
-    text = F.lower(F.concat_ws(" ", _col(url), _col(body)))
-    return reduce(lambda a, m: a | text.contains(m), markers or C.BLOCK_MARKERS, F.lit(False))
+    """Whether a page's address or its text has one of the markers of a blocked page; given ones hold for both."""
+    has = lambda c, words: reduce(lambda a, m: a | F.coalesce(F.lower(_col(c)).contains(m), F.lit(False)), words, F.lit(False))
+    return has(url, markers or C.URL_MARKERS) | has(body, markers or C.BLOCK_MARKERS)
 
 
 def place_labels(places: DataFrame, zip_col: str, name_col: str, label: str = "label") -> DataFrame:
@@ -201,5 +206,5 @@ def place_labels(places: DataFrame, zip_col: str, name_col: str, label: str = "l
 
 def with_centroid(df: DataFrame, zip_col: str, centroids: DataFrame) -> DataFrame:
     """Joins (zip_code, lat, lon), a table of one row per ZIP, which Spark broadcasts when it is small."""
-    key = F.lpad(_col(zip_col).cast("string"), 5, "0")
+    key = zero_filled(_col(zip_col).cast("string"))
     return df.withColumn("__zip", key).join(centroids.withColumnRenamed("zip_code", "__zip"), "__zip", "left").drop("__zip")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from rentloom.functions import constants as C
 from rentloom.functions import numbers as N
 from rentloom.functions import text as X
+from rentloom.operators import quantiles as Q
 
 
 def category_counts(df: DataFrame, keys: list[str], category: str, groups: dict[str, list[str]], total: str) -> DataFrame:
@@ -64,8 +65,9 @@ def distribution(df: DataFrame, c: str, exact: bool = True) -> DataFrame:
     """One row: n, mean, median, std, min, p10, p25, p75, p90, max. Quantiles are interpolated; for very large inputs
     ask for approximate ones."""
     points = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = F.percentile(c, F.array(*map(F.lit, points))) if exact else F.percentile_approx(c, points, 10_000)
-    one = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), q.alias("q"))
+    one = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), *([] if exact else [F.percentile_approx(c, points, 10_000).alias("q")]))
+    if exact:
+        one = one.crossJoin(F.broadcast(Q.exact_quantiles(df, c, points)))
     return one.select("n", "mean", "std", "min", "max", *[F.col("q")[k].alias(name) for k, name in enumerate(("p10", "p25", "median", "p75", "p90"))])
 
 
@@ -76,15 +78,12 @@ def correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """(feature, spearman) with mean ranks for ties. Ranks come from counts per value, so only the values of a column,
-    not the rows, pass through one window."""
+    """(feature, spearman) with mean ranks for ties. Ranks come from counts per value, added up range by range."""
     out = []
     for c in columns:
         both = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()).select(F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y"))
         for v in ("x", "y"):
-            counts = both.groupBy(v).agg(F.count(F.lit(1)).alias("n"))
-            up = F.sum("n").over(W.partitionBy(F.lit(1)).orderBy(v))
-            both = both.join(counts.select(v, (up - F.col("n") / 2 + 0.5).alias(f"r{v}")), v)
+            both = both.join(Q.mean_ranks(both, v).select(F.col("v").alias(v), F.col("rank").alias(f"r{v}")), v)
         out.append(both.agg(pearson("rx", "ry").alias("spearman")).select(F.lit(c).alias("feature"), "spearman"))
     return reduce(DataFrame.unionByName, out)
 
@@ -188,10 +187,21 @@ def expectations(df: DataFrame, rules: dict[str, Column], unique: list[str] | No
     return out.withColumn("severity", F.when(F.col("rule").isin(list(soft)), "soft").otherwise("hard"))
 
 
+def check_listings(df: DataFrame) -> DataFrame:
+    """(rule, failures, severity) of a table of cleaned unit listings: its rows' rules, its header and that it has rows."""
+    header = F.lit(0 if df.columns == C.UNIT_COLUMNS else 1).cast("long")
+    complete = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in C.UNIT_COLUMNS])
+    rules = expectations(complete, listing_rules(), soft=["address_has_zip", "title_not_price"])
+    empty = df.agg(F.count_if(F.lit(True)).alias("n")).select(F.lit("not_empty").alias("rule"), (F.col("n") == 0).cast("long").alias("failures"), F.lit("hard").alias("severity"))
+    return rules.unionByName(empty).unionByName(empty.select(F.lit("exact_header").alias("rule"), header.alias("failures"), "severity"))
+
+
 def listing_rules() -> dict[str, Column]:
-    """What a cleaned unit listing has to satisfy."""
+    """What a row of cleaned unit listings has to satisfy; the last two are wishes."""
     c = F.col
+    present = reduce(lambda a, b: a & b, [c(x).isNotNull() for x in C.UNIT_COLUMNS])
     return {
+        "no_missing_cell": present,
         "url_shape": c("url").rlike("^https?://[^ ]+/[^ ]+"),
         "price_has_dollar": c("pricing").contains("$"),
         "price_format": c("pricing").rlike(r"^\$[\d,]+\+?$"),
@@ -200,13 +210,27 @@ def listing_rules() -> dict[str, Column]:
         "zip_digits": c("zip_code").rlike(r"^\d{5}$"),
         "title_present": F.trim("title") != "",
         "address_present": F.trim("address") != "",
+        "address_has_zip": c("address").rlike(r",\s*CA\s+9\d{4}"),
+        "title_not_price": ~F.trim("title").rlike(r"^\$[\d,]+\+?$"),
     }
 
 
 def fill_medians(df: DataFrame, columns: list[str], by: DataFrame | None = None) -> DataFrame:
     """Nulls as the exact median of a column (of ``by``, the training rows, if given)."""
-    medians = (df if by is None else by).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+    known = df if by is None else by
+    return df.crossJoin(F.broadcast(medians(known, columns))).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the exact median of each column c as __c."""
+    each = [Q.exact_quantiles(df, c, [0.5]).select(F.col("q")[0].alias(f"__{c}")) for c in columns]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), each)
+
+
+def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_distinct): different values of each column that aren't null."""
+    one = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    return one.unpivot([], columns, "column_name", "n_distinct")
 
 
 VIOLENCE = {"crime_violent_month_zip": C.VIOLENT, "crime_property_month_zip": C.PROPERTY}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,12 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def left_features(left: DataFrame, right: DataFrame, keys: list[str], fills: dict[str, object]) -> DataFrame:
-    """Left join with one row per key on the right; misses get their fill, as do columns that the left had before."""
+def left_features(left: DataFrame, right: DataFrame, keys: list[str], fills: dict[str, object], latest_by: list | None = None) -> DataFrame:
+    """Left join with one row per key on the right; misses get their fill, as do columns that the left had before. Where
+    keys may repeat on the right, ``latest_by`` is the order whose last row counts."""
     kept = left.drop(*fills)
+    if latest_by is not None:
+        right = keep_first(right, keys, latest_by, last=True)
     return kept.join(right.select(*keys, *fills), keys, "left").fillna(fills)
 
 
@@ -35,26 +40,36 @@ def asof_join(left: DataFrame, panel: DataFrame, values: list[str], month: str =
     """Point-in-time join: the panel row with the greatest month not after the left row's.
 
     Values that are null there come from the key's latest row (fallback "latest"), which may lie after the left row, or
-    stay null ("none"). provenance says exact, asof, latest or none. The panel has one row per key and month; the join
-    is on the key, with the month's interval as a condition, so it is a hash join. Without a key the panel is a single
-    series of months, whose length the calendar bounds.
+    stay null ("none"). provenance says exact, asof, latest or none. Months are dates or times of a month's beginning, in
+    the panel one per key at most.
+
+    The panel is written out for every month between the first and the last that the left side asks for, and one entry
+    for rows without a month, so the join is by equality of key and month, and a key's rows are spread over its months.
     """
-    keys = [key] if key else []
-    spans = panel.where(F.col(month).isNotNull()).select(*[F.col(k).alias("__pk") for k in keys], F.col(month).alias("__pm"), *[F.col(v).alias(f"__{v}") for v in values])
-    part = W.partitionBy("__pk").orderBy("__pm") if key else W.partitionBy(F.lit(1)).orderBy("__pm")
-    spans = spans.withColumn("__next", F.lead("__pm").over(part))
-    inside = (F.col(month) >= F.col("__pm")) & (F.col("__next").isNull() | (F.col(month) < F.col("__next")))
-    out = left.join(spans, ((F.col(key) == F.col("__pk")) & inside) if key else inside, "left")
-    latest = spans.groupBy(*["__pk"] * bool(key)).agg(*[F.max_by(f"__{v}", "__pm").alias(f"__latest_{v}") for v in values]).withColumn("__has", F.lit(True))
-    if key:
-        out = out.drop("__pk").join(latest.withColumnRenamed("__pk", "__lk"), F.col(key) == F.col("__lk"), "left").drop("__lk")
-    else:
-        out = out.crossJoin(F.broadcast(latest))
+    kind = left.schema[month].dataType.simpleString()
+    none = F.lit("0001-01-01").cast(kind)
+    keys = ["__pk"] if key else []
+    spans = panel.where(F.col(month).isNotNull()).select(*[F.col(key).alias(k) for k in keys], F.col(month).cast(kind).alias("__pm"), *[F.col(v).alias(f"__{v}") for v in values])
+    order = (W.partitionBy("__pk") if key else W.partitionBy(F.lit(1))).orderBy("__pm")
+    latest = spans.groupBy(*keys).agg(F.min("__pm").alias("__first"), *[F.max_by(f"__{v}", "__pm").alias(f"__latest_{v}") for v in values])
+    asked = left.agg(F.min(month).alias("__lo"), F.max(month).alias("__hi"))
+    step = F.expr("INTERVAL 1 MONTH")
+    series = lambda a, b: F.when(a <= b, F.sequence(a, b, step)).otherwise(F.array().cast(f"array<{kind}>"))
+    one = latest.crossJoin(F.broadcast(asked))
+    early = F.concat(F.array(none), F.coalesce(series(F.col("__lo"), F.col("__first") - step), F.array().cast(f"array<{kind}>")))
+    before = one.select(*keys, F.explode(early).alias("__m"), *[F.lit(None).cast(spans.schema[f"__{v}"].dataType).alias(f"__{v}") for v in values], F.lit(None).cast(kind).alias("__pm"), *[f"__latest_{v}" for v in values])
+    last = F.coalesce(F.lead("__pm").over(order) - step, F.greatest(F.col("__pm"), "__hi"))
+    ended = spans.crossJoin(F.broadcast(asked)).withColumn("__end", last)
+    filled = ended.join(latest, keys) if key else ended.crossJoin(F.broadcast(latest))
+    after = filled.select(*keys, F.explode(series(F.col("__pm"), F.col("__end"))).alias("__m"), *[f"__{v}" for v in values], "__pm", *[f"__latest_{v}" for v in values])
+    grid = before.unionByName(after)
+    same = F.coalesce(F.col(month).cast(kind), none) == F.col("__m")
+    out = left.join(grid, (F.col(key) == F.col("__pk")) & same if key else same, "left")
     take = lambda v: F.coalesce(f"__{v}", f"__latest_{v}") if fallback == "latest" else F.col(f"__{v}")
     found = F.coalesce(*[F.col(f"__{v}") for v in values]).isNotNull()
     late = F.coalesce(*[F.col(f"__latest_{v}") for v in values]).isNotNull() if fallback == "latest" else F.lit(False)
     how = F.when(found & (F.col("__pm") == F.col(month)), "exact").when(found, "asof").when(late, "latest").otherwise("none")
-    return out.select(*left.columns, *[take(v).alias(v) for v in values], how.alias("provenance"))
+    return out.select(*[left[c] for c in left.columns], *[take(v).alias(v) for v in values], how.alias("provenance"))
 
 
 def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -101,34 +116,90 @@ def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key).distinct(), key, "left_anti")
 
 
-def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str, tolerance: float = 200.0) -> DataFrame:
+class _Offers:
+    """Offers in order of (price, place), and which are taken. Free neighbours are found by pointers that skip taken ones,
+    so a claim takes about logarithmic time."""
+
+    def __init__(self, places: list[int], prices: dict[int, float]):
+        self.priced = sorted((prices[p], p) for p in places if p in prices)
+        self.values = [v for v, _ in self.priced]
+        self.rank = {p: k for k, (_, p) in enumerate(self.priced)}
+        self.right = list(range(len(self.priced) + 1))
+        self.left = list(range(len(self.priced) + 1))
+        self.places, self.at = sorted(places), 0
+        self.loose, self.loose_at = [p for p in self.places if p not in prices], 0
+
+    @staticmethod
+    def _find(links: list[int], k: int) -> int:
+        while links[k] != k:
+            links[k] = links[links[k]]
+            k = links[k]
+        return k
+
+    def drop(self, place: int) -> None:
+        k = self.rank.get(place)
+        if k is not None:
+            self.right[k] = k + 1
+            self.left[k + 1] = k
+
+    def nearest(self, price: float) -> int | None:
+        """The free offer with the nearest price; of equally near ones the one that comes first."""
+        best = None
+        k = self._find(self.right, bisect_left(self.values, price))
+        if k < len(self.values):
+            best = (abs(self.values[k] - price), self.priced[k][1])
+        k = self._find(self.left, bisect_left(self.values, price))
+        if k > 0:
+            # Of equal prices below, the first by place.
+            j = self._find(self.right, bisect_left(self.values, self.values[k - 1]))
+            below = (abs(self.values[j] - price), self.priced[j][1])
+            best = below if best is None else min(best, below)
+        return None if best is None else best[1]
+
+    def first(self, taken: set[int], loose: bool) -> int | None:
+        own, name = (self.loose, "loose_at") if loose else (self.places, "at")
+        k = getattr(self, name)
+        while k < len(own) and own[k] in taken:
+            k += 1
+        setattr(self, name, k)
+        return own[k] if k < len(own) else None
+
+
+def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str) -> DataFrame:
     """Each wanted row, in order of its position, takes one offer of its area that nobody has taken: of the same unit
-    label first, the nearest price within the tolerance, then the nearest at all, then the first without a price.
+    label first, the nearest price, then the first without a price; of any label if there is none of its own.
 
     wanted: area, position, label, price; offers: area, offer, label, price. Areas never share offers, so they are dealt
-    out and matched apart. schema names the type of area.
+    out and matched apart. Who comes first decides within an area, so an area is matched in one task, in about n log n
+    steps. schema names the type of area.
     """
 
     def match(w: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         free = o.sort_values("offer").reset_index(drop=True)
-        taken = pd.Series(False, index=free.index)
+        prices = {k: float(p) for k, p in enumerate(free["price"]) if p == p and p is not None}
+        labels = ["" if x is None or x != x else x for x in free["label"]]
+        pools = {None: _Offers(list(range(len(free))), prices)}
+        taken: set[int] = set()
         out = []
         for row in w.sort_values("position").itertuples():
-            pools = [free[~taken & free["label"].fillna("").str.startswith(row.label)]] if isinstance(row.label, str) else []
+            named = row.label if isinstance(row.label, str) else None
+            if named not in pools:
+                pools[named] = _Offers([k for k, x in enumerate(labels) if x.startswith(named)], prices)
+                for k in taken:
+                    pools[named].drop(k)
             pick = None
-            for pool in [*pools, free[~taken]]:
-                gap = (pool["price"] - row.price).abs().dropna()
-                close = gap[gap <= tolerance]
-                if len(close):
-                    pick = close.idxmin()
-                elif len(gap):
-                    pick = gap.idxmin()
-                elif len(pool):
-                    pick = pool.index[0]
+            for name in dict.fromkeys([named, None]):
+                pool = pools[name]
+                priced = row.price is not None and row.price == row.price
+                pick = pool.nearest(float(row.price)) if priced else pool.first(taken, loose=False)
+                if pick is None and priced:
+                    pick = pool.first(taken, loose=True)
                 if pick is not None:
                     break
             if pick is not None:
-                taken[pick] = True
+                taken.add(pick)
+                for pool in pools.values():
+                    pool.drop(pick)
             out.append((getattr(row, area), row.position, free["offer"][pick] if pick is not None else None))
         return pd.DataFrame(out, columns=[area, "position", "offer"]).astype({"offer": "Int64"})
 

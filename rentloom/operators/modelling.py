@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rentloom.functions import constants as C
 from rentloom.functions import numbers as N
 from rentloom.operators import aggregates as A
+from rentloom.operators import joins as J
+from rentloom.operators import quantiles as Q
 
 LEAST_ROWS = 50
 
@@ -26,7 +28,7 @@ def positive(df: DataFrame, target: str) -> DataFrame:
 def winsorized(df: DataFrame, target: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Positive targets, clipped at exact quantiles."""
     rows = positive(df, target)
-    q = rows.agg(F.percentile(target, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = Q.exact_quantiles(rows, target, [low, high]).withColumnRenamed("q", "__q")
     return rows.crossJoin(F.broadcast(q)).withColumn(target, F.least(F.greatest(F.col(target), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
 
 
@@ -87,9 +89,8 @@ class LeafQuantiles:
         forest = RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=10, seed=self.seed, leafCol="__leaf")
         self.model = forest.fit(df)
         leaves = self._leaves(df)
-        q = F.percentile(label, F.array(*map(F.lit, self.quantiles)))
         # One row per tree and leaf: 2^depth times the trees at most.
-        self.table = leaves.groupBy("__tree", "__id").agg(q.alias("__q"))
+        self.table = Q.exact_quantiles(leaves, label, self.quantiles, ["__tree", "__id"]).withColumnRenamed("q", "__q")
         return self
 
     def _leaves(self, df: DataFrame) -> DataFrame:
@@ -103,12 +104,22 @@ class LeafQuantiles:
 
 def baseline_cv(df: DataFrame, index: str, target: str, fold: str) -> DataFrame:
     """The index as prediction, its median over the other folds where it is null; metrics per fold."""
-    folds = df.select(fold).distinct()
-    pairs = folds.select(F.col(fold).alias("__f")).join(df.select(fold, index), F.col("__f") != F.col(fold))
-    medians = pairs.groupBy("__f").agg(F.percentile(index, F.lit(0.5)).alias("__m"))
+    medians = medians_without(df, index, fold)
     return A.regression_metrics(df.join(F.broadcast(medians), F.col(fold) == F.col("__f")).withColumn("__p", F.coalesce(index, "__m")), target, "__p", fold)
 
 
+def medians_without(df: DataFrame, value: str, fold: str) -> DataFrame:
+    """(__f, __m): for each fold the median of the other folds' values. Every value is counted once, with how many of its
+    rows lie outside each fold, so no row is copied for a fold. Folds are a handful."""
+    folds = [r[0] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).limit(1000).collect()]
+    outside = {f"fold{k}": F.coalesce(F.col(fold) != f, F.lit(True)) for k, f in enumerate(folds)}
+    counts = Q.running_counts(df, value, counts=outside)
+    totals = counts.agg(*[F.max(f"fold{k}_upto").alias(f"all{k}") for k in range(len(folds))])
+    whole = counts.crossJoin(F.broadcast(totals))
+    each = [Q.interpolated(whole.select("v", F.col(f"fold{k}_upto").alias("upto"), F.col(f"all{k}").alias("all")), "all", [0.5]).select(F.lit(f).alias("__f"), F.col("q")[0].alias("__m")) for k, f in enumerate(folds)]
+    return reduce(DataFrame.unionByName, each)
+
+
 def best_run(runs: DataFrame, mean: str = "mae_mean", std: str = "mae_std") -> DataFrame:
     return runs.orderBy(mean, std).limit(1)
 
@@ -130,25 +141,26 @@ def sweep(df: DataFrame, configs: list[dict], category: str, numerics: list[str]
     return reduce(DataFrame.unionByName, out)
 
 
-def conformal(df: DataFrame, actual: str, low: str, high: str, share: float = 0.5) -> DataFrame:
-    """One row: n, offset, coverage and width before and after widening by the offset.
+def conformal(df: DataFrame, actual: str, low: str, high: str, share: float = 0.5, point: str | None = None) -> DataFrame:
+    """One row: n, offset, coverage and width before and after widening by the offset, and the mean absolute error of a
+    point prediction where there is one.
 
     The offset is the score of rank ceil((n + 1) share), not below 0; scores are how far a value lies outside its band.
-    The rank is found from counts of different scores.
+    The rank is found from running counts of different scores.
     """
     score = F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high))
-    rows = df.select(F.col(actual).alias("y"), F.col(low).alias("lo"), F.col(high).alias("hi"), score.alias("s")).where("s IS NOT NULL")
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    place = F.greatest(F.least(F.ceil((F.col("n") + 1) * share), F.col("n")), F.lit(1))
-    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("s")))
-    found = upto.crossJoin(F.broadcast(total)).where(F.col("upto") >= place).agg(F.greatest(F.min("s"), F.lit(0.0)).alias("offset"))
+    rows = df.select(F.col(actual).alias("y"), F.col(low).alias("lo"), F.col(high).alias("hi"), score.alias("s"), *([F.abs(F.col(actual) - F.col(point)).alias("off")] if point else [])).where("s IS NOT NULL")
+    total = rows.agg(F.count(F.lit(1)).alias("all"))
+    place = F.greatest(F.least(F.ceil((F.col("all") + 1) * share), F.col("all")), F.lit(1))
+    upto = Q.running_counts(rows, "s")
+    found = upto.crossJoin(F.broadcast(total)).where(F.col("upto") >= place).agg(F.greatest(F.min("v"), F.lit(0.0)).alias("offset"))
     wide = rows.crossJoin(F.broadcast(found))
     lo2, hi2 = F.greatest(F.col("lo") - F.col("offset"), F.lit(0.0)), F.col("hi") + F.col("offset")
     inside = lambda a, b: F.avg(F.col("y").between(a, b).cast("double"))
     return wide.agg(
         F.count(F.lit(1)).alias("n"), F.max("offset").alias("offset"), inside(F.col("lo"), F.col("hi")).alias("coverage_raw"),
         F.avg(F.col("hi") - F.col("lo")).alias("width_raw"), inside(lo2, hi2).alias("coverage"), F.avg(hi2 - lo2).alias("width"),
+        *([F.avg("off").alias("point_mae")] if point else []),
     )
 
 
@@ -199,9 +211,8 @@ def price_category(actual: Column, p25: Column, p75: Column, point: Column) -> C
 def contributions(df: DataFrame, model: PipelineModel, numerics: list[str], key: str, n: int = 5) -> DataFrame:
     """(key, feature, contribution, rank): by how much the prediction changes when a feature is put at its median. One
     transform scores all rows with each feature in turn."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in numerics])
     drop = [c for c in ("__index", "__hot", "features", "prediction") if c in df.columns]
-    each = df.drop(*drop).crossJoin(F.broadcast(medians)).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ["", *numerics]])))
+    each = df.drop(*drop).crossJoin(F.broadcast(A.medians(df, numerics))).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ["", *numerics]])))
     moved = each.withColumns({c: F.when(F.col("feature") == c, F.col(f"__{c}")).otherwise(F.col(c)) for c in numerics})
     scored = model.transform(moved).select(key, "feature", N.from_log("prediction").alias("p"))
     per = scored.groupBy(key).agg(F.max(F.when(F.col("feature") == "", F.col("p"))).alias("own"), F.collect_list(F.when(F.col("feature") != "", F.struct("feature", "p"))).alias("all"))
@@ -210,12 +221,29 @@ def contributions(df: DataFrame, model: PipelineModel, numerics: list[str], key:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def representative_cases(scored: DataFrame, categories: dict[str, list], zip_col: str = "zip_code", category: str = "category", total: int = 5) -> DataFrame:
+def score_units(df: DataFrame, actual: str, predicted: str, p25: str, p75: str, keys: list[str] = C.UNIT_KEYS, position: str = "position") -> DataFrame:
+    """All distinct units in scope, flagged and classified, with how far the rent lies above and below the band, and the
+    band's width. Of units that agree in all keys, missing ones included, the first by position counts."""
+    once = J.keep_first(in_scope(df, actual), keys, [position])
+    flagged = flag_overpriced(once, actual, predicted, p75)
+    return flagged.withColumns(
+        {
+            "category": price_category(F.col(actual), F.col(p25), F.col(p75), F.col(predicted)),
+            "delta_above_p75": F.col(actual) - F.col(p75), "delta_below_p25": F.col(p25) - F.col(actual), "interval_width": F.col(p75) - F.col(p25),
+        }
+    )
+
+
+def representative_cases(scored: DataFrame, categories: dict[str, list], zip_col: str = "zip_code", category: str = "category", total: int = 5, backup: dict[str, tuple] | None = None) -> DataFrame:
     """One row for each category in turn, each from a ZIP that isn't used yet, by the order given for it; then rows from
-    ZIPs that no chosen row has, up to ``total``."""
+    ZIPs that no chosen row has, up to ``total``. A category without rows takes one from another by an order of its own,
+    as ``backup`` (name: (other, order)) says, for example the one whose rent is closest to the band's upper end."""
     chosen = None
     for name, order in categories.items():
         pool = scored.where(F.col(category) == name)
+        if backup and name in backup and pool.isEmpty():
+            other, order = backup[name]
+            pool = scored.where(F.col(category) == other)
         if chosen is not None:
             pool = pool.join(F.broadcast(chosen.select(zip_col)), zip_col, "left_anti")
         one = pool.orderBy(*order).limit(1).select(*scored.columns)
@@ -225,6 +253,34 @@ def representative_cases(scored: DataFrame, categories: dict[str, list], zip_col
     return chosen.unionByName(rest).limit(total)
 
 
+def train_select_audit(df: DataFrame, configs: list[dict], category: str, numerics: list[str], target: str, key: str, index: str, folds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The whole training job: every configuration on every variant of the target, the index alone beside them, the best
+    of them with its lift over the index; and the audit of the best one's features.
+
+    The first table has a row per run: variant, name, mae_mean, mae_std, best, lift, low_lift. The second is (feature,
+    gain, share) of a model of all rows of the best run's variant.
+    """
+    runs = []
+    sets = variants(df, target)
+    for name, rows in sets.items():
+        runs.append(sweep(rows, configs, category, numerics, target, key, folds).select(F.lit(name).alias("variant"), "name", "mae_mean", "mae_std"))
+        plain = baseline_cv(rows.withColumn("__fold", fold_of(F.col(key), folds)), index, target, "__fold")
+        runs.append(plain.agg(F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std")).select(F.lit(name).alias("variant"), F.lit("index").alias("name"), "mae_mean", "mae_std"))
+    every = reduce(DataFrame.unionByName, runs)
+    # A row per run: variants times configurations.
+    rows = [r.asDict() for r in every.collect()]
+    best = min((r for r in rows if r["name"] != "index"), key=lambda r: (r["mae_mean"], r["mae_std"]))
+    base = next(r for r in rows if r["name"] == "index" and r["variant"] == best["variant"])
+    gain = lift(F.lit(best["mae_mean"]), F.lit(base["mae_mean"]))
+    mine = (F.col("variant") == best["variant"]) & (F.col("name") == best["name"])
+    table = df.sparkSession.createDataFrame([(r["variant"], r["name"], r["mae_mean"], r["mae_std"]) for r in rows], "variant string, name string, mae_mean double, mae_std double")
+    report = table.select("*", mine.alias("best"), F.when(mine, gain[0]).alias("lift"), F.when(mine, gain[1]).alias("low_lift"))
+    config = next(c for c in configs if str(c) == best["name"])
+    data = A.fill_medians(model_input(sets[best["variant"]], category, numerics, target), numerics)
+    gains = df.sparkSession.createDataFrame(importances(point_pipeline(category, numerics, **config).fit(data), numerics), "feature string, gain double")
+    return report, A.importance_shares(gains, len(numerics) + 1)
+
+
 def save_bundle(path: str, point: PipelineModel, band: LeafQuantiles | None = None) -> None:
     point.write().overwrite().save(f"{path}/point")
     if band is not None:
@@ -234,3 +290,11 @@ def save_bundle(path: str, point: PipelineModel, band: LeafQuantiles | None = No
 
 def load_point(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/point")
+
+
+def load_bundle(path: str, spark: SparkSession, quantiles: list[float]) -> tuple[PipelineModel, LeafQuantiles]:
+    """What ``save_bundle`` has saved: the point model and the band."""
+    band = LeafQuantiles(quantiles)
+    band.model = RandomForestRegressionModel.load(f"{path}/forest")
+    band.table = spark.read.parquet(f"{path}/leaves")
+    return load_point(path), band

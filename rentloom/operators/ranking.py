@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rentloom.functions import numbers as N
+from rentloom.operators import modelling as M
 
 COMPONENTS = ["safety", "walk", "transit"]
 
@@ -26,13 +27,12 @@ def normal_weight_columns(df: DataFrame) -> DataFrame:
 
 
 def score_components(df: DataFrame, crime: str, walk: str, transit: str) -> DataFrame:
-    """Adds the three components. Safety is the least crime of the batch; what is missing is one half."""
-    usable = N.or_null(F.col(crime).cast("double"))
+    """Adds the three components. Safety is the least crime of the batch; what is missing, NaN or infinite is one half."""
+    usable = N.finite(crime)
     span = df.agg(F.min(usable).alias("__lo"), F.max(usable).alias("__hi"))
     lo, hi = F.col("__lo"), F.col("__hi")
-    safety = F.when(lo.isNull() | usable.isNull(), 0.5).when(hi - lo < 1e-9, 1.0).otherwise(1.0 - (usable - lo) / (hi - lo))
-    safety = F.when(lo.isNull(), 0.5).when(hi - lo < 1e-9, 1.0).when(usable.isNull(), 0.5).otherwise(safety)
-    part = lambda c: F.coalesce(N.clip(F.col(c) / 100.0, 0.0, 1.0), F.lit(0.5))
+    safety = F.when(usable.isNull(), 0.5).when(hi - lo < 1e-9, 1.0).otherwise(1.0 - (usable - lo) / (hi - lo))
+    part = lambda c: F.coalesce(N.clip(N.finite(c) / 100.0, 0.0, 1.0), F.lit(0.5))
     return df.crossJoin(F.broadcast(span)).withColumns({"safety": safety, "walk": part(walk), "transit": part(transit)}).drop("__lo", "__hi")
 
 
@@ -61,6 +61,11 @@ def rank_for_users(df: DataFrame, users: DataFrame, user: str, crime: str, walk:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop(*[f"w_{k}" for k in COMPONENTS])
 
 
+def rank_flagged(df: DataFrame, weights: dict[str, float], actual: str, predicted: str, p75: str, crime: str, walk: str, transit: str, position: str, top_n: int) -> DataFrame:
+    """The whole ranking job: listings are flagged against their price band, scored, weighted, put in order and cut."""
+    return rank_listings(M.flag_overpriced(df, actual, predicted, p75), weights, crime, walk, transit, position, top_n)
+
+
 def price_verdict(df: DataFrame, actual: str, predicted: str, p25: str, p75: str, flag: str) -> DataFrame:
     """Adds verdict (over, under, fair) and its label; without a band, a tenth either side of the prediction, marked so."""
     banded = F.col(p25).isNotNull() & F.col(p75).isNotNull()

@@ -111,5 +111,3 @@ def enrich_details(listings: DataFrame, done: DataFrame | None, details: DataFra
     """Listings that aren't done yet, with the fields that their pages gave."""
     work = listings if done is None else J.not_done(listings, done, "url")
     return R.override(work, details, "url")
-
-

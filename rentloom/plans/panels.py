@@ -68,7 +68,7 @@ def incident_panel(incidents: DataFrame, areas: DataFrame, start: str = C.START_
 
 
 def incident_features(panel: DataFrame, population: DataFrame) -> DataFrame:
-    """The panel on a full grid of months, with trailing means, shares, trend and rates."""
+    """The panel on a full grid of months, with trailing means, shares, trend and the month's rate."""
     names = ["crime_total_month_zip", "crime_violent_month_zip", "crime_property_month_zip"]
     short = dict(zip(names, ["total", "violent", "property"], strict=True))
     grid = R.month_grid(panel.withColumnsRenamed(short), "zip_code", "month", list(short.values()), population)
@@ -78,7 +78,7 @@ def incident_features(panel: DataFrame, population: DataFrame) -> DataFrame:
         {
             "violent_share": N.share_or_zero("violent", "total"),
             "trend_3_vs_12": F.when(F.col("total_12m") > 0, F.col("total_3m") / F.col("total_12m") - 1).otherwise(0.0),
-            "rate_per_1k": N.rate_per_1000(F.col("total_12m"), "population"),
+            "rate_per_1k": N.rate_per_1000("total", "population"),
         }
     )
 

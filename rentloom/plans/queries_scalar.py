@@ -224,5 +224,3 @@ def expectations(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     rules = {"name_shape": F.col("c_name").rlike("^Customer#[0-9]+$"), "balance_positive": F.col("c_acctbal") > 0, "segment_known": F.col("c_mktsegment").isin("BUILDING", "MACHINERY")}
     return A.expectations(c, rules, ["c_nationkey", "c_mktsegment"], ["balance_positive"]).select("rule", "failures", "severity")
-
-

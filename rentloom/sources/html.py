@@ -64,7 +64,8 @@ def parse(html: str | None) -> _Node:
 def listing_cards(pages: DataFrame, layouts: list[dict], base: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page, position, title, url, price_text, place): cards of the first layout that finds any, else all links.
 
-    A layout names selectors: card, title, price, place. Cards without a link or a title are dropped.
+    A layout names selectors: card, title, price, place. A card without a title is named
+    by the last part of its link; cards without a link, or without either, are dropped.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -79,8 +80,8 @@ def listing_cards(pages: DataFrame, layouts: list[dict], base: str, id_col: str
                         link = next(iter(card.all("a")), None)
                         part = lambda k, card=card, layout=layout: next((t for n in card.all(layout[k]) if (t := n.text())), None) if layout.get(k) else None
                         title = part("title") or (link.text() if link is not None else None)
-                        if link is not None and link.attrs.get("href") and title:
-                            found.append((title, link.attrs["href"], part("price"), part("place")))
+                        if link is not None and link.attrs.get("href"):
+                            found.append((title or None, link.attrs["href"], part("price"), part("place")))
                     if found:
                         break
                 if not found:
@@ -90,7 +91,7 @@ def listing_cards(pages: DataFrame, layouts: list[dict], base: str, id_col: str
 
     rows = pages.select(id_col, html_col).mapInPandas(task, f"page {kind}, position long, title string, url string, price_text string, place string")
     card = X.split_card("title")
-    split = rows.withColumn("c", card)
+    split = rows.withColumn("title", F.coalesce("title", X.title_from_slug("url"))).where("title IS NOT NULL").withColumn("c", card)
     return split.select(
         F.col("page").alias(id_col),
         "position",

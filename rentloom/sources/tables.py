@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +15,11 @@ from pyspark.sql.utils import AnalysisException
 from rentloom.functions.text import number, standard_zip
 
 
-def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
-    """All columns as text. Whole files are parsed at once where that is needed: quoted line ends and UTF-16."""
-    many = encoding.upper().startswith("UTF-16")
-    return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("escape", '"').option("multiLine", True if many else "true").csv(path)
+def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", sep: str = ",", line_ends: bool = False) -> DataFrame:
+    """All columns as text. A file is split among tasks, unless its quoted cells may have line ends (``line_ends``) or its
+    encoding is UTF-16, whose line ends can't be looked for from the middle of a file."""
+    whole = line_ends or encoding.upper().startswith("UTF-16")
+    return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("escape", '"').option("multiLine", whole).csv(path)
 
 
 def typed(df: DataFrame, **kinds: str) -> DataFrame:
@@ -85,9 +88,10 @@ def read_pages(spark: SparkSession, path, schema: T.StructType, start: str, date
 
 
 class PagedFeed(DataSource):
-    """A live feed of ``total`` rows read in parallel pages.
+    """A live feed read in pages: in parallel where its ``total`` is known, else one after the other, up to the first page
+    that is empty or short, or to ``max_rows``.
 
-    Options: total, page, schema, and fetcher, the "module:function" that gives the rows of (offset, limit).
+    Options: total, page, schema, max_rows, and fetcher, the "module:function" that gives the rows of (offset, limit).
     """
 
     @classmethod
@@ -106,23 +110,40 @@ class _PagedReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
+        if "total" not in self.options:
+            return [InputPartition(None)]
         return [InputPartition(k) for k in range(0, int(self.options["total"]), int(self.options["page"]))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import importlib
 
         module, function = self.options["fetcher"].split(":")
-        limit = min(int(self.options["page"]), int(self.options["total"]) - partition.value)
-        yield from getattr(importlib.import_module(module), function)(partition.value, limit)
-
-
-def discover(spark: SparkSession, paths: list[str], required: list[str], skip: str = "_clean") -> DataFrame | None:
-    """Union of the CSV files whose header has the required columns; files whose name ends with ``skip`` are left out."""
-    out = None
+        fetch, page = getattr(importlib.import_module(module), function), int(self.options["page"])
+        if partition.value is not None:
+            yield from fetch(partition.value, min(page, int(self.options["total"]) - partition.value))
+            return
+        offset, most = 0, int(self.options.get("max_rows", -1))
+        while most < 0 or offset < most:
+            limit = page if most < 0 else min(page, most - offset)
+            rows = list(fetch(offset, limit))
+            yield from rows
+            offset += len(rows)
+            if len(rows) < limit:
+                return
+
+
+def discover(spark: SparkSession, paths: list[str], required: list[str], skip: str = "_clean", skipped: list | None = None) -> DataFrame | None:
+    """Union of the CSV files whose header has the required columns; files whose name ends with ``skip`` are left out, and
+    those whose header can't be read are noted in ``skipped`` as (path, reason)."""
+    out, skipped = None, [] if skipped is None else skipped
     for path in sorted(paths):
         if path.rsplit("/", 1)[-1].removesuffix(".csv").endswith(skip):
             continue
-        df = read_csv(spark, path)
+        try:
+            df = read_csv(spark, path)
+        except (PySparkException, Py4JJavaError) as e:
+            skipped.append((path, str(e).splitlines()[0]))
+            continue
         if set(required) <= set(df.columns):
             df = df.withColumn("source_file", F.lit(path))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
@@ -130,8 +151,11 @@ def discover(spark: SparkSession, paths: list[str], required: list[str], skip: s
 
 
 def literal_struct(c, schema: str):
-    """A Python-literal dict text as a struct."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    """A Python-literal dict text as a struct. Names of constants are translated outside of quotes only."""
+    quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    pieces = F.regexp_extract_all(F.col(c), F.lit(f"{quoted}|[^'\"]+|['\"]"), F.lit(0))
+    plain = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    text = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), p).otherwise(plain(p))), "")
     return F.from_json(text, schema, {"allowSingleQuotes": "true"})
 
 
@@ -175,6 +199,8 @@ def write_sorted(df: DataFrame, keys: list[str], folder: str, columns: list[str]
     """Globally sorted, nulls last, as CSV and Parquet; other columns are left out."""
     out = df.select(*(columns or df.columns)).orderBy(*[F.asc_nulls_last(k) for k in keys])
     out.write.mode("overwrite").parquet(f"{folder}/parquet")
+    # The CSV comes from the Parquet, so the plan runs once.
+    out = df.sparkSession.read.schema(out.schema).parquet(f"{folder}/parquet").orderBy(*[F.asc_nulls_last(k) for k in keys])
     out.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
 
 

@@ -25,7 +25,7 @@ def test_incident_features(spark):
     got = {(r.zip_code, r.month.month): r for r in P.incident_features(panel, people).collect()}
     assert len(got) == 6
     last = got["94110", 3]
-    assert (last.total_3m, last.violent_3m, last.rate_per_1k) == (20.0, 3.0, 20.0) and last.trend_3_vs_12 == 0.0
+    assert (last.total_3m, last.violent_3m, last.rate_per_1k) == (20.0, 3.0, 30.0) and last.trend_3_vs_12 == 0.0
     assert got["94103", 1].total == 0 and got["94103", 1].violent_share == 0.0
 
 
