@@ -221,10 +221,10 @@ def contributions(df: DataFrame, model: PipelineModel, numerics: list[str], key:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def score_units(df: DataFrame, actual: str, predicted: str, p25: str, p75: str, keys: list[str] = C.UNIT_KEYS, position: str = "position") -> DataFrame:
+def score_units(df: DataFrame, actual: str, predicted: str, p25: str, p75: str, keys: list[str] = C.UNIT_KEYS, position: str = "position", scope: tuple[float, float] = C.SCOPE_RANGE) -> DataFrame:
     """All distinct units in scope, flagged and classified, with how far the rent lies above and below the band, and the
     band's width. Of units that agree in all keys, missing ones included, the first by position counts."""
-    once = J.keep_first(in_scope(df, actual), keys, [position])
+    once = J.keep_first(in_scope(df, actual, *scope), keys, [position])
     flagged = flag_overpriced(once, actual, predicted, p75)
     return flagged.withColumns(
         {

@@ -7,6 +7,8 @@ values, as it would under one ordered window or one exact percentile.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,10 +63,9 @@ def exact_quantiles(df: DataFrame, value: str, points: list[float], by: list[str
     totals = counts.groupBy(*(by or [])).agg(F.max("upto").alias("__n"))
     if not by:
         return interpolated(counts.crossJoin(F.broadcast(totals)), "__n", points)
-    same = counts[by[0]].eqNullSafe(totals[by[0]])
-    for k in by[1:]:
-        same = same & counts[k].eqNullSafe(totals[k])
-    return interpolated(counts.join(totals, same).select(*[counts[k] for k in by], "v", "upto", "__n"), "__n", points, by)
+    totals = totals.withColumnsRenamed({k: f"__{k}" for k in by})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    return interpolated(counts.join(totals, same).select(*by, "v", "upto", "__n"), "__n", points, by)
 
 
 def mean_ranks(df: DataFrame, value: str) -> DataFrame:

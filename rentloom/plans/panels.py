@@ -60,10 +60,10 @@ def clean_trend(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def incident_panel(incidents: DataFrame, areas: DataFrame, start: str = C.START_DATE) -> DataFrame:
-    """Incidents by ZIP and month, assigned to ZIPs by their points."""
+def incident_panel(incidents: DataFrame, areas: DataFrame, start: str = C.START_DATE, cell: float = 0.02) -> DataFrame:
+    """Incidents by ZIP and month, assigned to ZIPs by their points; ``cell`` is the grid's step, about an area's size."""
     rows = S.typed(incidents, latitude="double", longitude="double").withColumn("ts", N.utc_time("incident_datetime")).dropna(subset=["ts", "latitude", "longitude"])
-    placed = J.assign_area(R.since(rows, "ts", start), areas, "latitude", "longitude").withColumn("month", N.month_of("ts"))
+    placed = J.assign_area(R.since(rows, "ts", start), areas, "latitude", "longitude", cell=cell).withColumn("month", N.month_of("ts"))
     return A.category_counts(placed, ["zip_code", "month"], "incident_category", A.VIOLENCE, "crime_total_month_zip")
 
 
@@ -83,11 +83,11 @@ def incident_features(panel: DataFrame, population: DataFrame) -> DataFrame:
     )
 
 
-def category_breakdown(incidents: DataFrame, areas: DataFrame, n: int = 6) -> DataFrame:
+def category_breakdown(incidents: DataFrame, areas: DataFrame, n: int = 6, cell: float = 0.02) -> DataFrame:
     """Each ZIP's most frequent categories of the last twelve months. A ZIP column, if there is one, is used as it is."""
     rows = incidents.withColumn("ts", N.utc_time("incident_datetime")).withColumn("incident_category", F.coalesce("incident_category", F.lit("Unknown")))
     if "zip_code" not in rows.columns:
-        rows = J.assign_area(S.typed(rows, latitude="double", longitude="double"), areas, "latitude", "longitude")
+        rows = J.assign_area(S.typed(rows, latitude="double", longitude="double"), areas, "latitude", "longitude", cell=cell)
     else:
         rows = rows.withColumn("zip_code", X.standard_zip("zip_code"))
     return A.top_categories(R.trailing_months(rows, "ts", 12), "zip_code", "incident_category", n)

@@ -10,6 +10,7 @@ from rentloom.functions import numbers as N
 from rentloom.operators import aggregates as A
 from rentloom.operators import joins as J
 from rentloom.operators import modelling as M
+from rentloom.operators import quantiles as Q
 from rentloom.operators import ranking as K
 from rentloom.operators import reshape as R
 from rentloom.streaming import feeds as S
@@ -43,12 +44,11 @@ def areas(spark):
 
 def events(spark, sf_dir):
     """Events as incidents at points that their ids give."""
-    e = table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-03").cast("timestamp"))
-    return e.withColumns({"lon": (F.col("event_id") * 37 % 1009) / 10.0, "lat": (F.col("event_id") * 91 % 997) / 10.0, "month": N.month_of("ts")})
+    return table(spark, sf_dir, "events").withColumns({"lon": (F.col("event_id") * 37 % 1009) / 10.0, "lat": (F.col("event_id") * 91 % 997) / 10.0, "month": N.month_of("ts")})
 
 
 _EVENTS = """
-e AS (SELECT *, (event_id * 37 % 1009) / 10.0 AS lon, (event_id * 91 % 997) / 10.0 AS lat, date_trunc('month', ts) AS month FROM events WHERE ts >= TIMESTAMP '2024-01-03'),
+e AS (SELECT *, (event_id * 37 % 1009) / 10.0 AS lon, (event_id * 91 % 997) / 10.0 AS lat, date_trunc('month', ts) AS month FROM events),
 z AS (SELECT *, CASE WHEN lon < 50 AND lat < 50 THEN '00001' WHEN lon >= 50 AND lon < 100 AND lat < 50 THEN '00002' WHEN lon >= 25 AND lon < 75 AND lat >= 25 AND lat < 75 THEN '00003' END AS zip_code FROM e),
 p AS (SELECT zip_code, CAST(month AS TIMESTAMP) AS month, count(*) AS total, count(*) FILTER (event_type IN ('error')) AS errors, count(*) FILTER (event_type IN ('purchase', 'signup')) AS deals, ln(1 + count(*)) AS total_log1p FROM z WHERE zip_code IS NOT NULL GROUP BY 1, 2)
 """
@@ -91,15 +91,16 @@ def index_panel_inner(spark, sf_dir):
     return monthly_orders(spark, sf_dir).select("zip_code", "month", "n").join(shipped, ["zip_code", "month"])
 
 
-@query(f"""WITH {_ORDERS}, s AS (SELECT min(month) AS lo, max(month) AS hi FROM m WHERE n % 3 != 0),
-g AS (SELECT zip_code, month FROM (SELECT DISTINCT zip_code FROM m WHERE n % 3 != 0) CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM s)),
-f AS (SELECT g.zip_code, g.month, coalesce(m.n, 0) AS n FROM g LEFT JOIN m ON m.zip_code = g.zip_code AND m.month = g.month AND m.n % 3 != 0),
+@query(f"""WITH {_ORDERS}, s AS (SELECT min(month) AS lo, max(month) AS hi FROM m),
+g AS (SELECT zip_code, month FROM (SELECT DISTINCT zip_code FROM m) CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM s)),
+f AS (SELECT g.zip_code, g.month, coalesce(CASE WHEN m.n % 3 != 0 THEN m.n END, 0) AS n FROM g LEFT JOIN m ON m.zip_code = g.zip_code AND m.month = g.month),
 r AS (SELECT *, avg(n) OVER (PARTITION BY zip_code ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, avg(n) OVER (PARTITION BY zip_code ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS b FROM f)
-SELECT zip_code, month, n, round(a, 4) AS n_3m, round(b, 4) AS n_12m, round(CASE WHEN b > 0 THEN a / b ELSE 0 END, 4) AS trend, round(CASE WHEN zip_code > 0 THEN b * 1000.0 / zip_code END, 4) AS rate FROM r""")
+SELECT zip_code, month, n, round(a, 4) AS n_3m, round(b, 4) AS n_12m, round(CASE WHEN b > 0 THEN a / b ELSE 0 END, 4) AS trend, round(CASE WHEN zip_code > 0 THEN n * 1000.0 / zip_code END, 4) AS rate FROM r""")
 def grid_rolling(spark, sf_dir):
-    panel = monthly_orders(spark, sf_dir).where("n % 3 != 0")
+    # Some counts are missing, and count as 0 in the grid.
+    panel = monthly_orders(spark, sf_dir).withColumn("n", F.when(F.col("n") % 3 != 0, F.col("n")))
     rolled = A.rolling_means(R.month_grid(panel, "zip_code", "month", ["n"]), "zip_code", "month", ["n"], [3, 12])
-    return rolled.select("zip_code", "month", "n", F.round("n_3m", 4).alias("n_3m"), F.round("n_12m", 4).alias("n_12m"), F.round(N.share_or_zero("n_3m", "n_12m"), 4).alias("trend"), F.round(N.rate_per_1000("n_12m", "zip_code"), 4).alias("rate"))
+    return rolled.select("zip_code", "month", "n", F.round("n_3m", 4).alias("n_3m"), F.round("n_12m", 4).alias("n_12m"), F.round(N.share_or_zero("n_3m", "n_12m"), 4).alias("trend"), F.round(N.rate_per_1000("n", "zip_code"), 4).alias("rate"))
 
 
 @query("""
@@ -123,21 +124,20 @@ def facts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.month_of("l_shipdate").alias("month"), (F.col("l_suppkey") % 26).cast("int").alias("zip_code"))
 
 
-@query(f"""WITH {_ORDERS}, {_FACTS}, s AS (SELECT zip_code, month, CASE WHEN n % 7 != 0 THEN n END AS n FROM m WHERE n % 4 = 0),
+@query(f"""WITH {_ORDERS}, {_FACTS}, s AS (SELECT zip_code, month, CASE WHEN n % 7 != 0 THEN n END AS n FROM m),
 t AS (SELECT zip_code, arg_max(coalesce(n, -1), month) AS n FROM s GROUP BY 1),
 j AS (SELECT f.*, s.month AS pm, s.n AS pn FROM f ASOF LEFT JOIN s ON f.zip_code = s.zip_code AND f.month >= s.month)
 SELECT l_orderkey, l_linenumber, coalesce(pn, nullif(t.n, -1), -1) AS n, CASE WHEN pn IS NOT NULL AND pm = j.month THEN 'exact' WHEN pn IS NOT NULL THEN 'asof' WHEN nullif(t.n, -1) IS NOT NULL THEN 'latest' ELSE 'none' END AS provenance
 FROM j LEFT JOIN t USING (zip_code)""")
 def asof_zip_month(spark, sf_dir):
-    panel = monthly_orders(spark, sf_dir).where("n % 4 = 0").withColumn("n", F.when(F.col("n") % 7 != 0, F.col("n")))
+    panel = monthly_orders(spark, sf_dir).withColumn("n", F.when(F.col("n") % 7 != 0, F.col("n")))
     return J.asof_join(facts(spark, sf_dir), panel, ["n"], "month", "zip_code").select("l_orderkey", "l_linenumber", F.coalesce("n", F.lit(-1)).alias("n"), "provenance")
 
 
-@query(f"""WITH {_FACTS}, s AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n FROM orders WHERE month(o_orderdate) % 3 = 1 AND year(o_orderdate) > 1995 GROUP BY 1)
+@query(f"""WITH {_FACTS}, s AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n FROM orders GROUP BY 1)
 SELECT l_orderkey, l_linenumber, coalesce(s.n, (SELECT arg_max(n, month) FROM s)) AS n, CASE WHEN s.n IS NULL THEN 'latest' WHEN s.month = f.month THEN 'exact' ELSE 'asof' END AS provenance FROM f ASOF LEFT JOIN s ON f.month >= s.month""")
 def asof_month(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where((F.month("o_orderdate") % 3 == 1) & (F.year("o_orderdate") > 1995))
-    panel = o.groupBy(N.month_of("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    panel = table(spark, sf_dir, "orders").groupBy(N.month_of("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     return J.asof_join(facts(spark, sf_dir), panel, ["n"], "month").select("l_orderkey", "l_linenumber", "n", "provenance")
 
 
@@ -223,7 +223,7 @@ round(avg(CASE WHEN y BETWEEN greatest(lo - q, 0) AND hi + q THEN 1.0 ELSE 0 END
 """)
 def conformal_offset(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    band = o.where("o_orderkey % 5 != 0").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.lit(0.25)).alias("lo"), F.percentile("o_totalprice", F.lit(0.75)).alias("hi"))
+    band = Q.exact_quantiles(o.where("o_orderkey % 5 != 0"), "o_totalprice", [0.25, 0.75], ["o_orderpriority"]).select("o_orderpriority", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     out = M.conformal(o.where("o_orderkey % 5 = 0").join(F.broadcast(band), "o_orderpriority"), "o_totalprice", "lo", "hi")
     return out.select("n", F.round("offset", 2).alias("offset_value"), F.round("coverage_raw", 6).alias("coverage_raw"), F.round("width_raw", 2).alias("width_raw"), F.round("coverage", 6).alias("coverage"), F.round("width", 2).alias("width"))
 
@@ -231,7 +231,8 @@ def conformal_offset(spark, sf_dir):
 def priced_parts(spark, sf_dir):
     """Parts with their brand's quartiles as band and its mean as prediction; some brands have no band."""
     p = table(spark, sf_dir, "part")
-    q = p.groupBy("p_brand").agg(F.percentile("p_retailprice", F.lit(0.25)).alias("p25"), F.percentile("p_retailprice", F.lit(0.75)).alias("p75"), F.avg("p_retailprice").alias("point"))
+    band = Q.exact_quantiles(p, "p_retailprice", [0.25, 0.75], ["p_brand"]).select("p_brand", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"))
+    q = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("point")).join(band, "p_brand")
     q = q.withColumns({c: F.when(~F.col("p_brand").endswith("1"), F.col(c)) for c in ("p25", "p75")})
     return p.join(F.broadcast(q), "p_brand").withColumn("actual", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice") * (0.8 + (F.col("p_partkey") % 13) / 20.0)))
 
@@ -263,7 +264,7 @@ def price_verdict(spark, sf_dir):
 
 
 _RANK = """p AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE ln(1 + p_size) END AS crime, p_size * 3.0 AS walk_score, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size + 40.0 END AS transit_score FROM part),
-s AS (SELECT *, coalesce(1 - (crime - min(crime) OVER ()) / (max(crime) OVER () - min(crime) OVER ()), 0.5) AS safety, least(greatest(walk_score / 100, 0), 1) AS walk, coalesce(least(greatest(transit_score / 100, 0), 1), 0.5) AS transit FROM p)"""
+s AS (SELECT *, coalesce(1 - (crime - min(crime) OVER ()) / (max(crime) OVER () - min(crime) OVER ()), 0.5) AS safety, least(greatest(walk_score / 100, 0), 1) AS walk, CASE WHEN transit_score IS NULL THEN 0.5 ELSE least(greatest(transit_score / 100, 0), 1) END AS transit FROM p)"""
 
 
 def _scored_parts(spark, sf_dir):
@@ -290,7 +291,7 @@ def rank_users(spark, sf_dir):
 @query()
 def claim_once(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("zip_code"), F.col("c_custkey").alias("position"), F.col("c_mktsegment").alias("label"), F.col("c_acctbal").alias("price"))
-    s = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("zip_code"), F.col("c_custkey").alias("offer"), F.col("c_mktsegment").alias("label"), (F.col("c_acctbal") + 55).alias("price"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("zip_code"), F.col("s_suppkey").alias("offer"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "MACHINERY").alias("label"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("price"))
     return J.claim_once(c, s, "zip_code", "int")
 
 
@@ -319,6 +320,8 @@ def feature_contributions(spark, sf_dir):
 def _stream_folder(spark):
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="rentloom-")

@@ -100,11 +100,8 @@ def listing_texts(spark, sf_dir):
     )
 
 
-_MONTHS = [f"{y}-{m:02d}-01" for y in (1996, 1997) for m in range(1, 13)]
-
-
 @query("""
-WITH m AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '1996-06-01', DATE '1997-12-01', INTERVAL 1 MONTH) t(d)),
+WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE date_trunc('month', o_orderdate) >= DATE '1996-06-01'),
 s AS (SELECT c_nationkey, date_trunc('month', o_orderdate) AS d, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 n AS (SELECT DISTINCT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT n.c_nationkey AS nation, CAST(m.d AS TIMESTAMP) AS date, v AS value FROM n CROSS JOIN m LEFT JOIN s ON s.c_nationkey = n.c_nationkey AND s.d = m.d
@@ -112,7 +109,7 @@ SELECT n.c_nationkey AS nation, CAST(m.d AS TIMESTAMP) AS date, v AS value FROM
 def wide_unpivot(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.withColumn("month", F.date_format("o_orderdate", "yyyy-MM-01"))
-    wide = o.groupBy(F.col("c_nationkey").alias("nation")).pivot("month", _MONTHS).agg(F.round(F.sum("o_totalprice"), 2))
+    wide = o.groupBy(F.col("c_nationkey").alias("nation")).pivot("month").agg(F.round(F.sum("o_totalprice"), 2))
     return R.unpivot_months(wide, ["nation"], "value", "1996-06-01")
 
 
@@ -127,14 +124,14 @@ def conditional_region(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, 0 AS p FROM customer WHERE c_custkey % 3 != 0
-           UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1, 1 AS p FROM customer WHERE c_custkey % 2 = 0)
-SELECT c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_name, c_nationkey ORDER BY p, c_custkey) AS k FROM c) WHERE k = 1
+WITH c AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, c_acctbal AS balance, 0 AS p, c_custkey AS k FROM customer
+           UNION ALL SELECT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'SUPPLIER' END, s_acctbal, 1, s_suppkey FROM supplier)
+SELECT nation, segment, round(balance, 2) AS balance FROM (SELECT *, row_number() OVER (PARTITION BY nation, segment ORDER BY p, k) AS r FROM c) WHERE r = 1
 """)
 def union_dedup(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("position", F.col("c_custkey"))
-    more = c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return L.merge_sources(c.where("c_custkey % 3 != 0"), more, ["c_name", "c_nationkey"]).select("c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.col("c_custkey").alias("position"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("SUPPLIER").alias("segment"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("position"))
+    return L.merge_sources(c, s, ["nation", "segment"]).select("nation", "segment", F.round("balance", 2).alias("balance"))
 
 
 @query("""
