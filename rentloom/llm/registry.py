@@ -7,6 +7,7 @@ from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_de
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_avi_mjpeg": avi_mjpeg.op2_avi_mjpeg,
+    "media_clips": avi_mjpeg.media_clips,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op4_line_dedup_words": line_dedup.op4_line_dedup_words,
