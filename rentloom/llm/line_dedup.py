@@ -92,8 +92,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with later repeated runs deleted from the text, and n_lines, n_removed, both longs, which take the
     place of columns that have these names already. All other columns are passed on, whatever their names."""
     runs = repeated_runs(docs, id_col, text_col, run, words).groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), F.col(quoted(text_col)).alias("raw"), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("u"))
+    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("u"))
     joined = rows.join(runs, F.col("own").eqNullSafe(F.col("id")) & (F.col("u") == F.col("t")), "left")
+    # The text moves once, inside the packed row.
+    joined = joined.select("doc", F.col("doc").getField(text_col).alias("raw"), "runs")
     cut = joined.withColumns({"lines": F.expr(_LINES.format("raw")), "hit": F.col("runs").isNotNull()}).withColumn(
         "kept", F.expr("CASE WHEN hit THEN filter(lines, (x, i) -> NOT exists(runs, r -> i >= r.start AND i < r.stop)) END")
     )

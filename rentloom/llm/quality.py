@@ -77,13 +77,15 @@ class Ordinal:
         return tails.sum(1), tails
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.05, strength: float = STRENGTH) -> Ordinal:
-    """Maximum likelihood by Adam. The gaps between thresholds are exponentials, which keeps them in order."""
+def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.05, strength: float = STRENGTH, in_place: bool = False) -> Ordinal:
+    """Maximum likelihood by Adam. The gaps between thresholds are exponentials, which keeps them in order. In place, x is
+    scaled where it is, so the driver holds it once."""
     k = int(y.max(initial=0))
     if k < 1:
         return Ordinal(np.zeros(x.shape[1]), np.zeros(0))
-    spread = x.std(0) + 1e-3
-    z = (x / spread).astype(np.float32)
+    mean = x.mean(0, dtype=float)
+    spread = np.sqrt(np.maximum(np.array([float(c @ c) for c in x.T]) / len(x) - mean * mean, 0)) + 1e-3
+    z = np.divide(x, spread.astype(np.float32), out=x if in_place else None)
     p = np.zeros(x.shape[1] + k)
     if k > 1:
         p[-k + 1 :] = -0.5
@@ -132,12 +134,19 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "raw"):
                 x = vectors(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), part.column(0).cast(pa.string())], names=["grade", "x", "id"])
+                # Only the buckets that a text fills are sent.
+                full = [np.flatnonzero(v) for v in x]
+                lists = [pa.array([k.astype(np.uint16).tobytes() for k in full], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, full, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int64()), *lists, part.column(0).cast(pa.string())], names=["grade", "k", "x", "id"])
 
-    rows = joined.mapInArrow(task, "grade long, x binary, id string").orderBy("id", F.xxhash64("x")).limit(2 * most).toArrow()
+    rows = joined.mapInArrow(task, "grade long, k binary, x binary, id string").orderBy("id", F.xxhash64("k", "x")).limit(2 * most).toArrow()
     if not len(rows):
         return Ordinal(np.zeros(BUCKETS), np.zeros(0))
-    return fit(np.stack([np.frombuffer(v.as_py(), np.float32) for v in rows.column("x")]), rows.column("grade").to_numpy())
+    x, grade = np.zeros((len(rows), BUCKETS), np.float32), rows.column("grade").to_numpy()
+    for r, (k, v) in enumerate(zip(rows.column("k"), rows.column("x"), strict=True)):
+        x[r, np.frombuffer(k.as_py(), np.uint16)] = np.frombuffer(v.as_py(), np.float32)
+    del rows
+    return fit(x, grade, in_place=True)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_tail: float = KEEP_TAIL) -> DataFrame:

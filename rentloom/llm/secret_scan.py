@@ -113,8 +113,9 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = live.withColumn("new", F.coalesce(F.col("a") >= reach, F.lit(True)).cast("int")).withColumn("g", F.sum("new").over(order))
     merged = apart.groupBy("id", "t", "g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     per = merged.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s"))
-    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), F.col(quoted(text_col)).alias("raw"), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("u"))
+    rows = docs.select(packed(docs), F.col(quoted(id_col)).alias("own"), F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("u"))
     found = rows.join(per, F.col("own").eqNullSafe(F.col("id")) & (F.col("u") == F.col("t")), "left")
+    found = found.select("doc", F.col("doc").getField(text_col).alias("raw"), "s")
     # What stands between the values: before the first, after each, up to the next or to the end.
     begins = "concat(array(0), transform(s, x -> x.b))"
     ends = "concat(transform(s, x -> x.a), array(cast(length(raw) as bigint)))"
