@@ -89,7 +89,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2^64, and of its inverse."""
     if len(_POWERS.get("up", ())) < max(n, 1):
-        size = max(1 << n.bit_length(), CHUNK_BYTES + 1)
+        size = max(n + n // 8, CHUNK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1

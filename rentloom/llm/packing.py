@@ -30,7 +30,7 @@ END_ID = 0
 END_TEXT = "<|endoftext|>"
 LEAST = 16
 CACHED_WORDS = 400_000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +157,9 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "raw"):
+            # The text is a field of the packed row, so it is not sent twice.
+            both = pa.RecordBatch.from_arrays([batch.column(0), pc.struct_field(batch.column(0), [place])], names=["doc", "raw"])
+            for part in slices(both, "raw"):
                 row, word, form = word_features(part.column(1))
                 n = len(part)
                 sums = np.bincount(row, model.weights[word] + model.weights[form], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
@@ -165,7 +168,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep_tail)], names=["doc", "expected_grade", "tail", "keep"])
 
     scored = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(n, k) for n, k in (("expected_grade", T.DoubleType()), ("tail", T.DoubleType()), ("keep", T.BooleanType())))])
-    rows = docs.select(packed(docs), F.col(quoted(text_col)).alias("raw")).mapInArrow(task, scored)
+    place = docs.columns.index(text_col)
+    rows = docs.select(packed(docs)).mapInArrow(task, scored)
     return rows.select(*unpacked(docs, added={c: F.col(c) for c in ("expected_grade", "tail", "keep")}))
 
 
