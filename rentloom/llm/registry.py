@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
+from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, filter_audit, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLE = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op4_line_dedup_words": line_dedup.ORACLE_WORDS,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
