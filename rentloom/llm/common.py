@@ -135,22 +135,26 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words between ASCII white space, and each word's row. Words never cross rows."""
-    if not len(data):
+def mask_bounds(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes, and each run's row. Runs never cross rows."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, none
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    first = np.zeros(len(data) + 1, bool)
+    first = np.zeros(len(inside) + 1, bool)
     first[at] = True
-    begins = ~space
-    begins[1:] &= space[:-1] | first[1:-1]
-    ends = ~space
-    ends[:-1] &= space[1:] | first[1:-1]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | first[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
 
 
+def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words between ASCII white space, and each word's row. Words never cross rows."""
+    return mask_bounds(~((data == 32) | ((data >= 9) & (data <= 13))), at)
+
+
 def pinned(df: DataFrame, **columns) -> DataFrame:
     """The frame with more columns, each computed once a row: without a generator in between, the optimizer would copy
     the expression into every lambda that uses it."""
