@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rentloom.llm import avi_mjpeg, byte_bpe, decontamination, exact_dedup, filter_audit, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
+from rentloom.llm import avi_mjpeg, byte_bpe, decontamination, exact_dedup, filter_audit, jaccard_join, line_dedup, packing, phrases, quality, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
     "op13_benchmark_decontamination": decontamination.op13_benchmark_decontamination,
 }
 ORACLE = {
@@ -26,5 +27,6 @@ ORACLE = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_phrase_collocations": phrases.ORACLE,
     "op13_benchmark_decontamination": decontamination.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rentloom.llm import avi_mjpeg, byte_bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
+from rentloom.llm import avi_mjpeg, byte_bpe, decontamination, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
 
 NAMES = ["keep", "tail", "expected_grade", "__t", "n_lines", "n_removed", "id", "t", "raw", "doc", "own", "runs", "node", "cls", "chunk", "n", "s", "a`b", "c.d", "start", "text_hash", "seg"]
 OPERATORS = {
@@ -15,6 +15,7 @@ OPERATORS = {
     "jaccard": jaccard_join.near_duplicates,
     "near": jaccard_join.without_near_duplicates,
     "exact": exact_dedup.exact_dedup,
+    "decontamination": lambda d: decontamination.decontaminate(d, d.sparkSession.createDataFrame([(1, "line of")], "item_id long, text string")),
     "packing": packing.pack,
     "secrets": lambda d: secret_scan.secret_scan(d, repo=secret_scan.F.lit("r"), owner=secret_scan.F.lit("o")),
     "masking": lambda d: secret_scan.mask_secrets(d, repo=secret_scan.F.lit("r"), owner=secret_scan.F.lit("o")),
