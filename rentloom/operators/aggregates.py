@@ -222,9 +222,10 @@ def fill_medians(df: DataFrame, columns: list[str], by: DataFrame | None = None)
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: the exact median of each column c as __c."""
-    each = [Q.exact_quantiles(df, c, [0.5]).select(F.col("q")[0].alias(f"__{c}")) for c in columns]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), each)
+    """One row: the exact median of each column c as __c, all from one selection."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
+    found = Q.exact_quantiles(each.select("x.name", "x.v"), "v", [0.5], ["name"])
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("q")[0])).alias(f"__{c}") for c in columns])
 
 
 def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:

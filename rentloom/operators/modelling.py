@@ -109,15 +109,8 @@ def baseline_cv(df: DataFrame, index: str, target: str, fold: str) -> DataFrame:
 
 
 def medians_without(df: DataFrame, value: str, fold: str) -> DataFrame:
-    """(__f, __m): for each fold the median of the other folds' values. Every value is counted once, with how many of its
-    rows lie outside each fold, so no row is copied for a fold. Folds are a handful."""
-    folds = [r[0] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).limit(1000).collect()]
-    outside = {f"fold{k}": F.coalesce(F.col(fold) != f, F.lit(True)) for k, f in enumerate(folds)}
-    counts = Q.running_counts(df, value, counts=outside)
-    totals = counts.agg(*[F.max(f"fold{k}_upto").alias(f"all{k}") for k in range(len(folds))])
-    whole = counts.crossJoin(F.broadcast(totals))
-    each = [Q.interpolated(whole.select("v", F.col(f"fold{k}_upto").alias("upto"), F.col(f"all{k}").alias("all")), "all", [0.5]).select(F.lit(f).alias("__f"), F.col("q")[0].alias("__m")) for k, f in enumerate(folds)]
-    return reduce(DataFrame.unionByName, each)
+    """(__f, __m): for each fold the median of the other folds' values; rows without a fold are outside of all."""
+    return Q.exact_quantiles(df, value, [0.5], [fold], others=True).select(F.col(fold).alias("__f"), F.col("q")[0].alias("__m"))
 
 
 def best_run(runs: DataFrame, mean: str = "mae_mean", std: str = "mae_std") -> DataFrame:
@@ -146,14 +139,12 @@ def conformal(df: DataFrame, actual: str, low: str, high: str, share: float = 0.
     point prediction where there is one.
 
     The offset is the score of rank ceil((n + 1) share), not below 0; scores are how far a value lies outside its band.
-    The rank is found from running counts of different scores.
+    That rank's score is selected, not sorted for.
     """
     score = F.greatest(F.col(low) - F.col(actual), F.col(actual) - F.col(high))
     rows = df.select(F.col(actual).alias("y"), F.col(low).alias("lo"), F.col(high).alias("hi"), score.alias("s"), *([F.abs(F.col(actual) - F.col(point)).alias("off")] if point else [])).where("s IS NOT NULL")
-    total = rows.agg(F.count(F.lit(1)).alias("all"))
-    place = F.greatest(F.least(F.ceil((F.col("all") + 1) * share), F.col("all")), F.lit(1))
-    upto = Q.running_counts(rows, "s")
-    found = upto.crossJoin(F.broadcast(total)).where(F.col("upto") >= place).agg(F.greatest(F.min("v"), F.lit(0.0)).alias("offset"))
+    place = lambda n: F.greatest(F.least(F.ceil((n + 1) * share), n), F.lit(1)) - 1
+    found = Q.order_statistics(rows, "s", lambda n: [place(n)]).select(F.greatest(F.get("at", F.lit(0)), F.lit(0.0)).alias("offset"))
     wide = rows.crossJoin(F.broadcast(found))
     lo2, hi2 = F.greatest(F.col("lo") - F.col("offset"), F.lit(0.0)), F.col("hi") + F.col("offset")
     inside = lambda a, b: F.avg(F.col("y").between(a, b).cast("double"))

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -8,9 +9,11 @@ from rentloom.functions import text as X
 from rentloom.operators import aggregates as A
 from rentloom.operators import joins as J
 from rentloom.operators import modelling as M
+from rentloom.operators import ordering as O
 from rentloom.operators import quantiles as Q
 from rentloom.operators import ranking as K
 from rentloom.sources import html as H
+from rentloom.sources import staging as G
 from rentloom.sources import tables as S
 
 
@@ -154,3 +157,49 @@ def test_training_job(spark, tmp_path):
     cases = spark.createDataFrame([("1", "in_band", 5.0), ("2", "in_band", 1.0), ("3", "over", 9.0)], "zip_code string, category string, gap double")
     picked = M.representative_cases(cases, {"over": [F.desc("gap")], "edge_case": []}, total=2, backup={"edge_case": ("in_band", ["gap"])}).collect()
     assert [r.zip_code for r in picked] == ["3", "2"]
+
+
+def test_selection_holds_few_values(spark, monkeypatch):
+    """Of a million distinct values no task sees more than ``small`` in the last step, and bins only before that."""
+    df = spark.range(1_000_000).select(F.expr("pow(id * 7919 % 1000003, 3) - 1e12").alias("v"), (F.col("id") % 3).alias("g"))
+    states = []
+    keep = Q.kept_small
+    monkeypatch.setattr(Q, "kept_small", lambda df, name: states.append(keep(df, name)) or states[-1])
+    ranks = [0, 1, 333_333, 777_777, 999_999]
+    got = Q.order_statistics(df, "v", lambda n: [F.lit(r) for r in ranks], small=500, width=50).first()
+    assert got.n == 1_000_000
+    values = np.sort([float(k * 7919 % 1000003) ** 3 - 1e12 for k in range(1_000_000)])
+    assert list(got["at"]) == values[ranks].tolist()
+    *steps, last, _ = states
+    assert last.where("low < high").agg(F.max("n")).first()[0] <= 500 and all(s.count() <= len(ranks) for s in [*steps, last])
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "float", "decimal(20,3)"])
+def test_order_statistics_of_odd_values(spark, kind):
+    big = {"bigint": [2**62 + k for k in range(40)] + [-(2**62), 2**62 + 7], "double": [float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 5e-324, 1.7e308, -1.7e308, 1.0, 1.0000000000000002]}
+    rows = [(x,) for x in [*big.get(kind, range(-20, 20)), None]]
+    df = spark.createDataFrame(rows, f"v {kind}") if kind in big else spark.createDataFrame(rows, "v int").select(F.col("v").cast(kind).alias("v"))
+    want = [r.v for r in df.where("v IS NOT NULL").orderBy("v").collect()]
+    got = Q.order_statistics(df, "v", lambda n: [F.lit(k) for k in range(len(want))], small=2, width=3).first()
+    assert [str(x) for x in got["at"]] == [str(float(x)) if kind == "float" else str(x) for x in want] or [x + 0 for x in got["at"] if x == x] == [x + 0 for x in want if x == x]
+
+
+def test_places_in_a_global_order(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([1.0, 2.0, rng.random(), None])) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    got = {r.k: r.place for r in O.numbered(df, [F.desc("v"), F.col("k")], "place").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {k: i + 1 for i, (k, _) in enumerate(order)}
+    weights = spark.createDataFrame([(k, k % 5) for k in range(300)], "k int, w int")
+    assert {r.k: r.upto for r in O.running_total(weights, [F.col("k")], "w").collect()} == dict(enumerate(np.cumsum([k % 5 for k in range(300)]).tolist()))
+    assert O.numbered(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with G.scope(spark):
+        one = G.materialize(spark.range(3), "x")
+        (path,) = [f.rsplit("/", 1)[0] for f in one.inputFiles()[:1]]
+        assert one.count() == 3
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert G.kept_small(spark.range(5), "y", most=4).inputFiles() and not G.kept_small(spark.range(4), "y", most=4).inputFiles()
