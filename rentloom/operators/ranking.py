@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rentloom.functions import numbers as N
 from rentloom.operators import modelling as M
+from rentloom.operators.ordering import numbered
+from rentloom.sources.staging import kept_small
 
 COMPONENTS = ["safety", "walk", "transit"]
+SKY_PARTS = 24
 
 
 def normal_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -40,29 +45,74 @@ def composite(weights: dict[str, float | Column]) -> Column:
     return sum((F.col(k) * weights[k] for k in COMPONENTS[1:]), F.col(COMPONENTS[0]) * weights[COMPONENTS[0]])
 
 
-def rank_listings(df: DataFrame, weights: dict[str, float], crime: str, walk: str, transit: str, position: str, top_n: int) -> DataFrame:
-    """The top_n by composite score, ties by position, with rank and the numbers of rows that came in and went out.
+def rank_listings(df: DataFrame, weights: dict[str, float], crime: str, walk: str, transit: str, position: str, top_n: int | None = None) -> DataFrame:
+    """Rows by composite score, ties by position, with rank and the numbers of rows that came in and went out: all of
+    them, or the ``top_n`` first.
 
-    Only the rows that are returned are numbered, so the ranking window holds top_n rows.
+    All rows are numbered from a global order in ranges; of a number of them only these are, under one small window.
     """
     scored = score_components(df, crime, walk, transit).withColumn("composite", composite(normal_weights(weights)))
-    top = scored.orderBy(F.desc("composite"), position).limit(top_n)
-    ranked = top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("composite"), position)))
-    counts = df.agg(F.count(F.lit(1)).alias("n_input")).withColumn("n_returned", F.least(F.col("n_input"), F.lit(top_n)))
+    order = [F.desc("composite"), F.asc(position)]
+    if top_n is None:
+        ranked, returned = numbered(scored, order).withColumn("rank", F.col("rank").cast("int")), F.col("n_input")
+    else:
+        top = scored.orderBy(*order).limit(top_n)
+        ranked, returned = top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order))), F.least(F.col("n_input"), F.lit(top_n))
+    counts = df.agg(F.count(F.lit(1)).alias("n_input")).withColumn("n_returned", returned)
     return ranked.crossJoin(F.broadcast(counts)).withColumns({c: F.round(c, 4) for c in [*COMPONENTS, "composite"]})
 
 
+def _apart(edges: list[float] | None, least: float = 1e-9) -> list[float]:
+    """Edges in order, without those so near the one before that rounding might undo who scores more."""
+    out: list[float] = []
+    for e in sorted(edges or []):
+        if not out or e - out[-1] > least:
+            out.append(e)
+    return out
+
+
+def skyband(scored: DataFrame, position: str, k: int, parts: int = SKY_PARTS) -> DataFrame:
+    """The rows that some weights may put among the first k, and few others.
+
+    A row that k others beat in every component is in nobody's list. Components are cut into ``parts`` ranges of about
+    equal weight, and rows are counted by the cell they are in: those of cells that lie two ranges higher in each
+    component beat a row for certain, by more than rounding can undo. Cells with k such rows above them go as a whole;
+    there are parts^3 cells at most. Of rows that agree in all components the first k by position stay.
+    """
+    points = [i / parts for i in range(1, parts)]
+    edges = scored.agg(*[F.percentile_approx(c, points, 1000).alias(c) for c in COMPONENTS]).first()
+    cells = [sum(((F.col(c) >= F.lit(e)).cast("int") for e in _apart(edges[c])), F.lit(0)) for c in COMPONENTS]
+    celled = scored.withColumn("__cell", (cells[0] * parts + cells[1]) * parts + cells[2])
+    counts = celled.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    grid = np.zeros(parts**3, np.int64)
+    grid[counts.column("__cell").to_numpy()] = counts.column("n").to_numpy()
+    above = np.zeros((parts + 2,) * 3, np.int64)
+    above[:parts, :parts, :parts] = grid.reshape(parts, parts, parts)
+    for axis in range(3):
+        above = np.flip(np.cumsum(np.flip(above, axis), axis), axis)
+    left = np.flatnonzero((grid > 0) & (above[2:, 2:, 2:].reshape(-1) < k))
+    kept = scored.sparkSession.createDataFrame(pa.table({"__of": pa.array(left, pa.int32())}))
+    near = celled.join(F.broadcast(kept), F.col("__cell") == F.col("__of"), "left_semi").drop("__cell")
+    # Twice, so that many equal rows are not numbered in one task.
+    for deal in (256, 1):
+        own = W.partitionBy(*COMPONENTS, F.pmod(F.xxhash64(position), F.lit(deal))).orderBy(position)
+        near = near.withColumn("__place", F.row_number().over(own)).where(F.col("__place") <= k).drop("__place")
+    return near
+
+
 def rank_for_users(df: DataFrame, users: DataFrame, user: str, crime: str, walk: str, transit: str, position: str, top_n: int) -> DataFrame:
-    """The top_n listings of every user of a weights table (user, safety, walk, transit). Each listing is scored once;
-    users times listings are compared, which is what is asked for, and cut to top_n before they are shuffled."""
+    """The top_n listings of every user of a weights table (user, safety, walk, transit). Each listing is scored once, and
+    only those that may be in somebody's list, see ``skyband``, are crossed with the users."""
     w = normal_weight_columns(users).select(user, *[F.col(k).alias(f"w_{k}") for k in COMPONENTS])
-    scored = score_components(df, crime, walk, transit).crossJoin(w).withColumn("composite", composite({k: F.col(f"w_{k}") for k in COMPONENTS}))
+    near = kept_small(skyband(score_components(df, crime, walk, transit), position, top_n), "skyband")
+    scored = near.crossJoin(w).withColumn("composite", composite({k: F.col(f"w_{k}") for k in COMPONENTS}))
     order = W.partitionBy(user).orderBy(F.desc("composite"), position)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop(*[f"w_{k}" for k in COMPONENTS])
 
 
-def rank_flagged(df: DataFrame, weights: dict[str, float], actual: str, predicted: str, p75: str, crime: str, walk: str, transit: str, position: str, top_n: int) -> DataFrame:
-    """The whole ranking job: listings are flagged against their price band, scored, weighted, put in order and cut."""
+def rank_flagged(df: DataFrame, weights: dict[str, float], actual: str, predicted: str, p75: str, crime: str, walk: str, transit: str, position: str, top_n: int | None = None) -> DataFrame:
+    """The whole ranking job: listings are flagged against their price band, scored, weighted, put in order and, if asked
+    for, cut."""
     return rank_listings(M.flag_overpriced(df, actual, predicted, p75), weights, crime, walk, transit, position, top_n)
 
 

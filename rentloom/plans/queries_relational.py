@@ -279,6 +279,32 @@ def rank_listings(spark, sf_dir):
     return out.select("p_partkey", "composite", "safety", "rank", "n_input", F.col("n_returned").cast("int").alias("n_returned"))
 
 
+_RANK_ALL = _RANK.replace("ln(1 + p_size)", "CAST(p_size AS DOUBLE)")
+
+
+@query(f"""WITH {_RANK_ALL}, c AS (SELECT *, safety * 0.5 + walk * 0.3 + transit * 0.2 AS composite FROM s)
+SELECT p_partkey, round(composite, 4) AS composite, CAST(row_number() OVER (ORDER BY composite DESC, p_partkey) AS INT) AS rank, (SELECT count(*) FROM part) AS n_input, (SELECT count(*) FROM part) AS n_returned FROM c""")
+def rank_all(spark, sf_dir):
+    """No number of rows asked for: all parts are ranked."""
+    parts = _scored_parts(spark, sf_dir).drop("crime").join(table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("double")).alias("crime")), "p_partkey")
+    out = K.rank_listings(parts, {"safety": 5, "walk": 3, "transit": 2}, "crime", "walk_score", "transit_score", "p_partkey")
+    return out.select("p_partkey", "composite", "rank", "n_input", "n_returned")
+
+
+@query(f"""WITH {_RANK_ALL}, u AS (SELECT c_custkey, (c_custkey % 7) / 10.0 AS a, (c_custkey % 5) / 10.0 AS b, (c_custkey % 3 + 1) / 10.0 AS c FROM customer),
+d AS (SELECT DISTINCT a, b, c, a / (a + b + c) AS ws, b / (a + b + c) AS ww, c / (a + b + c) AS wt FROM u),
+x AS (SELECT a, b, c, safety * ws + walk * ww + transit * wt AS composite, s.p_partkey FROM s, d),
+y AS (SELECT a, b, c, p_partkey, round(composite, 6) AS composite, row_number() OVER (PARTITION BY a, b, c ORDER BY composite DESC, p_partkey) AS rank FROM x)
+SELECT c_custkey, CAST(rank AS INT) AS rank, composite FROM u JOIN y USING (a, b, c) WHERE rank <= 3""")
+def rank_many_users(spark, sf_dir):
+    """A list for every customer: parts that nobody would see are not crossed with them."""
+    parts = _scored_parts(spark, sf_dir).drop("crime").join(table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("double")).alias("crime")), "p_partkey")
+    c = F.col("c_custkey")
+    users = table(spark, sf_dir, "customer").select("c_custkey", (c % 7 / 10.0).alias("safety"), (c % 5 / 10.0).alias("walk"), ((c % 3 + 1) / 10.0).alias("transit"))
+    out = K.rank_for_users(parts, users, "c_custkey", "crime", "walk_score", "transit_score", "p_partkey", 3)
+    return out.select("c_custkey", "rank", F.round("composite", 6).alias("composite"))
+
+
 @query(f"""WITH {_RANK}, u AS (SELECT r_regionkey AS user_id, CASE r_regionkey WHEN 0 THEN 1.0 / 3 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 / 3 WHEN 3 THEN 0.75 ELSE 0.8 END AS ws, CASE r_regionkey WHEN 0 THEN 1.0 / 3 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 / 3 WHEN 3 THEN 0.25 ELSE 0.2 END AS ww, CASE r_regionkey WHEN 0 THEN 1.0 / 3 ELSE 0.0 END AS wt FROM region),
 c AS (SELECT user_id, p_partkey, safety * ws + walk * ww + transit * wt AS composite FROM s, u)
 SELECT user_id, rank, composite FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY composite DESC, p_partkey) AS INT) AS rank, round(composite, 4) AS composite FROM c) WHERE rank <= 10""")

@@ -203,3 +203,40 @@ def test_staged_tables_go_with_their_scope(spark):
         assert one.count() == 3
     assert not os.path.exists(path.removeprefix("file://"))
     assert G.kept_small(spark.range(5), "y", most=4).inputFiles() and not G.kept_small(spark.range(4), "y", most=4).inputFiles()
+
+
+def test_ranks_of_all_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, 1.0, 5.0, rng.random() * 9]), rng.choice([None, 50.0, 100.0]), rng.choice([20.0, float("nan")])) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, c double, w double, t double").repartition(5)
+    weights = {"safety": 1, "walk": 2, "transit": 1}
+    all_rows = K.rank_listings(df, weights, "c", "w", "t", "k")
+    got = [r.k for r in all_rows.orderBy("rank").collect()]
+    scored = K.score_components(df, "c", "w", "t").withColumn("s", K.composite(K.normal_weights(weights))).collect()
+    assert got == [r.k for r in sorted(scored, key=lambda r: (-r.s, r.k))]
+    assert {(r.n_input, r.n_returned) for r in all_rows.collect()} == {(300, 300)}
+    few = K.rank_listings(df, weights, "c", "w", "t", "k", 7)
+    assert [r.k for r in few.orderBy("rank").collect()] == got[:7]
+    assert "partitionBy" not in str(all_rows) and K.rank_listings(df.limit(0), weights, "c", "w", "t", "k").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "edge"])
+def test_lists_of_many_users(spark, kind):
+    rng = random.Random(kind)
+    value = {"spread": lambda: rng.random(), "ties": lambda: rng.choice([0.0, 0.5, 0.5 + 1e-13, 1.0]), "edge": lambda: rng.random()}[kind]
+    points = [[value() for _ in range(3)] for _ in range(4000)]
+    if kind == "edge":
+        points = [[a, b, max(0.0, 1 - a - b) / 2] for a, b, _ in points]
+    rows = [(k, -a, 100 * b, 100 * c) for k, (a, b, c) in enumerate(points)]
+    df = spark.createDataFrame(rows, "k int, c double, w double, t double").repartition(4)
+    users = spark.createDataFrame([(u, *[rng.choice([0.0, 1.0, -1.0, None, rng.random()]) for _ in range(3)]) for u in range(60)], "u int, safety double, walk double, transit double")
+    got = {(r.u, r["rank"]): r.k for r in K.rank_for_users(df, users, "u", "c", "w", "t", "k", 5).collect()}
+    scored = K.score_components(df, "c", "w", "t")
+    held = [(r.k, r.safety, r.walk, r.transit) for r in scored.collect()]
+    want = {}
+    for r in K.normal_weight_columns(users).collect():
+        best = sorted(held, key=lambda x: (-(x[1] * r.safety + x[2] * r.walk + x[3] * r.transit), x[0]))[:5]
+        want |= {(r.u, i + 1): x[0] for i, x in enumerate(best)}
+    assert got == want
+    near = K.skyband(scored, "k", 5).count()
+    assert near < (1000 if kind == "spread" else 400 if kind == "ties" else 4001)
