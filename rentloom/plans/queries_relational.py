@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rentloom.functions import numbers as N
@@ -13,7 +11,11 @@ from rentloom.operators import modelling as M
 from rentloom.operators import quantiles as Q
 from rentloom.operators import ranking as K
 from rentloom.operators import reshape as R
+from rentloom.sources.paged import PagedFeed
+from rentloom.sources.published import Published, read_published
+from rentloom.sources.staging import new_folder
 from rentloom.streaming import feeds as S
+from rentloom.streaming.seen import first_ever, state_on_disk
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -344,14 +346,7 @@ def feature_contributions(spark, sf_dir):
 
 
 def _stream_folder(spark):
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="rentloom-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 @query("""
@@ -372,3 +367,39 @@ def stream_dedup(spark, sf_dir):
     stream = S.first_seen_stream(S.read_stream(spark, f"{sf_dir}/events.parquet*", source.schema), "user_id", "ts", "400 days")
     S.run_available(stream, f"{folder}/seen", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/seen").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1
+""")
+def stream_first_ever(spark, sf_dir):
+    """Each user's first event, from a stream that is stopped twice: it gets events by thirds of their time, so users come
+    back after any delay."""
+    source = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    folder = _stream_folder(spark)
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = source.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"))
+    dealt = source.crossJoin(F.broadcast(span)).withColumn("third", F.least(F.floor((seconds - F.col("low")) * 3 / F.greatest(F.col("high") - F.col("low"), F.lit(1))), F.lit(2))).drop("low", "high")
+    for third in range(3):
+        dealt.where(F.coalesce("third", F.lit(0)) == third).drop("third").write.mode("append").parquet(f"{folder}/source")
+        with state_on_disk(spark):
+            stream = first_ever(S.read_stream(spark, f"{folder}/source", source.schema, files=1000), ["user_id"], ["ts", "event_id"])
+            S.run_available(stream, f"{folder}/seen", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/seen").select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1
+""")
+def stream_paged_feed(spark, sf_dir):
+    """Events as a feed in pages, read by a stream that is stopped after three of them and goes on, to a published table."""
+    spark.dataSource.register(PagedFeed)
+    spark.dataSource.register(Published)
+    total = table(spark, sf_dir, "events").count()
+    folder = _stream_folder(spark)
+    page = max(1, total // 10)
+    options = {"schema": "event_id long, event_type string", "page": page, "fetcher": "rentloom.sources.paged:parquet_page", "path": f"{sf_dir}/events.parquet", "columns": "event_id,event_type"}
+    for there in (3 * page, total):
+        feed = spark.readStream.format("paged_feed").options(total=there, **options).load()
+        feed.writeStream.format("published").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_published(spark, f"{folder}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("event_id").alias("n_ids"))

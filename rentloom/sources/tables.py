@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
 from rentloom.functions.text import number, standard_zip
+from rentloom.sources.paged import PagedFeed, _PagedReader  # noqa: F401
 
 
 def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", sep: str = ",", line_ends: bool = False) -> DataFrame:
@@ -87,51 +85,6 @@ def read_pages(spark: SparkSession, path, schema: T.StructType, start: str, date
     return rows if max_rows is None else rows.orderBy(id_col).limit(max_rows)
 
 
-class PagedFeed(DataSource):
-    """A live feed read in pages: in parallel where its ``total`` is known, else one after the other, up to the first page
-    that is empty or short, or to ``max_rows``.
-
-    Options: total, page, schema, max_rows, and fetcher, the "module:function" that gives the rows of (offset, limit).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_feed"
-
-    def schema(self) -> str:
-        return self.options["schema"]
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _PagedReader(self.options)
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def partitions(self) -> list[InputPartition]:
-        if "total" not in self.options:
-            return [InputPartition(None)]
-        return [InputPartition(k) for k in range(0, int(self.options["total"]), int(self.options["page"]))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        module, function = self.options["fetcher"].split(":")
-        fetch, page = getattr(importlib.import_module(module), function), int(self.options["page"])
-        if partition.value is not None:
-            yield from fetch(partition.value, min(page, int(self.options["total"]) - partition.value))
-            return
-        offset, most = 0, int(self.options.get("max_rows", -1))
-        while most < 0 or offset < most:
-            limit = page if most < 0 else min(page, most - offset)
-            rows = list(fetch(offset, limit))
-            yield from rows
-            offset += len(rows)
-            if len(rows) < limit:
-                return
-
-
 def discover(spark: SparkSession, paths: list[str], required: list[str], skip: str = "_clean", skipped: list | None = None) -> DataFrame | None:
     """Union of the CSV files whose header has the required columns; files whose name ends with ``skip`` are left out, and
     those whose header can't be read are noted in ``skipped`` as (path, reason)."""

@@ -21,18 +21,6 @@ def first_seen_stream(stream: DataFrame, key: str, time: str, delay: str = "7 da
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def append_new(batch: DataFrame, target: str, key: str) -> None:
-    """For foreachBatch: appends rows whose key the target doesn't have, however old it is."""
-    spark = batch.sparkSession
-    new = batch.dropDuplicates([key])
-    try:
-        new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.write.mode("append").parquet(target)
-
-
 def daily_counts(rows: DataFrame, time: str, keys: list[str], **flags: Column) -> DataFrame:
     """Counts per day and key of a batch, or of one trigger's rows: those of several add up, see ``monthly``."""
     return rows.groupBy(F.date_trunc("DAY", time).alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
