@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentloom.llm.chunks import bucket_count, in_chunks
-from rentloom.llm.common import prefix_hash, slices, stretch_hash
+from rentloom.llm.common import prefix_hash, quoted, slices, stretch_hash
 from rentloom.llm.pretokens import WordEncoder, WordIds, Words, gather, ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -168,7 +168,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path, buckets = path or _default_path(), buckets or bucket_count(docs)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     more = ", ids array<int>" if with_ids else ""
 
     def assemble(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -222,10 +222,10 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
 
     For tables of ids from elsewhere; rows are told apart by id and ids. An empty or null list decodes to an empty value.
     """
-    keyed = encoded.select(F.col(id_col), F.xxhash64(ids_col).alias("__h"), F.posexplode_outer(ids_col).alias("__pos", "token")).distinct()
+    keyed = encoded.select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(quoted(ids_col)).alias("__h"), F.posexplode_outer(quoted(ids_col)).alias("__pos", "token")).distinct()
     joined = keyed.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "token", "left")
-    parts = joined.groupBy(id_col, "__h").agg(F.sort_array(F.collect_list(F.struct("__pos", F.hex("bytes").alias("x")))).alias("p"))
-    return parts.select(id_col, F.unhex(F.array_join(F.transform("p", lambda p: p["x"]), "")).alias("decoded"))
+    parts = joined.groupBy("__id", "__h").agg(F.sort_array(F.collect_list(F.struct("__pos", F.hex("bytes").alias("x")))).alias("p"))
+    return parts.select(F.col("__id").alias(id_col), F.unhex(F.array_join(F.transform("p", lambda p: p["x"]), "")).alias("decoded"))
 
 
 def op5_byte_bpe(spark, sf_dir):

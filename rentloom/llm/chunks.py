@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import buffer_of, slices
+from rentloom.llm.common import buffer_of, quoted, slices
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -70,7 +70,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([name] * len(part), pa.int64())], names=["id", "text", "chunk"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, text string, chunk long")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(task, f"id {kind}, text string, chunk long")
 
 
 def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callable, limit: int, bits: int = 64) -> DataFrame:
@@ -104,7 +104,7 @@ def recurring_keys(docs: DataFrame, id_col: str, text_col: str, keys_of: Callabl
                 out.append((name, pack_keys(own)))
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(send, "bucket long, chunk long, keys binary, twice binary")
+    sent = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(send, "bucket long, chunk long, keys binary, twice binary")
     return sent.groupBy("bucket").applyInArrow(meet, "chunk long, keys binary")
 
 

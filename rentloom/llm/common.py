@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
-_LOCAL: dict[str, str] = {}
-
+from rentloom.sources.staging import materialize, shared_folder  # noqa: F401
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one does for
-    a local session, whose executors are the driver; on a cluster that is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        # Spark takes no such setting once a session runs, so the folder is kept here.
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="rentloom-")
-        where = _LOCAL[app]
-    return where.rstrip("/")
+CHUNK_BYTES = 2 << 20
 
 
 def quoted(name: str) -> str:
@@ -50,15 +34,6 @@ def unpacked(docs: DataFrame, changed: dict[str, Column] | None = None, added: d
     return [*kept, *[v.alias(c) for c, v in added.items()]]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that later jobs neither recompute it nor depend on the
-    executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have at most ``limit`` bytes, or one row."""
     column = batch.column(batch.schema.get_field_index(text))

@@ -89,6 +89,16 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def exact_groups(spark, sf_dir):
+    """Only texts that others equal: one row a group. Full hashes are taken of texts whose prefix recurs, not of all."""
+    groups = equal_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.select("keep_id", "group_size", F.col("n").cast("long").alias("n_bytes"), F.col("full").alias("text_sha256"))
+
+
+ORACLE_GROUPS = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT max(doc_id) AS keep_id, count(*) AS group_size, CAST(strlen(t) AS BIGINT) AS n_bytes, sha256(t) AS text_sha256 FROM d GROUP BY t HAVING count(*) > 1
+"""
 ORACLE = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import slices
+from rentloom.llm.common import quoted, slices
 from rentloom.llm.pretokens import WordEncoder, WordIds, Words, gather
 
 CAPACITY = 1024
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         types = [kind, *[pa.int64()] * 6, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], types, strict=False)], names=names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     return rows.mapInArrow(task, f"id {key}, {COLUMNS}{', ids binary' * with_ids}").withColumnRenamed("id", id_col)
 
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op6_suffix_dedup": substring_dedup.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "exact_groups": exact_dedup.exact_groups,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_filter_audit": filter_audit.op11_filter_audit,
@@ -25,6 +26,7 @@ ORACLE = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op4_line_dedup_words": line_dedup.ORACLE_WORDS,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "exact_groups": exact_dedup.ORACLE_GROUPS,
     "op10_secret_scan": secret_scan.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_phrase_collocations": phrases.ORACLE,

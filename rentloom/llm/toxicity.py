@@ -13,7 +13,6 @@ length.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -144,18 +143,31 @@ def readings(ch: str) -> list[tuple[int, float, str]]:
 
 
 def restore(span: str, model: np.ndarray) -> str:
-    """The most likely word behind a span: Viterbi over (last two letters), with the readings of each character. Spans of
-    more than WINDOW characters are read window by window, each from the state in which the one before ended best."""
-    state, out, text = (0, 0), [], span.lower()
-    for k in range(0, len(text), WINDOW):
-        state, letters = _window(text[k : k + WINDOW], state, model, k + WINDOW >= len(text))
-        out.append(letters)
-    return "".join(out)
-
-
-def _window(text: str, state: tuple[int, int], model: np.ndarray, final: bool) -> tuple[tuple[int, int], str]:
-    best: dict[tuple[int, int], float] = {state: 0.0}
-    back: list[dict] = []
+    """The most likely word behind a span: Viterbi over (last two letters), with the readings of each character. Where each
+    state came from is kept for WINDOW characters at a time; for the ones before, the states' costs at each window's begin
+    are, from which a window is gone through again. So the reading is the best of the whole span, however long."""
+    text = span.lower()
+    begins, costs, back = range(0, max(len(text), 1), WINDOW), {(0, 0): 0.0}, []
+    before: list[dict[tuple[int, int], float]] = []
+    for k in begins:
+        before.append(costs)
+        back = []
+        costs = _forward(text[k : k + WINDOW], costs, model, back)
+    ends = {to: cost - model[to[0], to[1], 0] for to, cost in costs.items()}
+    now = min(ends, key=lambda to: (ends[to], to))
+    letters: list[str] = []
+    for k in reversed(range(len(begins))):
+        if k < len(begins) - 1:
+            back = []
+            _forward(text[begins[k] : begins[k] + WINDOW], before[k], model, back)
+        for came in reversed(back):
+            now, letter = came[now]
+            letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def _forward(text: str, best: dict[tuple[int, int], float], model: np.ndarray, back: list[dict]) -> dict[tuple[int, int], float]:
+    """The least cost of each state behind a text; ``back`` gets, for each character, where each state came from."""
     for ch in text:
         options = readings(ch)
         after: dict[tuple[int, int], float] = {}
@@ -176,13 +188,7 @@ def _window(text: str, state: tuple[int, int], model: np.ndarray, final: bool) -
                 offer(of, cost + COST_FILLER, of, "")
         best = after
         back.append(came)
-    ends = {to: cost - (model[to[0], to[1], 0] if final else 0.0) for to, cost in best.items()}
-    state = now = min(ends, key=lambda to: (ends[to], to))
-    letters = []
-    for came in reversed(back):
-        now, letter = came[now]
-        letters.append(letter)
-    return state, "".join(reversed(letters))
+    return best
 
 
 def disguised_words(data: np.ndarray, at: np.ndarray, model: np.ndarray, known: dict) -> tuple[np.ndarray, list[str]]:
@@ -279,16 +285,17 @@ def regress(label: np.ndarray, many: np.ndarray, row: np.ndarray, k: np.ndarray,
 
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text, modulo 4, is 2. A null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Toxicity:
     """Learn from labelled rows outside the held-out fold. An id that is labelled twice counts with its larger label."""
     language = trigram_model(count_trigrams(docs, text_col))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
+    own, label = F.col(quoted(id_col)), F.col(quoted(label_col))
+    known = labels.where(label.isNotNull() & own.isNotNull() & ~held_out(id_col)).groupBy(own.alias("of")).agg(F.max(label).alias("label"))
+    chosen = known.orderBy(F.xxhash64("of"), "of").limit(most)
     # Bounded by ``most`` rows of two numbers; their documents are written once, and read three times.
-    sample = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), id_col)
+    sample = docs.select(own.alias("of"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), "of")
     joined = materialize(sample.select("text", F.col("label").cast("int").alias("label")), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -367,10 +374,9 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
                 k = table[bucket].astype(np.int64)
                 pairs, count = np.unique(row[k >= 0] * CANDIDATES + k[k >= 0], return_counts=True)
                 s = model.score(many, pairs // CANDIDATES, pairs % CANDIDATES, count)
-                out = [zlib.crc32((str(i) if i is not None else "").encode()) % 4 == 2 for i in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(task, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), held_out(id_col).alias("held_out")).mapInArrow(task, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op3_toxicity(spark, sf_dir):

@@ -41,3 +41,26 @@ def test_clashing_columns_and_id_types(spark, name, kind, keys):
         for x in set(NAMES) - set(PASS_ON[name]):
             assert {r[x] for r in got} == {f"mine {x}"}, x
         assert len(set(out.columns)) == len(out.columns)
+
+
+@pytest.mark.parametrize("name", ["media", "toxicity", "bpe", "jaccard", "exact", "packing", "decontamination"])
+def test_odd_id_and_text_names(spark, name):
+    make = {
+        "media": avi_mjpeg.store_texts,
+        "toxicity": lambda d, i, t: toxicity.score(d, toxicity.Toxicity(toxicity.trigram_model(toxicity.np.ones(toxicity.LETTERS**3))), i, t),
+        "bpe": byte_bpe.encode_texts,
+        "jaccard": jaccard_join.near_duplicates,
+        "exact": exact_dedup.exact_dedup,
+        "packing": packing.pack,
+        "decontamination": lambda d, i, t: decontamination.decontaminate(d, d.sparkSession.createDataFrame([(1, "some words")], "item_id long, text string"), i, t),
+    }[name]
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, "other words"), (None, None)], "`a.b` long, `c``d` string")
+    assert {r["a.b"] for r in make(docs, "a.b", "c`d").collect()} == {1, 2, None}
+
+
+def test_held_out_is_the_same_for_all_kinds_of_ids(spark):
+    model = toxicity.Toxicity(toxicity.trigram_model(toxicity.np.ones(toxicity.LETTERS**3)))
+    for kind in ("double", "decimal(10,2)", "timestamp", "boolean"):
+        docs = spark.range(12).selectExpr(f"CAST({'id = 3' if kind == 'boolean' else 'id'} AS {kind}) AS doc_id", "'x' AS text")
+        want = {str(r.doc_id): r.h for r in docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()}
+        assert {str(r.doc_id): r.held_out for r in toxicity.score(docs, model).collect()} == want

@@ -195,3 +195,17 @@ def test_toxicity(spark, documents):
     empty = toxicity.train(documents([]), table.limit(0))
     odd = toxicity.score(documents([(1, None), (2, ""), (None, "x"), (3, "y" * 50000)]), empty)
     assert odd.count() == 4 and odd.where("score IS NULL").count() == 0
+
+
+def test_long_spans_are_read_as_a_whole(monkeypatch):
+    """Windows of a few characters give what one over the whole span gives, also where the best state at a window's end
+    is not the one that the best reading goes through."""
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.full(toxicity.LETTERS, 0.05), (toxicity.LETTERS, toxicity.LETTERS)) + 1e-6)
+    for n in (1, 2, 3, 17, 100, 400):
+        span = "".join(rng.choice(list("aabloe013!$| .-"), n))
+        monkeypatch.setattr(toxicity, "WINDOW", 1 << 20)
+        whole = toxicity.restore(span, model)
+        for size in (1, 3, 16):
+            monkeypatch.setattr(toxicity, "WINDOW", size)
+            assert toxicity.restore(span, model) == whole
