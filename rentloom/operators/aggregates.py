@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,9 @@ from rentloom.functions import numbers as N
 from rentloom.functions import text as X
 from rentloom.operators import quantiles as Q
 
+# Values that a quantile sketch holds at most on each of its levels.
+SKETCH_K = 1000
+
 
 def category_counts(df: DataFrame, keys: list[str], category: str, groups: dict[str, list[str]], total: str) -> DataFrame:
     """Rows by key: all, and those of each group of categories, and log1p of all. Null keys go."""
@@ -71,6 +74,26 @@ def distribution(df: DataFrame, c: str, exact: bool = True) -> DataFrame:
     return one.select("n", "mean", "std", "min", "max", *[F.col("q")[k].alias(name) for k, name in enumerate(("p10", "p25", "median", "p75", "p90"))])
 
 
+def sketch_states(df: DataFrame, by: list[Column], value: str, k: int = SKETCH_K) -> DataFrame:
+    """(by, n, low, high, sketch): the state of each key's values, from which any number of keys' quantiles follow. States
+    of the same key, of later rows for example, may be kept beside each other: they add up when merged."""
+    v = F.col(value).cast("double")
+    kept = df.where(v.isNotNull() & ~F.isnan(v))
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(states: DataFrame, points: list[float], by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """(by, n, low, high, q): quantiles from states, without the rows. The rank of each is off by no more than about
+    ``sketch_error(k)`` of all rows, in 99 of 100 cases; least and greatest are exact."""
+    merged = states.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return merged.select(*(by or []), "n", "low", "high", F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for p in points]).alias("q"))
+
+
+def sketch_error(k: int = SKETCH_K) -> float:
+    """The published rank error of such a sketch, as a share of all rows."""
+    return 2.296 / k**0.9723
+
+
 def correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """(feature, pearson): all in one pass."""
     one = df.agg(*[pearson(c, target).alias(c) for c in columns])
@@ -145,10 +168,33 @@ def interval_coverage(df: DataFrame, actual: str, low: str, high: str) -> DataFr
     return df.agg(F.avg(F.col(actual).between(F.col(low), F.col(high)).cast("double")).alias("coverage"), F.avg(F.greatest(F.col(high) - F.col(low), F.lit(0.0))).alias("width"))
 
 
-def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
-    """Counters that come with the job itself; read them after an action."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen
+class Counters:
+    """Counts of what passes the steps of a job, that come with the job itself. A pipeline marks its steps with ``watch``;
+    once what it gives has been written or collected, ``rows`` has all counts of that one run."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, step: str, **counters: Column) -> DataFrame:
+        """The frame; its rows are counted, and those for which each condition holds."""
+        if step in self._seen:
+            raise ValueError(f"step {step} is watched already")
+        self._seen[step] = Observation()
+        return df.observe(self._seen[step], F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()])
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """By step and counter; waits for the run."""
+        return {step: dict(seen.get) for step, seen in self._seen.items()}
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(step, counter, n)."""
+        found = [(step, counter, int(n)) for step, of in self.counts().items() for counter, n in of.items()]
+        return spark.createDataFrame(found, "step string, counter string, n long")
+
+
+def watched(df: DataFrame, counters: Counters | None, step: str, **conditions: Column) -> DataFrame:
+    """As ``Counters.watch`` where there are counters, else the frame as it is."""
+    return df if counters is None else counters.watch(df, step, **conditions)
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -18,13 +18,26 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def once_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, one a key; reading them fails where a key without nulls stands twice. The check is part of the plan, so it
+    costs no job of its own, and no shuffle where the rows are dealt by their keys already."""
+    rest = [c for c in df.columns if c not in keys]
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__r"))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    twice = F.raise_error(F.concat(F.lit(f"{keys} are not unique: "), F.to_json(F.struct(*keys))))
+    checked = found.withColumn("__r", F.when(whole & (F.col("__n") > 1), twice).otherwise(F.col("__r")))
+    return checked.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns])
+
+
 def left_features(left: DataFrame, right: DataFrame, keys: list[str], fills: dict[str, object], latest_by: list | None = None) -> DataFrame:
-    """Left join with one row per key on the right; misses get their fill, as do columns that the left had before. Where
-    keys may repeat on the right, ``latest_by`` is the order whose last row counts."""
+    """Left join with one row per key on the right; misses get their fill, as do columns that the left had before. A key
+    that repeats on the right fails the job, as it would add rows; where keys may repeat, ``latest_by`` is the order whose
+    last row counts."""
     kept = left.drop(*fills)
-    if latest_by is not None:
-        right = keep_first(right, keys, latest_by, last=True)
-    return kept.join(right.select(*keys, *fills), keys, "left").fillna(fills)
+    one = once_per_key(right.select(*keys, *fills), keys) if latest_by is None else keep_first(right, keys, latest_by, last=True).select(*keys, *fills)
+    return kept.join(one, keys, "left").fillna(fills)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list, last: bool = False) -> DataFrame:
@@ -89,8 +102,9 @@ def _first_hit(areas: Column, lon: Column, lat: Column) -> Column:
     return F.array_min(F.transform(hits, lambda a: F.struct(a["position"].alias("position"), a["name"].alias("name"))))["name"]
 
 
-def assign_area(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", cell: float = 0.02) -> DataFrame:
-    """Adds the area that each point is in, null outside; of several the one with the least position.
+def assign_area(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", cell: float = 0.02, small: bool = False) -> DataFrame:
+    """Adds the area that each point is in, null outside; of several the one with the least position. ``small`` says that
+    the areas are known to be few, see ``assign_area_small``.
 
     Areas are cut into grid cells, and each cell has the list of its areas; a point meets that list by an equi-join on
     its cell, so no point is duplicated or grouped again.
@@ -99,17 +113,17 @@ def assign_area(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str
     steps = lambda k: F.sequence(F.floor(F.col(f"min{k}") / cell), F.floor(F.col(f"max{k}") / cell))
     cells = box.withColumn("__cx", F.explode(steps(0))).withColumn("__cy", F.explode(steps(1))).groupBy("__cx", "__cy").agg(F.collect_list("area").alias("__areas"))
     tagged = points.drop(name).withColumns({"__cx": F.floor(F.col(lon) / cell), "__cy": F.floor(F.col(lat) / cell)})
-    near = tagged.join(cells, ["__cx", "__cy"], "left")
+    near = tagged.join(F.broadcast(cells) if small else cells, ["__cx", "__cy"], "left")
     return near.withColumn(name, _first_hit(F.col("__areas"), F.col(lon), F.col(lat))).drop("__cx", "__cy", "__areas")
 
 
-def assign_area_small(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", most: int = 10_000) -> DataFrame:
-    """As ``assign_area`` for an areas table of at most ``most`` rows, which is checked: it is broadcast as one row and
-    points never move."""
-    if areas.limit(most + 1).count() > most:
-        return assign_area(points, areas, lat, lon, name)
-    one = areas.agg(F.collect_list(F.struct(F.col(name).alias("name"), "contour", "position")).alias("__areas"))
-    return points.drop(name).crossJoin(F.broadcast(one)).withColumn(name, _first_hit(F.col("__areas"), F.col(lon), F.col(lat))).drop("__areas")
+def assign_area_small(points: DataFrame, areas: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "zip_code", cell: float = 0.02, most: int = 100_000) -> DataFrame:
+    """As ``assign_area``, where areas have at most ``most`` corners in all, which is checked: cells with their areas are
+    broadcast, and points never move, however many are in one cell."""
+    corners = areas.agg(F.sum(F.size("contour").cast("long"))).first()[0] or 0
+    if corners > most:
+        return assign_area(points, areas, lat, lon, name, cell)
+    return assign_area(points, areas, lat, lon, name, cell, small=True)
 
 
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -171,7 +185,7 @@ def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str) ->
 
     wanted: area, position, label, price; offers: area, offer, label, price. Areas never share offers, so they are dealt
     out and matched apart. Who comes first decides within an area, so an area is matched in one task, in about n log n
-    steps. schema names the type of area.
+    steps. Rows without an area get no offer. schema names the type of area.
     """
 
     def match(w: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +218,9 @@ def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str) ->
         return pd.DataFrame(out, columns=[area, "position", "offer"]).astype({"offer": "Int64"})
 
     left = wanted.where(F.col(area).isNotNull()).groupBy(area)
-    return left.cogroup(offers.where(F.col(area).isNotNull()).groupBy(area)).applyInPandas(match, f"{area} {schema}, position long, offer long")
+    matched = left.cogroup(offers.where(F.col(area).isNotNull()).groupBy(area)).applyInPandas(match, f"{area} {schema}, position long, offer long")
+    nowhere = wanted.where(F.col(area).isNull()).select(F.col(area).cast(schema).alias(area), F.col("position").cast("long").alias("position"), F.lit(None).cast("long").alias("offer"))
+    return matched.unionByName(nowhere)
 
 
 def with_scores(rows: DataFrame, cache: DataFrame, centroids: DataFrame, city: tuple[float, float]) -> DataFrame:

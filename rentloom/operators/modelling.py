@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from rentloom.functions import constants as C
 from rentloom.functions import numbers as N
 from rentloom.operators import aggregates as A
 from rentloom.operators import joins as J
 from rentloom.operators import quantiles as Q
+from rentloom.sources.staging import materialize
 
 LEAST_ROWS = 50
 
@@ -80,7 +83,15 @@ def importances(model: PipelineModel, names: list[str]) -> list[tuple[str, float
 
 
 class LeafQuantiles:
-    """Quantiles by a forest: in each tree those of the training rows in a row's leaf, then the mean over trees."""
+    """Quantiles by a forest's weights: a row's leaf-mates of all trees, each tree's weighing 1 together, are one weighted
+    sample, and its quantiles are the row's.
+
+    Labels are counted in BINS ranges of about equal weight, so a leaf is a short histogram, and a row's sample is the mean
+    of its leaves'. There are 2^depth leaves a tree at most, which bounds what tasks hold. Within a range values count as
+    spread evenly between its least and greatest.
+    """
+
+    BINS = 128
 
     def __init__(self, quantiles: list[float], trees: int = 20, depth: int = 5, seed: int = 42):
         self.quantiles, self.trees, self.depth, self.seed = quantiles, trees, depth, seed
@@ -88,18 +99,47 @@ class LeafQuantiles:
     def fit(self, df: DataFrame, features: str = "features", label: str = "label") -> LeafQuantiles:
         forest = RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=10, seed=self.seed, leafCol="__leaf")
         self.model = forest.fit(df)
-        leaves = self._leaves(df)
-        # One row per tree and leaf: 2^depth times the trees at most.
-        self.table = Q.exact_quantiles(leaves, label, self.quantiles, ["__tree", "__id"]).withColumnRenamed("q", "__q")
+        edges = df.agg(F.percentile_approx(label, [k / self.BINS for k in range(1, self.BINS)], 10_000).alias("e")).first()["e"] or []
+        splits = [float("-inf"), *sorted(set(edges)), float("inf")]
+        binned = Bucketizer(splits=splits, inputCol=label, outputCol="__bin").transform(self.model.transform(df).select(F.col(label).cast("double").alias(label), "__leaf"))
+        placed = binned.select(F.col("__bin").cast("int").alias("bin"), F.col(label).alias("y"), F.posexplode(vector_to_array("__leaf")).alias("tree", "leaf"))
+        # One row per tree, leaf and range: BINS times 2^depth times the trees at most.
+        self.table = materialize(placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "bin").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("low"), F.max("y").alias("high")), "leaves")
         return self
 
-    def _leaves(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df).select("*", F.posexplode(vector_to_array("__leaf")).alias("__tree", "__id"))
+    def _histograms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tree, leaf, range) shares of each leaf, and the least and greatest value of each range."""
+        held = self.table.toArrow()
+        tree, leaf, part, n, low, high = (held.column(c).to_numpy() for c in ("tree", "leaf", "bin", "n", "low", "high"))
+        shares = np.zeros((int(tree.max()) + 1, int(leaf.max()) + 1, int(part.max()) + 1), np.float32)
+        shares[tree, leaf, part] = n
+        shares /= np.maximum(shares.sum(-1, keepdims=True), 1)
+        least, most = np.full(shares.shape[2], np.inf), np.full(shares.shape[2], -np.inf)
+        np.minimum.at(least, part, low)
+        np.maximum.at(most, part, high)
+        return shares, least, most
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
         """(key, q0, q1, ...)."""
-        joined = self._leaves(df).join(F.broadcast(self.table), ["__tree", "__id"])
-        return joined.groupBy(key).agg(*[F.avg(F.col("__q")[k]).alias(f"q{k}") for k in range(len(self.quantiles))])
+        shares, least, most = self._histograms()
+        points = np.array(self.quantiles)
+
+        @F.pandas_udf("array<double>")
+        def weighted(leaves: pd.Series) -> pd.Series:
+            out = []
+            for k in range(0, len(leaves), 1000):
+                leaf = np.stack(leaves.iloc[k : k + 1000].to_numpy()).astype(np.int64)
+                sample = shares[np.arange(leaf.shape[1]), leaf].mean(1).astype(float)
+                upto = np.cumsum(sample, 1)
+                upto /= upto[:, -1:]
+                for row, own in zip(upto, sample, strict=True):
+                    at = np.minimum(np.searchsorted(row, points), len(row) - 1)
+                    share = np.clip(1 - (row[at] - points) / np.maximum(own[at], 1e-12), 0, 1)
+                    out.append(least[at] + (most[at] - least[at]) * share)
+            return pd.Series(out)
+
+        found = self.model.transform(df).select(key, weighted(vector_to_array("__leaf")).alias("__q"))
+        return found.select(key, *[F.col("__q")[k].alias(f"q{k}") for k in range(len(self.quantiles))])
 
 
 def baseline_cv(df: DataFrame, index: str, target: str, fold: str) -> DataFrame:
@@ -200,16 +240,19 @@ def price_category(actual: Column, p25: Column, p75: Column, point: Column) -> C
 
 
 def contributions(df: DataFrame, model: PipelineModel, numerics: list[str], key: str, n: int = 5) -> DataFrame:
-    """(key, feature, contribution, rank): by how much the prediction changes when a feature is put at its median. One
-    transform scores all rows with each feature in turn."""
-    drop = [c for c in ("__index", "__hot", "features", "prediction") if c in df.columns]
-    each = df.drop(*drop).crossJoin(F.broadcast(A.medians(df, numerics))).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ["", *numerics]])))
-    moved = each.withColumns({c: F.when(F.col("feature") == c, F.col(f"__{c}")).otherwise(F.col(c)) for c in numerics})
-    scored = model.transform(moved).select(key, "feature", N.from_log("prediction").alias("p"))
-    per = scored.groupBy(key).agg(F.max(F.when(F.col("feature") == "", F.col("p"))).alias("own"), F.collect_list(F.when(F.col("feature") != "", F.struct("feature", "p"))).alias("all"))
-    rows = per.select(key, F.explode("all").alias("x"), "own").select(key, "x.feature", (F.col("own") - F.col("x.p")).alias("contribution"))
-    w = W.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "feature")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """(key, feature, contribution, rank): by how much the prediction changes when a feature is put at its median, the n
+    largest of each row. A row is scored with each feature in turn where it is, and never shuffled."""
+    made = ["__index", "__hot", "features", "prediction"]
+    rows = df.drop(*[c for c in made if c in df.columns]).crossJoin(F.broadcast(A.medians(df, numerics)))
+    scored = model.transform(rows).withColumn("__own", N.from_log("prediction")).drop(*made)
+    for k, c in enumerate(numerics):
+        moved = scored.withColumns({"__kept": F.col(c), c: F.col(f"__{c}")})
+        scored = model.transform(moved).withColumns({f"__p{k}": N.from_log("prediction"), c: F.col("__kept")}).drop(*made, "__kept")
+    each = F.array(*[F.struct((F.col("__own") - F.col(f"__p{k}")).alias("d"), F.lit(c).alias("feature")) for k, c in enumerate(numerics)])
+    size = lambda x: F.abs(x["d"])
+    before = lambda x, y: F.when((size(x) > size(y)) | ((size(x) == size(y)) & (x["feature"] < y["feature"])), -1).otherwise(1)
+    first = scored.select(key, F.posexplode(F.slice(F.array_sort(each, before), 1, n)).alias("place", "x"))
+    return first.select(key, "x.feature", F.col("x.d").alias("contribution"), (F.col("place") + 1).alias("rank"))
 
 
 def score_units(df: DataFrame, actual: str, predicted: str, p25: str, p75: str, keys: list[str] = C.UNIT_KEYS, position: str = "position", scope: tuple[float, float] = C.SCOPE_RANGE) -> DataFrame:
@@ -272,19 +315,31 @@ def train_select_audit(df: DataFrame, configs: list[dict], category: str, numeri
     return report, A.importance_shares(gains, len(numerics) + 1)
 
 
-def save_bundle(path: str, point: PipelineModel, band: LeafQuantiles | None = None) -> None:
+def save_bundle(path: str, point: PipelineModel, band: LeafQuantiles | None = None, about: dict | None = None) -> None:
+    """The point model, the band's forest and leaves, and a metadata document: what the band's quantiles are, and whatever
+    is known of the training, such as its features, rows and metrics."""
+    spark = SparkSession.active()
     point.write().overwrite().save(f"{path}/point")
     if band is not None:
         band.model.write().overwrite().save(f"{path}/forest")
         band.table.write.mode("overwrite").parquet(f"{path}/leaves")
+    known = {"quantiles": band.quantiles if band is not None else None, "stages": [type(s).__name__ for s in point.stages], **(about or {})}
+    spark.createDataFrame([(json.dumps(known),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_metadata(path: str) -> dict:
+    return json.loads(SparkSession.active().read.text(f"{path}/metadata", wholetext=True).first()[0])
 
 
 def load_point(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/point")
 
 
-def load_bundle(path: str, spark: SparkSession, quantiles: list[float]) -> tuple[PipelineModel, LeafQuantiles]:
-    """What ``save_bundle`` has saved: the point model and the band."""
+def load_bundle(path: str, spark: SparkSession, quantiles: list[float] | None = None) -> tuple[PipelineModel, LeafQuantiles | None]:
+    """What ``save_bundle`` has saved: the point model and the band, if it has one."""
+    quantiles = quantiles or load_metadata(path)["quantiles"]
+    if quantiles is None:
+        return load_point(path), None
     band = LeafQuantiles(quantiles)
     band.model = RandomForestRegressionModel.load(f"{path}/forest")
     band.table = spark.read.parquet(f"{path}/leaves")

@@ -60,10 +60,14 @@ def clean_trend(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def incident_panel(incidents: DataFrame, areas: DataFrame, start: str = C.START_DATE, cell: float = 0.02) -> DataFrame:
-    """Incidents by ZIP and month, assigned to ZIPs by their points; ``cell`` is the grid's step, about an area's size."""
-    rows = S.typed(incidents, latitude="double", longitude="double").withColumn("ts", N.utc_time("incident_datetime")).dropna(subset=["ts", "latitude", "longitude"])
-    placed = J.assign_area(R.since(rows, "ts", start), areas, "latitude", "longitude", cell=cell).withColumn("month", N.month_of("ts"))
+def incident_panel(incidents: DataFrame, areas: DataFrame, start: str = C.START_DATE, cell: float = 0.02, counters: A.Counters | None = None) -> DataFrame:
+    """Incidents by ZIP and month, assigned to ZIPs by their points; ``cell`` is the grid's step, about an area's size.
+    ``counters`` gets how many were read, had a time and a place, and were in some ZIP."""
+    typed = S.typed(incidents, latitude="double", longitude="double").withColumn("ts", N.utc_time("incident_datetime"))
+    typed = A.watched(typed, counters, "read", dated=F.col("ts").isNotNull(), with_place=F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    rows = typed.dropna(subset=["ts", "latitude", "longitude"])
+    placed = J.assign_area_small(R.since(rows, "ts", start), areas, "latitude", "longitude", cell=cell).withColumn("month", N.month_of("ts"))
+    placed = A.watched(placed, counters, "placed", with_zip=F.col("zip_code").isNotNull())
     return A.category_counts(placed, ["zip_code", "month"], "incident_category", A.VIOLENCE, "crime_total_month_zip")
 
 

@@ -17,6 +17,7 @@ from rentloom.plans import listings as L
 from rentloom.plans import panels as P
 from rentloom.plans.queries_relational import _PARTS, areas, events, priced_parts
 from rentloom.sources import tables as S
+from rentloom.sources.staging import materialize
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -114,6 +115,15 @@ def incident_panel(spark, sf_dir):
     return P.incident_panel(incidents(spark, sf_dir), areas(spark), cell=20.0).withColumn("crime_total_month_zip_log1p", F.round("crime_total_month_zip_log1p", 6))
 
 
+@query(f"""WITH {_PANEL}, r AS (SELECT count(*) AS n, count(ts) AS dated, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS with_place, count(*) FILTER (zip_code IS NOT NULL AND month IS NOT NULL) AS with_zip FROM c)
+SELECT 'read' AS step, 'rows' AS counter, n FROM r UNION ALL SELECT 'read', 'dated', dated FROM r UNION ALL SELECT 'read', 'with_place', with_place FROM r UNION ALL SELECT 'placed', 'rows', dated FROM r UNION ALL SELECT 'placed', 'with_zip', with_zip FROM r""")
+def stage_counters(spark, sf_dir):
+    """AG17: what passes each step of the incident job, from the one run that writes its panel."""
+    counters = A.Counters()
+    materialize(P.incident_panel(incidents(spark, sf_dir), areas(spark), cell=20.0, counters=counters), "panel")
+    return counters.rows(spark)
+
+
 @query(f"""WITH {_PANEL}, s AS (SELECT min(month) AS lo, max(month) AS hi FROM p),
 pop(zip_code, population) AS (VALUES ('00001', 1000), ('00002', 0), ('00004', 50)),
 g AS (SELECT zip_code, month FROM (SELECT DISTINCT zip_code FROM p UNION SELECT zip_code FROM pop) CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS TIMESTAMP) AS month FROM s)),

@@ -13,7 +13,7 @@ from rentloom.operators import ranking as K
 from rentloom.operators import reshape as R
 from rentloom.sources.paged import PagedFeed
 from rentloom.sources.published import Published, read_published
-from rentloom.sources.staging import new_folder
+from rentloom.sources.staging import kept_small, materialize, new_folder
 from rentloom.streaming import feeds as S
 from rentloom.streaming.seen import first_ever, state_on_disk
 
@@ -326,7 +326,9 @@ def claim_once(spark, sf_dir):
 def model_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     num = {"balance": F.col("c_acctbal"), "month": F.month("o_orderdate").cast("double"), "year": F.when(F.col("o_orderkey") % 9 != 0, F.year("o_orderdate").cast("double"))}
-    return A.fill_medians(M.model_input(o.withColumns(num), "o_orderpriority", list(num), "o_totalprice"), list(num)), list(num)
+    raw = M.model_input(o.withColumns(num), "o_orderpriority", list(num), "o_totalprice").select("o_orderkey", "o_orderpriority", "o_totalprice", "label", *num)
+    # Models read their input many times.
+    return materialize(A.fill_medians(materialize(raw, "model-raw"), list(num)), "model-rows"), list(num)
 
 
 @query()
@@ -345,6 +347,46 @@ def feature_contributions(spark, sf_dir):
     return M.contributions(rows, model, num, "o_orderkey", 2)
 
 
+@query(f"""WITH o AS (SELECT {_FOLD} AS fold FROM orders JOIN customer ON o_custkey = c_custkey) SELECT fold, count(*) AS n, true AS covered FROM o WHERE fold = 0 GROUP BY 1""")
+def band_coverage(spark, sf_dir):
+    """ML05, AG15: of rows that were not learnt from, between 45 and 55 % lie inside the band of the middle half."""
+    rows, num = model_rows(spark, sf_dir)
+    data = rows.withColumn("fold", M.fold_of(F.col("o_orderkey")))
+    train, test = data.where("fold != 0"), data.where("fold = 0")
+    model = M.point_pipeline("o_orderpriority", num, rounds=2).fit(train)
+    band = M.LeafQuantiles([0.25, 0.75], trees=5, depth=4).fit(model.transform(train).select("features", "label"))
+    out = M.predict(test, model, band, "o_orderkey")
+    inside = F.avg(F.col("o_totalprice").between(F.col("fair_rent_p25"), F.col("fair_rent_p75")).cast("double"))
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), inside.between(0.45, 0.55).alias("covered"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_FOLD} AS fold FROM orders JOIN customer ON o_custkey = c_custkey) SELECT fold, count(*) AS n, count(*) AS keys, true AS metrics FROM o GROUP BY 1""")
+def out_of_fold(spark, sf_dir):
+    """ML06, AG13: each row is predicted once, by a model that hasn't seen its fold."""
+    rows, num = model_rows(spark, sf_dir)
+    data = rows.withColumn("fold", M.fold_of(F.col("o_orderkey"), 5))
+    scored = M.out_of_fold(data, lambda t: M.point_pipeline("o_orderpriority", num, rounds=2).fit(t), "fold", 5).withColumn("p", N.from_log("prediction"))
+    keys = scored.groupBy("fold").agg(F.count_distinct("o_orderkey").alias("keys"))
+    metrics = A.regression_metrics(scored, "o_totalprice", "p", "fold")
+    good = (F.col("mae") > 0) & (F.col("mape") > 0) & (F.col("r2") < 1)
+    return metrics.join(keys, "fold").select("fold", "n", "keys", good.alias("metrics"))
+
+
+@query("""
+SELECT p, n, true AS within, low, high FROM (SELECT count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem), (SELECT CAST(unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS DOUBLE) AS p)
+""")
+def sketch_quantiles(spark, sf_dir):
+    """AG06 for data that grows: sketches by day of shipping, merged; each quantile's true rank is within 1 % of its own."""
+    points = [0.1, 0.25, 0.5, 0.75, 0.9]
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", F.to_date("l_shipdate").alias("day"))
+    states = materialize(A.sketch_states(rows, [F.col("day")], "l_extendedprice"), "sketches")
+    merged = A.merged_quantiles(states, points)
+    each = kept_small(merged.select("n", "low", "high", F.posexplode("q").alias("k", "v")), "quantiles")
+    counted = rows.crossJoin(F.broadcast(each)).groupBy("k", "n", "low", "high").agg(F.avg((F.col("l_extendedprice") < F.col("v")).cast("double")).alias("below"), F.avg((F.col("l_extendedprice") <= F.col("v")).cast("double")).alias("upto"))
+    p = F.element_at(F.array(*[F.lit(x) for x in points]), F.col("k") + 1)
+    return counted.select(p.alias("p"), "n", ((F.col("below") - 0.01 <= p) & (F.col("upto") + 0.01 >= p)).alias("within"), "low", "high")
+
+
 def _stream_folder(spark):
     return new_folder(spark, "stream")
 

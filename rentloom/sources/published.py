@@ -23,7 +23,7 @@ MANIFEST = "_manifest.json"
 
 
 def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
 
 
 def manifest(path: str) -> dict:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,21 +86,56 @@ def read_pages(spark: SparkSession, path, schema: T.StructType, start: str, date
     return rows if max_rows is None else rows.orderBy(id_col).limit(max_rows)
 
 
+HEADER_BYTES = 1 << 20
+
+
+def read_headers(spark: SparkSession, paths: list[str], most: int = HEADER_BYTES) -> DataFrame:
+    """(path, header, problem): the first line of each file, of ``most`` bytes at most, or why it can't be read. Tasks read
+    the beginnings of files; nothing else of them is looked at."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    store, place = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+                    with store.open_input_stream(place) as f:
+                        line = f.read(most).split(b"\n")[0].rstrip(b"\r").removeprefix(b"\xef\xbb\xbf")
+                    out.append((path, line.decode(), None))
+                except (OSError, pa.ArrowException, UnicodeDecodeError) as e:
+                    out.append((path, None, str(e).splitlines()[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["path", "header", "problem"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 8, 1000)))
+    return files.mapInArrow(heads, "path string, header string, problem string")
+
+
 def discover(spark: SparkSession, paths: list[str], required: list[str], skip: str = "_clean", skipped: list | None = None) -> DataFrame | None:
-    """Union of the CSV files whose header has the required columns; files whose name ends with ``skip`` are left out, and
-    those whose header can't be read are noted in ``skipped`` as (path, reason)."""
-    out, skipped = None, [] if skipped is None else skipped
-    for path in sorted(paths):
-        if path.rsplit("/", 1)[-1].removesuffix(".csv").endswith(skip):
-            continue
-        try:
-            df = read_csv(spark, path)
-        except (PySparkException, Py4JJavaError) as e:
-            skipped.append((path, str(e).splitlines()[0]))
+    """Union of the CSV files whose header has the required columns, with source_file; files whose name ends with ``skip``
+    are left out, and those whose header can't be read are noted in ``skipped`` as (path, reason).
+
+    Headers are read by tasks, and files with the same header are read together, so there are as many scans as headers.
+    """
+    wanted = sorted(p for p in paths if not p.rsplit("/", 1)[-1].removesuffix(".csv").endswith(skip))
+    skipped = [] if skipped is None else skipped
+    same: dict[str, list[str]] = {}
+    for path, header, problem in sorted(tuple(r) for r in read_headers(spark, wanted).collect()) if wanted else []:
+        if problem is not None:
+            skipped.append((path, problem))
+        elif set(required) <= {c.strip().strip('"') for c in header.split(",")}:
+            same.setdefault(header, []).append(path)
+    out = None
+    for files in same.values():
+        df = read_csv(spark, files)
+        if not set(required) <= set(df.columns):
             continue
-        if set(required) <= set(df.columns):
-            df = df.withColumn("source_file", F.lit(path))
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        # As it was given: the reader says it as a URI, with signs written as %xx.
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        named = F.regexp_replace(plain, "^file:/+", "/") if not files[0].startswith("file:") else F.regexp_replace(plain, "^file:/+", "file:///")
+        df = df.select("*", named.alias("source_file"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 

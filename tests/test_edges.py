@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rentloom.functions import text as X
@@ -97,6 +99,8 @@ def test_claims_against_plain_matching(spark):
     offers = [("a", i, rng.choice([None, "1 Bed", "1 Bed+", "Studio"]), price()) for i in range(45)]
     w, o = spark.createDataFrame(wanted, "z string, position long, label string, price double"), spark.createDataFrame(offers, "z string, offer long, label string, price double")
     assert {r.position: r.offer for r in J.claim_once(w, o, "z", "string").collect()} == plain_claims(wanted, offers)
+    nowhere = w.unionByName(spark.createDataFrame([(None, 900, "1 Bed", 100.0), ("b", 901, None, None)], w.schema))
+    assert {r.position: r.offer for r in J.claim_once(nowhere, o, "z", "string").collect()} == plain_claims(wanted, offers) | {900: None, 901: None}
 
 
 def test_sources(spark, tmp_path):
@@ -150,8 +154,12 @@ def test_training_job(spark, tmp_path):
     data = A.fill_medians(M.model_input(df, "zip", ["beds"], "rent"), ["beds"])
     point = M.point_pipeline("zip", ["beds"], rounds=2).fit(data)
     band = M.LeafQuantiles([0.25, 0.75], trees=2, depth=2).fit(point.transform(data).select("features", "label"))
-    M.save_bundle(str(tmp_path / "bundle"), point, band)
-    again = M.load_bundle(str(tmp_path / "bundle"), spark, [0.25, 0.75])
+    M.save_bundle(str(tmp_path / "bundle"), point, band, {"features": ["beds"], "rows": 120})
+    again = M.load_bundle(str(tmp_path / "bundle"), spark)
+    about = M.load_metadata(str(tmp_path / "bundle"))
+    assert about["quantiles"] == [0.25, 0.75] and about["rows"] == 120 and about["features"] == ["beds"] and "GBTRegressionModel" in about["stages"]
+    M.save_bundle(str(tmp_path / "point"), point)
+    assert M.load_bundle(str(tmp_path / "point"), spark)[1] is None
     one, two = (sorted(tuple(r) for r in M.predict(data, *m, "key").select("key", "fair_rent_p25", "fair_rent_p75").collect()) for m in ((point, band), again))
     assert one == two
     cases = spark.createDataFrame([("1", "in_band", 5.0), ("2", "in_band", 1.0), ("3", "over", 9.0)], "zip_code string, category string, gap double")
@@ -240,3 +248,99 @@ def test_lists_of_many_users(spark, kind):
     assert got == want
     near = K.skyband(scored, "k", 5).count()
     assert near < (1000 if kind == "spread" else 400 if kind == "ties" else 4001)
+
+
+def test_files_are_found_by_header(spark, tmp_path):
+    heads = ["a,b", "b,a,c", "x,y"]
+    for k in range(500):
+        name = f"f {k}+%41.csv" if k == 7 else f"f{k}.csv"
+        (tmp_path / name).write_text(f"{heads[k % 3]}\n{k},{k + 1},9\n" if k % 3 == 1 else f"{heads[k % 3]}\n{k},{k + 1}\n")
+    (tmp_path / "g_clean.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "bad.csv").write_bytes(b"\xff\xfe,a\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfa,b\r\n-1,-2\r\n")
+    paths = [str(p) for p in tmp_path.iterdir()] + [str(tmp_path / "none.csv")]
+    skipped = []
+    out = S.discover(spark, paths, ["a", "b"], skipped=skipped)
+    assert sorted(p.rsplit("/", 1)[-1] for p, _ in skipped) == ["bad.csv", "none.csv"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
+    got = {(r.source_file, r.a, r.b, r.c) for r in out.collect()}
+    want = {(str(tmp_path / ("f 7+%41.csv" if k == 7 else f"f{k}.csv")), *((str(k), str(k + 1), None) if k % 3 == 0 else (str(k + 1), str(k), "9"))) for k in range(500) if k % 3 < 2}
+    assert got == want | {(str(tmp_path / "bom.csv"), "-1", "-2", None)}
+    assert S.discover(spark, [], ["a"]) is None
+
+
+def test_a_repeated_key_fails_in_the_plan(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None)], "k int, z string")
+    right = spark.createDataFrame([("a", 3), (None, 4), (None, 5)], "z string, n int")
+    assert {r.k: r.n for r in J.left_features(left, right, ["z"], {"n": 0}).collect()} == {1: 3, 2: 0}
+    twice = J.left_features(left, right.unionByName(spark.createDataFrame([("a", 9)], "z string, n int")), ["z"], {"n": 0})
+    with pytest.raises(Exception, match="not unique"):
+        twice.collect()
+
+
+def test_counters_of_one_run(spark):
+    counters = A.Counters()
+    df = counters.watch(spark.range(10), "read", even=F.col("id") % 2 == 0)
+    df = counters.watch(df.where("id > 3"), "kept", last=F.col("id") == 9)
+    df.groupBy().count().collect()
+    assert counters.counts() == {"read": {"rows": 10, "even": 5}, "kept": {"rows": 6, "last": 1}}
+    assert {tuple(r) for r in counters.rows(spark).collect()} == {("read", "rows", 10), ("read", "even", 5), ("kept", "rows", 6), ("kept", "last", 1)}
+    with pytest.raises(ValueError):
+        counters.watch(df, "read")
+    assert A.watched(df, None, "x") is df
+
+
+def test_sketch_states_add_up(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=40_000), rng.exponential(5, 20_000), np.full(9_000, 1.0)])
+    df = spark.createDataFrame([(int(k % 9), float(v)) for k, v in enumerate(values)] + [(3, None), (None, 2.0), (4, float("nan"))], "day int, v double")
+    states = A.sketch_states(df.where("day < 5 OR day IS NULL"), [F.col("day")], "v").unionByName(A.sketch_states(df.where("day >= 5"), [F.col("day")], "v"))
+    points = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    row = A.merged_quantiles(states, points).first()
+    every = np.sort(np.append(values, 2.0))
+    assert (row.n, row.low, row.high) == (len(every), every[0], every[-1])
+    for p, q in zip(points, row.q, strict=True):
+        low, high = np.searchsorted(every, q, "left") / len(every), np.searchsorted(every, q, "right") / len(every)
+        assert low - 2 * A.sketch_error() <= p <= high + 2 * A.sketch_error()
+    assert {r.day for r in A.merged_quantiles(states, [0.5], ["day"]).collect()} == {None, *range(9)}
+
+
+def test_band_by_forest_weights(spark):
+    rng = random.Random(9)
+    rows = [(k, float(k % 4), 10.0 * (k % 4) + rng.gauss(0, 1 + k % 4)) for k in range(2000)]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "key int, x double, label double"))
+    band = M.LeafQuantiles([0.25, 0.5, 0.75], trees=4, depth=3).fit(df)
+    got = {r.key: [r.q0, r.q1, r.q2] for r in band.transform(df, "key").collect()}
+    leaves = {r.key: tuple(r.leaf) for r in band.model.transform(df).select("key", vector_to_array("__leaf").alias("leaf")).collect()}
+    y = np.array([r[2] for r in rows])
+    held = np.array([leaves[k] for k in range(2000)])
+    for k in range(0, 2000, 97):
+        weight = np.mean([(held[:, t] == held[k, t]) / (held[:, t] == held[k, t]).sum() for t in range(4)], 0)
+        order = np.argsort(y)
+        upto = np.cumsum(weight[order])
+        for p, q in zip([0.25, 0.5, 0.75], got[k], strict=True):
+            near = [y[order][np.searchsorted(upto, p + d)] for d in (-0.04, 0.04)]
+            assert near[0] <= q <= near[1]
+    inside = np.mean([got[k][0] <= y[k] <= got[k][2] for k in range(2000)])
+    assert 0.45 <= inside <= 0.55
+
+
+def test_contributions_are_changes_of_the_prediction(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.choice("ab"), float(rng.randrange(5)), rng.random(), 1.0, 1000.0 + 300 * rng.randrange(5)) for k in range(150)]
+    num = ["beds", "size", "flat"]
+    df = M.model_input(spark.createDataFrame(rows, "key int, zip string, beds double, size double, flat double, rent double"), "zip", num, "rent")
+    model = M.point_pipeline("zip", num, rounds=4).fit(df)
+    predicted = lambda d: {r.key: r.p for r in model.transform(d).select("key", M.N.from_log("prediction").alias("p")).collect()}
+    own = predicted(df)
+    moved = {c: predicted(df.withColumn(c, F.lit(float(np.median([r[2 + k] for r in rows]))))) for k, c in enumerate(num)}
+    for n in (2, 5):
+        got = {}
+        for r in M.contributions(df, model, num, "key", n).collect():
+            got.setdefault(r.key, {})[r["rank"]] = (r.feature, r.contribution)
+        for k, ranks in got.items():
+            want = sorted(((own[k] - moved[c][k], c) for c in num), key=lambda x: (-abs(x[0]), x[1]))[:n]
+            assert [ranks[i + 1] for i in range(len(want))] == [(c, pytest.approx(d)) for d, c in want]
+        assert len(got) == 150
