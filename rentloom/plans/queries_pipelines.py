@@ -396,3 +396,57 @@ def rankable_listings(spark, sf_dir):
     offers = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("zip_code"), F.col("s_suppkey").alias("offer"), F.lit("1 Bed").alias("label"), F.col("s_acctbal").alias("price"), F.col("s_name").alias("name"))
     places = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("zip_code"), (F.col("n_nationkey") + 0.5).alias("lat"), F.lit(1.0).alias("lon"))
     return L.rankable(scored, "payload", "zip_code string, bedrooms double", offers, places).select("listing_id", "bedrooms", "lat")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS z, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zip FROM customer),
+a AS (SELECT *, CASE k % 4 WHEN 0 THEN k || ' Pine St' WHEN 1 THEN 'Unit ' || k || ' at ' || k || ' Oak Ave' ELSE CASE WHEN k % 4 = 2 THEN 'Lobby' END END AS address FROM c),
+q AS (SELECT *, CASE k % 4 WHEN 0 THEN k || ' Pine St' WHEN 1 THEN k || ' Oak Ave' ELSE zip || ', San Francisco, CA' END AS query, CASE k % 4 WHEN 0 THEN 'address' WHEN 1 THEN 'address_normalized' ELSE 'zip_fallback' END AS address_source,
+      CASE WHEN k % 7 = 0 THEN 'address' WHEN z < 20 THEN 'zip_centroid' ELSE 'city_centroid' END AS geo_source FROM a),
+s AS (SELECT *, CASE WHEN k % 4 < 2 AND k % 3 = 0 THEN k % 100 + 0.0 WHEN k % 4 > 1 AND k % 7 != 0 AND z % 2 = 0 THEN z * 4.0 END AS w, CASE WHEN k % 4 < 2 AND k % 3 = 0 THEN k % 90 + 0.0 END AS t FROM q),
+f AS (SELECT *, coalesce(w, avg(w) OVER (PARTITION BY zip)) AS w1, coalesce(t, avg(t) OVER (PARTITION BY zip)) AS t1 FROM s),
+g AS (SELECT *, round_even(coalesce(w1, avg(w1) OVER ()), 0) AS walk_score, round_even(coalesce(t1, avg(t1) OVER ()), 0) AS transit_score FROM f)
+SELECT k AS listing, query, address_source, geo_source, walk_score, transit_score, CASE WHEN walk_score >= 90 THEN 'Walker''s Paradise' WHEN walk_score >= 70 THEN 'Very Walkable' WHEN walk_score >= 50 THEN 'Somewhat Walkable' ELSE 'Car-Dependent' END AS walk_description FROM g
+""")
+def enriched_scores(spark, sf_dir):
+    """PL13 as it is composed: addresses recovered, scores by address and place, imputed by ZIP, checked for gaps."""
+    k, z = F.col("c_custkey"), F.col("c_nationkey")
+    n, zipped = k.cast("string"), F.lpad(z.cast("string"), 5, "0")
+    own = F.when(k % 4 == 0, F.concat(n, F.lit(" Pine St"))).when(k % 4 == 1, F.concat(F.lit("Unit "), n, F.lit(" at "), n, F.lit(" Oak Ave"))).when(k % 4 == 2, "Lobby")
+    place = F.when(k % 7 == 0, k / 1e6)
+    c = table(spark, sf_dir, "customer")
+    listings = c.select(k.alias("listing"), zipped.alias("zip_code"), own.alias("address"), F.lit(None).cast("string").alias("url"), place.alias("lat"), place.alias("lon"))
+    centre = lambda at, other: F.when(z < 20, z + at).otherwise(other)
+    known = c.where((k % 4 < 2) & (k % 3 == 0)).select(
+        F.concat(n, F.when(k % 4 == 0, " Pine St").otherwise(" Oak Ave")).alias("address"), F.coalesce(place, centre(0.5, 37.7749)).alias("lat"), F.coalesce(place, centre(0.25, -122.4194)).alias("lon"),
+        (k % 100).cast("double").alias("walk_score"), (k % 90).cast("double").alias("transit_score"),
+    )
+    areas_ = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    shared = areas_.where(z % 2 == 0).select(F.concat(zipped, F.lit(", San Francisco, CA")).alias("address"), centre(0.5, 37.7749).alias("lat"), centre(0.25, -122.4194).alias("lon"), (z * 4.0).alias("walk_score"), F.lit(None).cast("double").alias("transit_score"))
+    none = F.lit(None).cast("string")
+    cache = known.unionByName(shared).withColumns({"bike_score": F.lit(60.0), "walk_description": none, "transit_description": none, "bike_description": none})
+    centroids = areas_.where(z < 20).select(zipped.alias("zip_code"), (z + 0.5).alias("lat"), (z + 0.25).alias("lon"))
+    out = L.enrich_scores(listings, cache, centroids)
+    return out.select("listing", F.col("address").alias("query"), "address_source", "geo_source", "walk_score", "transit_score", "walk_description")
+
+
+@query("""
+SELECT count(*) AS units, count(*) FILTER (s_nationkey IS NOT NULL) AS in_areas_with_offers, (SELECT count(*) FROM (SELECT least(w.n, o.n) AS m FROM (SELECT c_nationkey AS z, count(*) AS n FROM customer GROUP BY 1) w JOIN (SELECT s_nationkey AS z, count(*) AS n FROM supplier GROUP BY 1) o USING (z)), (SELECT unnest(range(1, 100000)) AS i) WHERE i <= m) AS claimed, true AS once, true AS named_as_offered
+FROM customer LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON s_nationkey = c_nationkey
+""")
+def rankable_claims(spark, sf_dir):
+    """PL15, JN10: each area gives out as many offers as it can, none twice, and units have the fields of what they claimed."""
+    k, z = F.col("c_custkey"), F.col("c_nationkey")
+    literal = F.concat(F.lit("{'zip_code': '"), F.lpad(z.cast("string"), 5, "0"), F.lit("', 'bedrooms': "), (k % 4).cast("string"), F.lit("}"))
+    scored = table(spark, sf_dir, "customer").select(k.alias("position"), F.col("c_acctbal").alias("actual_rent_usd"), literal.alias("payload"))
+    s = table(spark, sf_dir, "supplier")
+    offers = s.select(F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("zip_code"), F.col("s_suppkey").alias("offer"), F.when(F.col("s_suppkey") % 3 == 0, "1 Bed").otherwise("2 Bed").alias("label"), F.col("s_acctbal").alias("price"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("offered"))
+    places = table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("zip_code"), F.lit(0.5).alias("lat"), F.lit(1.0).alias("lon"))
+    found = materialize(L.rankable(scored, "payload", "zip_code string, bedrooms double", offers, places), "rankable")
+    again = found.join(s, F.col("offer") == F.col("s_suppkey"), "left").withColumn("same", (F.col("name") == F.col("s_name")) & (F.col("offered") == F.col("s_acctbal")) & (F.lpad(F.col("s_nationkey").cast("string"), 5, "0") == F.col("zip_code")))
+    areas_ = s.select(F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("zip_code")).distinct().withColumn("has", F.lit(True))
+    out = again.join(areas_, "zip_code", "left")
+    return out.agg(
+        F.count(F.lit(1)).alias("units"), F.count("has").alias("in_areas_with_offers"), F.count("offer").alias("claimed"),
+        (F.count_distinct("offer") == F.count("offer")).alias("once"), (F.count_if("same") == F.count("offer")).alias("named_as_offered"),
+    )

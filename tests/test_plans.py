@@ -66,3 +66,37 @@ def test_month_rollup_of_shuffled_files(spark, tmp_path):
     got = {tuple(r) for r in Q.stream_month_rollup(spark, str(tmp_path)).select("event_type", "month", "n", "large").collect()}
     sql = Q.ORACLE["stream_month_rollup"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == set(duckdb.sql(sql).fetchall()) and sum(r[2] for r in got) == 620
+
+
+def test_clean_data_set_with_and_without_sources(spark, tmp_path):
+    """The whole clean-up job over files: what there is gets written, joined where both sides are there, and read again."""
+    ids = "RegionID,RegionName,SizeRank,City,State,2017-01-31,2018-01-31,2020-06-30\n"
+    (tmp_path / "rent.csv").write_text(ids + "".join(f"1,{z},1,SF,CA,2000,2500,2600\n" for z in (94110, 94103, 94104, 99999)))
+    (tmp_path / "value.csv").write_bytes((ids.replace("City", "Citt\u00e0") + "1,94110,1,SF,CA,1,900000,910000\n").encode("latin-1"))
+    (tmp_path / "trend.csv").write_bytes("Region\tStart\tMedianRent\tRentMoM\tRentYoY\nSan Francisco, CA\t2024-01-01\t$3,000\t+0.8%\t-6.9%\nOther\tsoon\t\tx\t1%\n".encode("utf-16"))
+    census = spark.createDataFrame([("94110", "100", "-666666666"), ("94104", "5", "6"), ("x", "1", "2")], "zip_code string, median_income string, median_rent string")
+    raw = spark.createDataFrame([("1 A St, San Francisco, CA 94110", "x", "Studio $2,800 / 1 Bed $3,400", "https://x/1", "2024-05-03"), ("2 B St, CA 94103", "1 Bed $900", None, None, None)], "address string, beds_baths string, pricing string, url string, scraped_at string")
+    area = spark.createDataFrame([("94110", [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]], 0)], "zip_code string, contour array<array<double>>, position long")
+    crimes = spark.createDataFrame([("2024-05-01T00:00:00.000", c, "0.5", "0.5") for c in ("Assault", "Burglary", "Other")], "incident_datetime string, incident_category string, latitude string, longitude string")
+    tables = {
+        "rent_index": P.clean_rent_index(spark, str(tmp_path / "rent.csv")), "value_index": P.clean_value_index(spark, str(tmp_path / "value.csv")), "trend": P.clean_trend(spark, str(tmp_path / "trend.csv")),
+        "census": P.clean_census(census, ["median_income", "median_rent"]), "listings": L.clean_listings(raw), "incidents": P.incident_panel(crimes, area),
+    }
+    out = str(tmp_path / "out")
+    panel = L.build_clean_dataset(spark, tables, out)
+    read = lambda name: spark.read.parquet(f"{out}/{name}").collect()
+    assert {(r.zip_code, str(r.date)[:10], r.zori_rent, r.zhvi_value) for r in read("panel")} == {("94110", "2018-01-31", 2500.0, 900000.0), ("94110", "2020-06-30", 2600.0, 910000.0)} and panel.count() == 2
+    assert sorted((r.zip_code, r.rent_usd, r.crime_total_month_zip, r.crime_violent_month_zip) for r in read("listings")) == [("94103", 900.0, 0, 0), ("94110", 2800.0, 3, 1), ("94110", 3400.0, 3, 1)]
+    assert {(r.region, r.median_rent, r.redfin_mom_pct, r.redfin_yoy_pct) for r in read("trend")} == {("San Francisco, CA", 3000.0, 0.8, -6.9), ("Other", None, None, 1.0)}
+    assert [(r.zip_code, r.median_income, r.median_rent) for r in read("census")] == [("94110", 100.0, None)]
+    assert {r.zip_code for r in read("rent_index")} == {"94110", "94103"}
+    some = str(tmp_path / "some")
+    assert L.build_clean_dataset(spark, tables | {"value_index": None, "incidents": None, "trend": None}, some) is None
+    assert sorted(os.listdir(some)) == ["census", "listings", "rent_index"]
+    assert "crime_total_month_zip" not in spark.read.parquet(f"{some}/listings").columns
+
+
+def test_scores_without_a_cache(spark):
+    listings = spark.createDataFrame([("1 A St", None, "94110")], "address string, url string, zip_code string")
+    row = L.enrich_scores(listings, None, None).first()
+    assert row.walk_score is None and row.bike_description is None and row.address == "1 A St"
