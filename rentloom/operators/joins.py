@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rentloom.operators.claims import claim_in_rounds
+from rentloom.sources.staging import kept_small
+
+# Rows of an area that one task matches, at most.
+AREA_ROWS = 1_000_000
+
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Fails where a key stands twice: a left join with such a side would add rows."""
@@ -179,13 +185,14 @@ class _Offers:
         return own[k] if k < len(own) else None
 
 
-def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str) -> DataFrame:
+def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str, most: int = AREA_ROWS) -> DataFrame:
     """Each wanted row, in order of its position, takes one offer of its area that nobody has taken: of the same unit
     label first, the nearest price, then the first without a price; of any label if there is none of its own.
 
     wanted: area, position, label, price; offers: area, offer, label, price. Areas never share offers, so they are dealt
-    out and matched apart. Who comes first decides within an area, so an area is matched in one task, in about n log n
-    steps. Rows without an area get no offer. schema names the type of area.
+    out and matched apart. An area of ``most`` rows at most is matched in one task, in turn, in about n log n steps; the
+    rows of a larger one are matched in rounds by many, see ``claims``, with the same result. Rows without an area get no
+    offer. schema names the type of area.
     """
 
     def match(w: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
@@ -217,8 +224,12 @@ def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str) ->
             out.append((getattr(row, area), row.position, free["offer"][pick] if pick is not None else None))
         return pd.DataFrame(out, columns=[area, "position", "offer"]).astype({"offer": "Int64"})
 
-    left = wanted.where(F.col(area).isNotNull()).groupBy(area)
-    matched = left.cogroup(offers.where(F.col(area).isNotNull()).groupBy(area)).applyInPandas(match, f"{area} {schema}, position long, offer long")
+    sizes = wanted.groupBy(area).agg(F.count(F.lit(1)).alias("__n")).unionByName(offers.groupBy(area).agg(F.count(F.lit(1)).alias("__n")))
+    large = kept_small(sizes.where(F.col(area).isNotNull()).groupBy(area).agg(F.sum("__n").alias("__n")).where(F.col("__n") > most).select(area), "large-areas")
+    small = lambda df: df.where(F.col(area).isNotNull()).join(large, area, "left_anti")
+    matched = small(wanted).groupBy(area).cogroup(small(offers).groupBy(area)).applyInPandas(match, f"{area} {schema}, position long, offer long")
+    if not large.isEmpty():
+        matched = matched.unionByName(claim_in_rounds(wanted.join(large, area, "left_semi"), offers.join(large, area, "left_semi"), area))
     nowhere = wanted.where(F.col(area).isNull()).select(F.col(area).cast(schema).alias(area), F.col("position").cast("long").alias("position"), F.lit(None).cast("long").alias("offer"))
     return matched.unionByName(nowhere)
 

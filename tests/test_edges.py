@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rentloom.functions import text as X
 from rentloom.operators import aggregates as A
+from rentloom.operators import claims as C
 from rentloom.operators import joins as J
 from rentloom.operators import modelling as M
 from rentloom.operators import ordering as O
@@ -344,3 +345,31 @@ def test_contributions_are_changes_of_the_prediction(spark):
             want = sorted(((own[k] - moved[c][k], c) for c in num), key=lambda x: (-abs(x[0]), x[1]))[:n]
             assert [ranks[i + 1] for i in range(len(want))] == [(c, pytest.approx(d)) for d, c in want]
         assert len(got) == 150
+
+
+@pytest.mark.parametrize("seed, block", [(1, 6), (4, 20)])
+def test_claims_in_rounds(spark, seed, block):
+    """A large area in blocks of a few offers gets what choosing in turn gives."""
+    rng = random.Random(seed)
+    price = lambda: rng.choice([None, float("nan"), 100.0 * rng.randrange(8), rng.randrange(900) + 0.5])
+    n = 30 if seed != 4 else 20
+    wanted = [(rng.choice("ab"), i, rng.choice([None, "", "1 Bed", "Studio", "9 Bed"]), price()) for i in range(n)]
+    offers = [(rng.choice("abc"), i, rng.choice([None, "1 Bed", "1 Bed+", "Studio"]), price()) for i in range(24 if seed != 4 else 40)]
+    w, o = spark.createDataFrame(wanted, "z string, position long, label string, price double"), spark.createDataFrame(offers, "z string, offer long, label string, price double")
+    clean = lambda rows, z: [(a, b, c, None if d is None or d != d else d) for a, b, c, d in rows if a == z]
+    want = {}
+    for z in "ab":
+        want |= plain_claims(clean(wanted, z), clean(offers, z))
+    assert {r.position: r.offer for r in C.claim_in_rounds(w, o, "z", block).collect()} == want
+
+
+def test_one_area_with_most_rows(spark):
+    rng = random.Random(11)
+    wanted = [("hot" if i % 3 else rng.choice("ab"), i, rng.choice(["1 Bed", "2 Bed"]), 50.0 * rng.randrange(30)) for i in range(45)] + [(None, 900, None, 1.0)]
+    offers = [("hot" if i % 3 else rng.choice("ab"), i, rng.choice(["1 Bed", "2 Bed", None]), 50.0 * rng.randrange(30)) for i in range(60)]
+    w, o = spark.createDataFrame(wanted, "z string, position long, label string, price double"), spark.createDataFrame(offers, "z string, offer long, label string, price double")
+    want = {900: None}
+    for z in ("hot", "a", "b"):
+        want |= plain_claims([x for x in wanted if x[0] == z], [x for x in offers if x[0] == z])
+    for most in (50, 1000):
+        assert {r.position: r.offer for r in J.claim_once(w, o, "z", "string", most).collect()} == want
