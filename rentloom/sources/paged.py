@@ -67,13 +67,13 @@ class _Feed:
 
 class _PagedReader(_Feed, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        total = self.known()
-        return [InputPartition(None)] if total is None else self.parts(0, total)
+        self.total = self.known()
+        return [InputPartition(None)] if self.total is None else [InputPartition(p.value[0]) for p in self.parts(0, self.total)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         fetch = self._function("fetcher")
         if partition.value is not None:
-            yield from fetch(*partition.value)
+            yield from fetch(partition.value, min(self.page, self.total - partition.value))
             return
         offset, most = 0, int(self.options.get("max_rows", -1))
         while most < 0 or offset < most:
