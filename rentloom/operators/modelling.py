@@ -283,7 +283,7 @@ def representative_cases(scored: DataFrame, categories: dict[str, list], zip_col
         one = pool.orderBy(*order).limit(1).select(*scored.columns)
         chosen = one if chosen is None else chosen.unionByName(one)
     have = chosen.count()
-    rest = scored.join(F.broadcast(chosen.select(zip_col)), zip_col, "left_anti").orderBy(next(iter(categories.values()))[0]).limit(max(0, total - have)).select(*scored.columns)
+    rest = scored.join(F.broadcast(chosen.select(zip_col)), zip_col, "left_anti").orderBy(*next(iter(categories.values()))).limit(max(0, total - have)).select(*scored.columns)
     return chosen.unionByName(rest).limit(total)
 
 

@@ -74,10 +74,10 @@ def zip_population(polygons: DataFrame) -> DataFrame:
 
 
 def read_json_matrix(spark: SparkSession, path, columns: list[str]) -> DataFrame:
-    """A document [[names], [row], ...] as a table of the given columns, all text."""
+    """A document [[names], [row], ...] as a table of the given columns, all text; one that it hasn't got is null."""
     doc = spark.read.option("wholetext", True).text(path)
     rows = doc.select(F.from_json("value", "array<array<string>>").alias("m")).select(F.col("m")[0].alias("names"), F.posexplode("m").alias("k", "row")).where("k > 0")
-    return rows.select(*[F.try_element_at("row", F.array_position("names", F.lit(c)).cast("int")).alias(c) for c in columns])
+    return rows.select(*[F.try_element_at("row", F.nullif(F.array_position("names", F.lit(c)), F.lit(0)).cast("int")).alias(c) for c in columns])
 
 
 def read_pages(spark: SparkSession, path, schema: T.StructType, start: str, date_col: str, id_col: str, max_rows: int | None = None) -> DataFrame:
@@ -178,10 +178,10 @@ def read_features(spark: SparkSession, path, target: str = "rent_usd") -> DataFr
 
 
 def write_tables(tables: dict[str, DataFrame | None], folder: str, form: str = "parquet") -> None:
-    """Each table that there is, to its own folder."""
+    """Each table that there is, to its own folder. Quotes within CSV cells are doubled, as ``read_csv`` has them."""
     for name, df in tables.items():
         if df is not None:
-            df.write.mode("overwrite").option("header", True).format(form).save(f"{folder}/{name}")
+            df.write.mode("overwrite").option("header", True).option("escape", '"').format(form).save(f"{folder}/{name}")
 
 
 def write_sorted(df: DataFrame, keys: list[str], folder: str, columns: list[str] | None = None) -> None:
@@ -190,7 +190,7 @@ def write_sorted(df: DataFrame, keys: list[str], folder: str, columns: list[str]
     out.write.mode("overwrite").parquet(f"{folder}/parquet")
     # The CSV comes from the Parquet, so the plan runs once.
     out = df.sparkSession.read.schema(out.schema).parquet(f"{folder}/parquet").orderBy(*[F.asc_nulls_last(k) for k in keys])
-    out.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/csv")
 
 
 def append_run(metrics: DataFrame, run: str, path: str) -> None:
