@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from rentloom.llm.common import materialize, quoted
 
 PREFIX_CHARS = 64
-# Keys that are broadcast, at most: some 100 bytes each, so 20 MB. More are joined by a shuffle.
+PAGE_BITS = 32_768
+# A bitmap of 4,096 pages is 16 MB and has 134 million bits.
+PAGES = 4096
+# Groups that are broadcast, at most: some 100 bytes each, so 20 MB. More are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,32 +41,36 @@ def _full() -> Column:
     return F.sha2(normalized("raw"), 256)
 
 
-def _recurring(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, bool]:
-    """Keys that several rows have, as a table, and whether they are few enough for a broadcast."""
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*keys)
-    table = materialize(found, "exact-" + "-".join(keys))
-    few = table.count() <= most
-    return (F.broadcast(table) if few else table), few
+def _place(keys: list[str], pages: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(pages * PAGE_BITS))
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
+def sieve(rows: DataFrame, keys: list[str], pages: int = PAGES) -> DataFrame:
+    """(page, bits): a bitmap with a bit for every key that several rows have. It has ``pages`` rows of 4 KB at most,
+    however many keys there are."""
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(_place(keys, pages).alias("place"))
+    bits = again.groupBy(F.expr(f"place div {PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg(F.col("place") % PAGE_BITS).alias("bits"))
+    return materialize(bits, "exact-" + "-".join(keys))
+
+
+def sieved(rows: DataFrame, keys: list[str], bitmap: DataFrame, pages: int = PAGES) -> DataFrame:
+    """The rows whose bit is set: all whose key recurs, and few others as long as the bitmap isn't full."""
+    place = _place(keys, pages)
+    page, bit = F.floor(place / PAGE_BITS), place % PAGE_BITS
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bitmap), page == F.col("page")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("page", "bits")
+
+
+def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages: int = PAGES) -> DataFrame:
     """Groups of two or more equal texts: n, p, full (the three keys), keep_id (largest id), group_size.
 
-    Surviving keys of a level are broadcast to the scan while they are few, so the content of a text whose length or
-    prefix is its own is not looked at. If they are many, the next level's hash is taken in the scan and joined instead;
-    in neither case does a text leave the task that read it.
+    What recurs at a level goes to the next one's scan as a bitmap of bounded size, so the content of a text whose length or
+    prefix is its own is not looked at, and no text leaves the task that read it. A row that passes by chance is one that
+    is hashed for nothing. ``pages`` are 32,768 bits each; with as many recurring keys as bits two thirds of all rows pass.
     """
     rows = _rows(docs, id_col, text_col)
-    lengths, few = _recurring(rows.select("n"), ["n"], most)
-    if few:
-        rows = rows.join(lengths, "n", "left_semi").withColumn("p", _prefix())
-    else:
-        rows = rows.withColumn("p", _prefix())
-    prefixes, few = _recurring(rows.select("n", "p"), ["n", "p"], most)
-    if few:
-        left = rows.join(prefixes, ["n", "p"], "left_semi").select("id", "n", "p", _full().alias("full"))
-    else:
-        left = rows.select("id", "n", "p", _full().alias("full")).join(prefixes, ["n", "p"], "left_semi")
+    rows = sieved(rows, ["n"], sieve(rows.select("n"), ["n"], pages), pages).withColumn("p", _prefix())
+    left = sieved(rows, ["n", "p"], sieve(rows.select("n", "p"), ["n", "p"], pages), pages).select("id", "n", "p", _full().alias("full"))
     return left.groupBy("n", "p", "full").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
@@ -72,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups meet their rows by the full hash, which is one of the columns asked for.
     """
-    groups = materialize(equal_groups(docs, id_col, text_col, most).select("full", "keep_id", "group_size"), "exact-groups")
+    groups = materialize(equal_groups(docs, id_col, text_col).select("full", "keep_id", "group_size"), "exact-groups")
     if groups.count() <= most:
         groups = F.broadcast(groups)
     rows = _rows(docs, id_col, text_col).select("id", _full().alias("full"))

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from rentloom.llm.exact_dedup import exact_dedup
+from rentloom.llm.exact_dedup import PAGE_BITS, equal_groups, exact_dedup, sieve, sieved
 
 
 def lowered(text):
@@ -27,3 +27,30 @@ def test_long_and_null_texts(spark, documents):
     rows = [(1, "Word " * 200_000), (2, "wORD " * 200_000), (3, "word " * 199_999 + "w0rd ")]
     assert {r.doc_id: r.keep_id for r in exact_dedup(documents(rows)).collect()} == {1: 2, 2: 2, 3: 3}
     assert {r.keep_id for r in exact_dedup(documents([(1, None), (5, None), (2, None)])).collect()} == {5}
+
+
+def test_bitmap_passes_all_that_recur(spark):
+    rows = spark.range(60_000).selectExpr("id", "if(id < 40000, id % 20000, id) as n")
+    for pages in (1, 64):
+        passed = {r.n for r in sieved(rows, ["n"], sieve(rows, ["n"], pages), pages).collect()}
+        assert passed >= set(range(20_000))
+        by_chance = len(passed) - 20_000
+        # As many of the others as there are bits set, about.
+        assert abs(by_chance / 20_000 - (1 - 2.718281828 ** (-20_000 / (pages * PAGE_BITS)))) < 0.02
+    full = spark.range(400_000).selectExpr("id % 200000 as n")
+    assert sieved(rows, ["n"], sieve(full, ["n"], 1), 1).count() > 59_000
+
+
+def test_groups_alike_with_a_full_bitmap(spark, documents):
+    rows = [(k, f"text {k % 700}" if k < 1400 else f"own {k}") for k in range(2000)]
+    want = {(f"text {k}", 700 + k, 2) for k in range(700)}
+    for pages in (1, 64):
+        got = equal_groups(documents(rows), pages=pages).collect()
+        assert {(r.keep_id, r.group_size, r.full) for r in got} == {(k, n, hashlib.sha256(t.encode()).hexdigest()) for t, k, n in want}
+
+
+def test_one_text_that_a_third_of_all_rows_hold(spark, documents):
+    rows = [(k, "The Same" if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    for most in (1000, 0):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(documents(rows).repartition(7), most=most).collect()}
+        assert got == {k: (2997, 1000) if k % 3 == 0 else (k, 1) for k in range(3000)}
