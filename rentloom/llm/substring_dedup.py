@@ -9,9 +9,10 @@
    Suffixes that agree in as many bytes as a window has after its first word break are neighbours in that order;
    together with the bytes before the break they say which windows are equal, and the earliest place of each stays.
    An anchor of more than HOT different segments is dealt over all groups by segment; each group's earliest windows then
-   meet by the hash of their bytes, which keeps the earliest of all.
+   meet by two hashes of their bytes, which keeps the earliest of all.
 4. Removed stretches are joined to their documents.
 
+Segments, and windows of different groups, are equal by 128 bits of hash; windows of one group are compared byte by byte.
 Places are ordered by id, then by start. Rows that repeat both id and text are one document; a null id comes first; a
 null text is empty.
 """
@@ -39,6 +40,8 @@ HOT = 512
 U = np.uint64
 _LOW = U((1 << 24) - 1)
 SECTION = 1 << 23
+# Bytes as other numbers, so that sums over them are a second hash, which has nothing to do with the first.
+OTHER = mix(np.arange(256, dtype=U) + U(0x1234567))
 
 
 def _smallest(grams: np.ndarray, count: int) -> np.ndarray:
@@ -111,7 +114,8 @@ def _known(again: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
-    """One row per different segment of a chunk: anchor and segment hash, its bytes, how many windows, and its places.
+    """One row per different segment of a chunk: anchor hash, segment hash (128 bits), its bytes, how many windows, and its
+    places.
 
     Places of one text that touch or overlap, as in a text that repeats itself, are one: the first start, the second (-1
     if there is none) and the last.
@@ -129,12 +133,13 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
         anchor, lo, hi, row = anchor[keep], lo[keep], hi[keep], row[keep]
     if len(anchor):
         a = (mix(stretch_hash(sums, anchor, anchor + GRAM)) >> U(1)).astype(np.int64)
-        g = (mix(stretch_hash(sums, lo, hi + LENGTH) + (anchor - lo).astype(U)) >> U(1)).astype(np.int64)
+        g, h = (mix(stretch_hash(x, lo, hi + LENGTH) + (anchor - lo).astype(U)) for x in (sums, prefix_hash(OTHER[data])))
         own = np.array([hash_of(texts[r].as_py()) for r in range(len(texts))], np.int64)
         names = np.array([i if i is not None else -(1 << 63) for i in ids.to_pylist()], np.int64)
-        order = np.lexsort((lo, names[row], g, a))
-        a, g, lo, hi, row = a[order], g[order], lo[order], hi[order], row[order]
-        fresh = (np.diff(a, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0)
+        order = np.lexsort((lo, names[row], h, g, a))
+        a, g, h, lo, hi, row = a[order], g[order], h[order], lo[order], hi[order], row[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1]) | (h[1:] != h[:-1])
         touch = np.diff(lo, prepend=-1) <= hi - lo + LENGTH
         # Runs of places, and the runs at which another segment begins.
         run = np.flatnonzero(fresh | (np.diff(row, prepend=-1) != 0) | ~touch)
@@ -148,7 +153,7 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
         per = lambda values: [values[x:y] for x, y in zip(cut.tolist(), ends.tolist(), strict=True)]
         out = {
             "a": a[one],
-            "g": g[one],
+            "g": _pairs(g[one], h[one]),
             "windows": hi[one] - lo[one] + 1,
             "seg": [raw[x:y] for x, y in zip(lo[one].tolist(), (hi[one] + LENGTH).tolist(), strict=True)],
             "ids": per(names[row[run]]),
@@ -158,7 +163,13 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
             "lasts": per(start[stop - 1]),
         }
     longs = pa.list_(pa.int64())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs, longs, longs, longs), strict=True)})
+    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), longs, longs, longs, longs, longs), strict=True)})
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Two 64-bit hashes as 16 bytes."""
+    both = np.stack([x, y], 1).astype("<u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(both)]).cast(pa.binary())
 
 
 def hash_of(text: str | None) -> int:
@@ -234,17 +245,48 @@ def equal_windows(segs: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, n
     return owner, offset, cls
 
 
+def _alike(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the windows at x and y have the same bytes."""
+    reach, step = np.arange(LENGTH), 20_000
+    parts = [(data[x[k : k + step][:, None] + reach] == data[y[k : k + step][:, None] + reach]).all(1) for k in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def told_apart(data: np.ndarray, at: np.ndarray, cls: np.ndarray, place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, again): windows by class and place, and which have the same bytes as the one before. Classes are hashes, so
+    neighbours are compared; where two of one class differ, its windows are put in order by their bytes."""
+
+    def neighbours(order, *kinds):
+        again = np.zeros(len(order), bool)
+        again[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in kinds])
+        return again
+
+    order = np.lexsort((*place, cls))
+    again = neighbours(order, cls)
+    hit = np.flatnonzero(again)
+    same = _alike(data, at[order[hit]], at[order[hit - 1]])
+    if not same.all():
+        mixed = np.flatnonzero(np.isin(cls, cls[order[hit[~same]]]))
+        raw, names, own = data.tobytes(), {}, np.zeros(len(cls), np.int64)
+        own[mixed] = [names.setdefault(raw[x : x + LENGTH], len(names)) for x in at[mixed].tolist()]
+        order = np.lexsort((*place, own, cls))
+        again = neighbours(order, cls, own)
+    return order, again
+
+
 def _later(table: pa.Table) -> pa.Table:
-    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere, and with ``c``, the
-    hash of its bytes, each other window of the hot anchors, whose segments are in other groups too."""
+    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere, and with ``c``, two
+    hashes of its bytes, each other window of the hot anchors, whose segments are in other groups too."""
     segs = [s.as_py() for s in table.column("seg")]
-    windows, a, g, doc, start = (table.column(c).to_numpy() for c in ("windows", "a", "g", "id", "start"))
+    windows, a, doc, start = (table.column(c).to_numpy() for c in ("windows", "a", "id", "start"))
     owner, offset, cls = equal_windows(segs, windows)
     # Only windows of one anchor can be equal.
     cls = mix(cls ^ mix(a.astype(U)[owner]))
-    order = np.lexsort((start[owner] + offset, doc[owner], cls))
+    data = np.frombuffer(b"".join(segs), np.uint8)
+    base = np.concatenate([[0], np.cumsum([len(s) for s in segs])]).astype(np.int64)
+    order, same = told_apart(data, base[owner] + offset, cls, (start[owner] + offset, doc[owner]))
     again = np.zeros(len(order), bool)
-    again[order[1:]] = cls[order[1:]] == cls[order[:-1]]
+    again[order] = same
     hit = np.flatnonzero(again)
     cut = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(owner[hit], prepend=-1) != 0)) if len(hit) else hit
     ends = np.append(cut[1:], len(hit))
@@ -252,20 +294,22 @@ def _later(table: pa.Table) -> pa.Table:
     fresh = np.flatnonzero(~again)
     fresh = fresh[table.column("hot").to_numpy()[owner[fresh]]]
     f, z = owner[fresh], offset[fresh]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in segs])]).astype(np.int64)
     at = base[f] + z
-    bytes_of = stretch_hash(prefix_hash(np.frombuffer(b"".join(segs), np.uint8)), at, at + LENGTH)
-    c = mix(bytes_of ^ mix(a.astype(U)[f])).view(np.int64)
+    c = _pairs(*(mix(stretch_hash(prefix_hash(d), at, at + LENGTH) ^ mix(a.astype(U)[f])) for d in (data, OTHER[data])))
     none = pa.nulls(len(o), pa.int64())
     put = lambda one, two: pa.chunked_array([pa.array(one, pa.int64()), pa.array(two, pa.int64())])
-    return pa.table({"a": put(a[o], a[f]), "g": put(g[o], g[f]), "x": put(x, z), "y": put(y + 1, z + 1), "c": put(none, c), "id": put(none, doc[f]), "start": put(none, start[f] + z)})
+    of = table.column("g").combine_chunks()
+    return pa.table({
+        "a": put(a[o], a[f]), "g": pa.chunked_array([of.take(pa.array(o)), of.take(pa.array(f))]), "x": put(x, z), "y": put(y + 1, z + 1),
+        "c": pa.chunked_array([pa.nulls(len(o), pa.binary()), c]), "id": put(none, doc[f]), "start": put(none, start[f] + z),
+    })
 
 
 def dealt(holders: DataFrame, buckets: int, hot: int) -> DataFrame:
     """(a, g, owner, windows, hot, bucket) of the anchors that have several segments: those of one anchor share a bucket, unless
     they are more than ``hot``; then each segment has its own."""
     several = holders.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", (F.col("n") > hot).alias("hot"))
-    return holders.join(several, "a").select("a", "g", "owner", "windows", "hot", F.pmod(F.when(F.col("hot"), F.col("g")).otherwise(F.col("a")), F.lit(buckets)).alias("bucket"))
+    return holders.join(several, "a").select("a", "g", "owner", "windows", "hot", F.pmod(F.when(F.col("hot"), F.xxhash64("g")).otherwise(F.col("a")), F.lit(buckets)).alias("bucket"))
 
 
 def _hot_runs(windows: DataFrame) -> DataFrame:
@@ -281,7 +325,7 @@ def _hot_runs(windows: DataFrame) -> DataFrame:
 def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text_hash, start, stop): bytes to remove; stretches may overlap."""
     longs = "ids array<long>, texts array<long>, starts array<long>, seconds array<long>, lasts array<long>"
-    found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g long, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
+    found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g binary, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
     rows = materialize(found, "segments")
     light = rows.select("a", "g", "windows", F.struct(F.col("ids")[0].alias("id"), F.col("starts")[0].alias("start"), F.col("texts")[0].alias("text")).alias("p"))
     holders = materialize(light.groupBy("a", "g").agg(F.min("p").alias("owner"), F.min("windows").alias("windows")), "segment-owners")
@@ -289,7 +333,7 @@ def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     full = rows.select("a", "g", "seg", F.col("ids")[0].alias("i"), F.col("starts")[0].alias("s"), F.col("texts")[0].alias("t"))
     held = full.join(owners, ["a", "g"]).where((F.col("owner.id") == F.col("i")) & (F.col("owner.start") == F.col("s")) & (F.col("owner.text") == F.col("t")))
     held = held.select("a", "g", "windows", "seg", F.col("i").alias("id"), F.col("s").alias("start"), "hot", "bucket").dropDuplicates(["a", "g"])
-    runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g long, x long, y long, c long, id long, start long")
+    runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g binary, x long, y long, c binary, id long, start long")
     runs = materialize(runs, "segment-runs")
     runs = runs.where("c is null").select("a", "g", "x", "y").unionByName(_hot_runs(runs.where("c is not null")))
     places = rows.select("a", "g", "windows", F.explode(F.arrays_zip("ids", "starts", "texts", "seconds", "lasts")).alias("p"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from rentloom.llm import substring_dedup as substring_dedup_module
-from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, substring_dedup
+from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, substring_dedup, told_apart
 from rentloom.llm.suffix_groups import suffix_order
 
 
@@ -82,3 +82,19 @@ def test_very_long_text(spark, documents):
     rows = [(1, line * 3), (2, "x" * 3_000_000 + line), (3, None)]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup(documents(rows)).collect()}
     assert got[1] == (2 * len(line), 1) and got[3] == (0, 0) and got[2][0] >= 3_000_000 - 1 + len(line) - 1
+
+
+def test_windows_of_one_class_are_compared():
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(97, 123, LENGTH).astype(np.uint8) for _ in range(6)]
+    pick = rng.integers(0, 6, 200)
+    data = np.concatenate([kinds[k] for k in pick])
+    at, place = np.arange(200) * LENGTH, rng.permutation(200)
+    first = {k: min(place[pick == k]) for k in set(pick.tolist())}
+    want = {i for i in range(200) if place[i] != first[pick[i]]}
+    # Classes that tell all apart, some, and none.
+    for classes in (6, 4, 1):
+        order, again = told_apart(data, at, (pick % classes).astype(np.uint64), (place,))
+        assert set(order[again].tolist()) == want
+    order, again = told_apart(data, at[:0], np.zeros(0, np.uint64), (place[:0],))
+    assert not len(order) and not len(again)
