@@ -9,10 +9,11 @@
    Suffixes that agree in as many bytes as a window has after its first word break are neighbours in that order;
    together with the bytes before the break they say which windows are equal, and the earliest place of each stays.
    An anchor of more than HOT different segments is dealt over all groups by segment; each group's earliest windows then
-   meet by two hashes of their bytes, which keeps the earliest of all.
+   meet by their anchor and a hash of their bytes, which keeps the earliest of all.
 4. Removed stretches are joined to their documents.
 
-Segments, and windows of different groups, are equal by 128 bits of hash; windows of one group are compared byte by byte.
+Segments are equal by two hashes of 64 bits, windows of one group by their bytes, windows of different groups by the
+anchor's 63 bits and 64 bits of their own.
 Places are ordered by id, then by start. Rows that repeat both id and text are one document; a null id comes first; a
 null text is empty.
 """
@@ -114,14 +115,13 @@ def _known(again: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
-    """One row per different segment of a chunk: anchor hash, segment hash (128 bits), its bytes, how many windows, and its
-    places.
+    """One row per different segment of a chunk: anchor hash, two segment hashes, its bytes, how many windows, and its places.
 
     Places of one text that touch or overlap, as in a text that repeats itself, are one: the first start, the second (-1
     if there is none) and the last.
     """
     data, at, sums, anchor, first, last, row = _prepared(texts)
-    out = {"a": [], "g": [], "windows": [], "seg": [], "ids": [], "texts": [], "starts": [], "seconds": [], "lasts": []}
+    out = {"a": [], "g": [], "h": [], "windows": [], "seg": [], "ids": [], "texts": [], "starts": [], "seconds": [], "lasts": []}
     if len(anchor):
         lk, left, rk, right = _wide_keys(sums, at, anchor, row)
         left, right = left & _known(again, lk), right & _known(again, rk)
@@ -133,7 +133,7 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
         anchor, lo, hi, row = anchor[keep], lo[keep], hi[keep], row[keep]
     if len(anchor):
         a = (mix(stretch_hash(sums, anchor, anchor + GRAM)) >> U(1)).astype(np.int64)
-        g, h = (mix(stretch_hash(x, lo, hi + LENGTH) + (anchor - lo).astype(U)) for x in (sums, prefix_hash(OTHER[data])))
+        g, h = (mix(stretch_hash(x, lo, hi + LENGTH) + (anchor - lo).astype(U)).view(np.int64) for x in (sums, prefix_hash(OTHER[data])))
         own = np.array([hash_of(texts[r].as_py()) for r in range(len(texts))], np.int64)
         names = np.array([i if i is not None else -(1 << 63) for i in ids.to_pylist()], np.int64)
         order = np.lexsort((lo, names[row], h, g, a))
@@ -153,7 +153,8 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
         per = lambda values: [values[x:y] for x, y in zip(cut.tolist(), ends.tolist(), strict=True)]
         out = {
             "a": a[one],
-            "g": _pairs(g[one], h[one]),
+            "g": g[one],
+            "h": h[one],
             "windows": hi[one] - lo[one] + 1,
             "seg": [raw[x:y] for x, y in zip(lo[one].tolist(), (hi[one] + LENGTH).tolist(), strict=True)],
             "ids": per(names[row[run]]),
@@ -163,13 +164,7 @@ def _segments(ids: pa.Array, texts: pa.Array, again: np.ndarray) -> pa.Table:
             "lasts": per(start[stop - 1]),
         }
     longs = pa.list_(pa.int64())
-    return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), longs, longs, longs, longs, longs), strict=True)})
-
-
-def _pairs(x: np.ndarray, y: np.ndarray) -> pa.Array:
-    """Two 64-bit hashes as 16 bytes."""
-    both = np.stack([x, y], 1).astype("<u8").tobytes()
-    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(both)]).cast(pa.binary())
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, longs, longs, longs, longs), strict=True)})
 
 
 def hash_of(text: str | None) -> int:
@@ -275,10 +270,10 @@ def told_apart(data: np.ndarray, at: np.ndarray, cls: np.ndarray, place: tuple[n
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere, and with ``c``, two
-    hashes of its bytes, each other window of the hot anchors, whose segments are in other groups too."""
+    """For the different segments of some anchors: stretches of windows that stand earlier elsewhere, and with ``c``, the
+    hash of its bytes, each other window of the hot anchors, whose segments are in other groups too."""
     segs = [s.as_py() for s in table.column("seg")]
-    windows, a, doc, start = (table.column(c).to_numpy() for c in ("windows", "a", "id", "start"))
+    windows, a, g, doc, start = (table.column(c).to_numpy() for c in ("windows", "a", "g", "id", "start"))
     owner, offset, cls = equal_windows(segs, windows)
     # Only windows of one anchor can be equal.
     cls = mix(cls ^ mix(a.astype(U)[owner]))
@@ -295,45 +290,58 @@ def _later(table: pa.Table) -> pa.Table:
     fresh = fresh[table.column("hot").to_numpy()[owner[fresh]]]
     f, z = owner[fresh], offset[fresh]
     at = base[f] + z
-    c = _pairs(*(mix(stretch_hash(prefix_hash(d), at, at + LENGTH) ^ mix(a.astype(U)[f])) for d in (data, OTHER[data])))
+    c = mix(stretch_hash(prefix_hash(OTHER[data]), at, at + LENGTH)).view(np.int64)
     none = pa.nulls(len(o), pa.int64())
     put = lambda one, two: pa.chunked_array([pa.array(one, pa.int64()), pa.array(two, pa.int64())])
-    of = table.column("g").combine_chunks()
-    return pa.table({
-        "a": put(a[o], a[f]), "g": pa.chunked_array([of.take(pa.array(o)), of.take(pa.array(f))]), "x": put(x, z), "y": put(y + 1, z + 1),
-        "c": pa.chunked_array([pa.nulls(len(o), pa.binary()), c]), "id": put(none, doc[f]), "start": put(none, start[f] + z),
-    })
+    return pa.table({"a": put(a[o], a[f]), "g": put(g[o], g[f]), "x": put(x, z), "y": put(y + 1, z + 1), "c": put(none, c), "id": put(none, doc[f]), "start": put(none, start[f] + z)})
 
 
 def dealt(holders: DataFrame, buckets: int, hot: int) -> DataFrame:
     """(a, g, owner, windows, hot, bucket) of the anchors that have several segments: those of one anchor share a bucket, unless
     they are more than ``hot``; then each segment has its own."""
     several = holders.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", (F.col("n") > hot).alias("hot"))
-    return holders.join(several, "a").select("a", "g", "owner", "windows", "hot", F.pmod(F.when(F.col("hot"), F.xxhash64("g")).otherwise(F.col("a")), F.lit(buckets)).alias("bucket"))
+    return holders.join(several, "a").select("a", "g", "owner", "windows", "hot", F.pmod(F.when(F.col("hot"), F.col("g")).otherwise(F.col("a")), F.lit(buckets)).alias("bucket"))
 
 
 def _hot_runs(windows: DataFrame) -> DataFrame:
     """(a, g, x, y): stretches of the hot anchors' windows that stand earlier in another group."""
-    first = windows.groupBy("c").agg(F.min(F.struct("id", "start", "g")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, "c").where(F.struct("id", "start", "g") != F.col("first"))
+    first = windows.groupBy("a", "c").agg(F.min(F.struct("id", "start", "g")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, ["a", "c"]).where(F.struct("id", "start", "g") != F.col("first"))
     own = again.groupBy("a", "g").agg(F.sort_array(F.collect_set("x")).alias("xs"))
     starts = "filter(xs, (v, i) -> i = 0 or xs[i - 1] != v - 1)"
     ends = "filter(xs, (v, i) -> i = size(xs) - 1 or xs[i + 1] != v + 1)"
     return own.select("a", "g", F.explode(F.expr(f"zip_with({starts}, {ends}, (s, e) -> struct(s as x, e + 1 as y))")).alias("r")).select("a", "g", "r.x", "r.y")
 
 
+def owned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and one row per different segment (a, g, owner, windows, clash), held by its earliest place. Where segments
+    share an anchor and the first hash but not the second one, both hashes together take the first one's place."""
+    first = F.struct(F.col("ids")[0].alias("id"), F.col("starts")[0].alias("start"), F.col("texts")[0].alias("text"))
+
+    def holders(rows: DataFrame) -> DataFrame:
+        light = rows.select("a", "g", "h", "windows", first.alias("p")).groupBy("a", "g")
+        return materialize(light.agg(F.min("p").alias("owner"), F.min("windows").alias("windows"), (F.min("h") != F.max("h")).alias("clash")), "segment-owners")
+
+    found = holders(rows)
+    clash = found.where("clash").select("a", "g", "clash")
+    if clash.isEmpty():
+        return rows, found
+    both = F.when(F.col("clash"), F.xxhash64("g", "h")).otherwise(F.col("g"))
+    rows = materialize(rows.join(clash, ["a", "g"], "left").withColumn("g", both).drop("clash"), "segments")
+    return rows, holders(rows)
+
+
 def removed_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, text_hash, start, stop): bytes to remove; stretches may overlap."""
     longs = "ids array<long>, texts array<long>, starts array<long>, seconds array<long>, lasts array<long>"
-    found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g binary, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
+    found = with_recurring(docs, id_col, text_col, _keys_of, _segments, f"a long, g long, h long, windows long, seg binary, {longs}", CHUNK, KEY_BITS)
     rows = materialize(found, "segments")
-    light = rows.select("a", "g", "windows", F.struct(F.col("ids")[0].alias("id"), F.col("starts")[0].alias("start"), F.col("texts")[0].alias("text")).alias("p"))
-    holders = materialize(light.groupBy("a", "g").agg(F.min("p").alias("owner"), F.min("windows").alias("windows")), "segment-owners")
+    rows, holders = owned(rows)
     owners = dealt(holders, 2 * bucket_count(docs), hot)
     full = rows.select("a", "g", "seg", F.col("ids")[0].alias("i"), F.col("starts")[0].alias("s"), F.col("texts")[0].alias("t"))
     held = full.join(owners, ["a", "g"]).where((F.col("owner.id") == F.col("i")) & (F.col("owner.start") == F.col("s")) & (F.col("owner.text") == F.col("t")))
     held = held.select("a", "g", "windows", "seg", F.col("i").alias("id"), F.col("s").alias("start"), "hot", "bucket").dropDuplicates(["a", "g"])
-    runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g binary, x long, y long, c binary, id long, start long")
+    runs = held.groupBy("bucket").applyInArrow(lambda t: _later(t), "a long, g long, x long, y long, c long, id long, start long")
     runs = materialize(runs, "segment-runs")
     runs = runs.where("c is null").select("a", "g", "x", "y").unionByName(_hot_runs(runs.where("c is not null")))
     places = rows.select("a", "g", "windows", F.explode(F.arrays_zip("ids", "starts", "texts", "seconds", "lasts")).alias("p"))

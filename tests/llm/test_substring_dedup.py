@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from rentloom.llm import substring_dedup as substring_dedup_module
-from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, substring_dedup, told_apart
+from rentloom.llm.substring_dedup import HOT, LENGTH, dealt, owned, substring_dedup, told_apart
 from rentloom.llm.suffix_groups import suffix_order
 
 
@@ -98,3 +98,13 @@ def test_windows_of_one_class_are_compared():
         assert set(order[again].tolist()) == want
     order, again = told_apart(data, at[:0], np.zeros(0, np.uint64), (place[:0],))
     assert not len(order) and not len(again)
+
+
+def test_segments_of_one_hash_are_told_apart(spark):
+    schema = "a long, g long, h long, windows long, ids array<long>, starts array<long>, texts array<long>"
+    rows = [(1, 5, 7, 3, [9], [0], [1]), (1, 5, 7, 3, [4], [2], [1]), (1, 5, 8, 4, [2], [6], [1]), (2, 5, 7, 3, [1], [0], [1])]
+    same, found = owned(spark.createDataFrame([rows[0], rows[1], rows[3]], schema))
+    assert sorted((r.a, r.g, r.owner.id) for r in found.collect()) == [(1, 5, 4), (2, 5, 1)] and {r.g for r in same.collect()} == {5}
+    apart, found = owned(spark.createDataFrame(rows, schema))
+    assert sorted((r.a, r.owner.id, r.windows) for r in found.collect()) == [(1, 2, 4), (1, 4, 3), (2, 1, 3)]
+    assert len({(r.a, r.g) for r in apart.collect()}) == 3 and apart.count() == 4
