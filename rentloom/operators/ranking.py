@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 from rentloom.functions import numbers as N
 from rentloom.operators import modelling as M
 from rentloom.operators.ordering import numbered
-from rentloom.sources.staging import kept_small
+from rentloom.sources.staging import SMALL_ROWS, kept_small
 
 COMPONENTS = ["safety", "walk", "transit"]
 SKY_PARTS = 24
+BLOCK = 1024
 
 
 def normal_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -81,7 +82,9 @@ def skyband(scored: DataFrame, position: str, k: int, parts: int = SKY_PARTS) ->
     """
     points = [i / parts for i in range(1, parts)]
     edges = scored.agg(*[F.percentile_approx(c, points, 1000).alias(c) for c in COMPONENTS]).first()
-    cells = [sum(((F.col(c) >= F.lit(e)).cast("int") for e in _apart(edges[c])), F.lit(0)) for c in COMPONENTS]
+    # By an array of edges, as a comparison for each makes a method too long to be compiled.
+    below = lambda c: F.size(F.filter(F.array(*[F.lit(e) for e in _apart(edges[c])]).cast("array<double>"), lambda e: e <= F.col(c)))
+    cells = [below(c) for c in COMPONENTS]
     celled = scored.withColumn("__cell", (cells[0] * parts + cells[1]) * parts + cells[2])
     counts = celled.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
     grid = np.zeros(parts**3, np.int64)
@@ -102,12 +105,24 @@ def skyband(scored: DataFrame, position: str, k: int, parts: int = SKY_PARTS) ->
 
 def rank_for_users(df: DataFrame, users: DataFrame, user: str, crime: str, walk: str, transit: str, position: str, top_n: int) -> DataFrame:
     """The top_n listings of every user of a weights table (user, safety, walk, transit). Each listing is scored once, and
-    only those that may be in somebody's list, see ``skyband``, are crossed with the users."""
-    w = normal_weight_columns(users).select(user, *[F.col(k).alias(f"w_{k}") for k in COMPONENTS])
-    near = kept_small(skyband(score_components(df, crime, walk, transit), position, top_n), "skyband")
-    scored = near.crossJoin(w).withColumn("composite", composite({k: F.col(f"w_{k}") for k in COMPONENTS}))
-    order = W.partitionBy(user).orderBy(F.desc("composite"), position)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).drop(*[f"w_{k}" for k in COMPONENTS])
+    only those that may be in somebody's list, see ``skyband``, are crossed with the users.
+
+    These come as arrays of BLOCK at most, so a user's row meets an array, of which top_n go on: the pairs of users and
+    listings are never rows, and none of them are sorted with other users' pairs.
+    """
+    w = normal_weight_columns(users).select(F.col(user).alias("__user"), *[F.col(k).alias(f"w_{k}") for k in COMPONENTS])
+    near = kept_small(skyband(score_components(df, crime, walk, transit), position, top_n).withColumn("__n", F.monotonically_increasing_id()), "skyband")
+    n = near.count()
+    entry = F.struct(F.col(position).alias("position"), *COMPONENTS, "__n")
+    blocks = near.groupBy((F.col("__n") % max(1, -(-n // BLOCK))).alias("__block")).agg(F.collect_list(entry).alias("__near")).select("__near")
+    pairs = w.repartition("__user").crossJoin(F.broadcast(blocks) if n <= SMALL_ROWS else blocks)
+    total = lambda x: sum((x[k] * F.col(f"w_{k}") for k in COMPONENTS[1:]), x[COMPONENTS[0]] * F.col(f"w_{COMPONENTS[0]}"))
+    best = F.slice(F.sort_array(F.transform("__near", lambda x: F.struct((-total(x)).alias("less"), x["position"].alias("position"), x["__n"].alias("n")))), 1, top_n)
+    picked = pairs.select("__user", F.inline(best))
+    order = W.partitionBy("__user").orderBy("less", "position")
+    ranked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    found = ranked.join(F.broadcast(near) if n <= SMALL_ROWS else near, F.col("n") == F.col("__n"))
+    return found.select(*[c for c in near.columns if c != "__n"], F.col("__user").alias(user), (-F.col("less")).alias("composite"), "rank")
 
 
 def rank_flagged(df: DataFrame, weights: dict[str, float], actual: str, predicted: str, p75: str, crime: str, walk: str, transit: str, position: str, top_n: int | None = None) -> DataFrame:

@@ -251,6 +251,25 @@ def test_lists_of_many_users(spark, kind):
     assert near < (1000 if kind == "spread" else 400 if kind == "ties" else 4001)
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_users_meet_arrays_of_listings(spark, monkeypatch, block):
+    """Pairs of users and listings are not rows to be sorted, in whatever arrays listings come; a user may come twice."""
+    monkeypatch.setattr(K, "BLOCK", block, raising=False)
+    rng = random.Random(block)
+    rows = [(k, -rng.random(), 100 * rng.random(), 100 * rng.choice([0.2, 0.9])) for k in range(300)]
+    users = [(u % 18 if u % 18 != 4 else None, rng.random(), rng.random(), rng.random()) for u in range(20)]
+    df, w = spark.createDataFrame(rows, "k int, c double, w double, t double"), spark.createDataFrame(users, "u int, safety double, walk double, transit double")
+    out = K.rank_for_users(df, w, "u", "c", "w", "t", "k", 4)
+    assert out.columns == ["k", "c", "w", "t", "safety", "walk", "transit", "u", "composite", "rank"]
+    held = [(r.k, r.safety, r.walk, r.transit) for r in K.score_components(df, "c", "w", "t").collect()]
+    every = {}
+    for r in K.normal_weight_columns(w).collect():
+        every.setdefault(r.u, []).extend((-(x[1] * r.safety + x[2] * r.walk + x[3] * r.transit), x[0]) for x in held)
+    assert sorted((str(r.u), r["rank"], r.k, r.composite) for r in out.collect()) == sorted((str(u), i + 1, k, -c) for u, x in every.items() for i, (c, k) in enumerate(sorted(x)[:4]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [") < plan.index("Generate inline") < plan.index("Join Cross" if "Join Cross" in plan else "Join Inner")
+
+
 def test_files_are_found_by_header(spark, tmp_path):
     heads = ["a,b", "b,a,c", "x,y"]
     for k in range(500):
