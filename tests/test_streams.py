@@ -1,4 +1,5 @@
 import os
+import random
 
 import pyarrow as pa
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from rentloom.sources import paged, published
 from rentloom.sources import staging as G
 from rentloom.streaming import feeds as S
+from rentloom.streaming import seen
 from rentloom.streaming.seen import first_ever, state_on_disk
 
 
@@ -33,6 +35,26 @@ def test_keys_are_known_for_ever(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
 
 
+def test_a_trigger_is_cut_down_before_the_state(spark, tmp_path, monkeypatch):
+    """Keys recur within and between tasks, in parts of a few rows; the state gets one row of each key."""
+    monkeypatch.setattr(seen, "PART", 5, raising=False)
+    rng = random.Random(3)
+    schema = "k string, j int, at int, v long"
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None]), rng.choice([None, *range(50)]) if v % 7 else v - 300, v) for v in range(400)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = first_ever(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k", "j"], ["at", "v"])
+    with state_on_disk(spark):
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        query.awaitTermination()
+    want = {}
+    for r in in_order(rows):
+        key = (r[0], r[1])
+        want[key] = min(want.get(key, r), r, key=lambda x: [(x[2] is not None, x[2] or 0), x[3]])
+    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == in_order(want.values())
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == len(want)
+    assert [s["operatorName"] for s in query.lastProgress["stateOperators"]] == ["dedupe"]
+
+
 def test_a_failed_write_leaves_the_table(spark, tmp_path):
     spark.dataSource.register(published.Published)
     path = str(tmp_path / "t")
