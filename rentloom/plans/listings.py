@@ -12,6 +12,7 @@ from rentloom.operators import aggregates as A
 from rentloom.operators import joins as J
 from rentloom.operators import reshape as R
 from rentloom.sources import tables as S
+from rentloom.sources.staging import materialize
 
 
 def clean_listings(raw: DataFrame, start: str = C.START_DATE, rents: tuple = C.RENT_RANGE) -> DataFrame:
@@ -100,8 +101,9 @@ def build_clean_dataset(spark: SparkSession, tables: dict[str, DataFrame | None]
 
 def rankable(scored: DataFrame, payload: str, schema: str, offers: DataFrame, centroids: DataFrame) -> DataFrame:
     """Scored units with their payload's fields, an id by position, a place, and the scraped listing claimed for each."""
-    rows = scored.withColumn("p", S.literal_struct(payload, schema)).select("position", "actual_rent_usd", "p.*")
-    rows = rows.withColumns({"listing_id": X.listing_id("position"), "zip_code": X.standard_zip("zip_code"), "label": X.bed_label("bedrooms")})
+    # Read once, by many tasks however few files there are, as claims go over the rows several times.
+    rows = scored.repartition("position").withColumn("p", S.literal_struct(payload, schema)).select("position", "actual_rent_usd", "p.*")
+    rows = materialize(rows.withColumns({"listing_id": X.listing_id("position"), "zip_code": X.standard_zip("zip_code"), "label": X.bed_label("bedrooms")}), "rankable-rows")
     claims = J.claim_once(rows.select("zip_code", "position", "label", F.col("actual_rent_usd").alias("price")), offers.select("zip_code", "offer", "label", "price"), "zip_code", "string")
     found = rows.join(claims.select("position", "offer"), "position", "left").join(offers.drop("zip_code", "label", "price"), "offer", "left")
     return X.with_centroid(found, "zip_code", centroids)

@@ -140,11 +140,13 @@ def discover(spark: SparkSession, paths: list[str], required: list[str], skip: s
 
 
 def literal_struct(c, schema: str):
-    """A Python-literal dict text as a struct. Names of constants are translated outside of quotes only."""
+    """A Python-literal dict text as a struct. Names of constants are translated outside of quotes only, and texts without
+    any are taken as they are."""
     quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
     pieces = F.regexp_extract_all(F.col(c), F.lit(f"{quoted}|[^'\"]+|['\"]"), F.lit(0))
     plain = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     text = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), p).otherwise(plain(p))), "")
+    text = F.when(F.col(c).rlike("None|True|False"), text).otherwise(F.col(c))
     return F.from_json(text, schema, {"allowSingleQuotes": "true"})
 
 

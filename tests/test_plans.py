@@ -100,3 +100,18 @@ def test_scores_without_a_cache(spark):
     listings = spark.createDataFrame([("1 A St", None, "94110")], "address string, url string, zip_code string")
     row = L.enrich_scores(listings, None, None).first()
     assert row.walk_score is None and row.bike_description is None and row.address == "1 A St"
+
+
+def test_payloads_are_read_once(spark):
+    """What is claimed and joined comes from rows that are written, not read from their texts again; when an area's offers
+    are gone the rest gets none."""
+    rows = [(k, 100.0 * (k % 5), f"{{'zip_code': '0000{k % 3}', 'bedrooms': {k % 2}, 'name_of': {['None', 'True', chr(39) + 'None' + chr(39)][k % 3]}}}") for k in range(30)]
+    scored = spark.createDataFrame(rows, "position long, actual_rent_usd double, payload string").coalesce(1)
+    offers = spark.createDataFrame([(f"0000{o % 2}", o, "1 Bed" if o % 4 else None, 100.0 * o) for o in range(6)], "zip_code string, offer long, label string, price double")
+    places = spark.createDataFrame([("00001", 1.0, 2.0)], "zip_code string, lat double, lon double")
+    out = L.rankable(scored, "payload", "zip_code string, bedrooms double, name_of string", offers, places)
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.position: r for r in out.collect()}
+    assert len(got) == 30 and sorted(r.offer for r in got.values() if r.offer is not None) == list(range(6))
+    assert all(r.offer is None or (r.zip_code == f"0000{r.offer % 2}" and r.position < 18) for r in got.values())
+    assert [got[k].name_of for k in range(3)] == [None, "true", "None"] and got[4].lat == 1.0 and got[3].listing_id == "L003"
