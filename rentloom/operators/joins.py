@@ -197,12 +197,16 @@ def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str, mos
 
     def match(w: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         free = o.sort_values("offer").reset_index(drop=True)
+        ids = free["offer"].tolist()
         prices = {k: float(p) for k, p in enumerate(free["price"]) if p == p and p is not None}
         labels = ["" if x is None or x != x else x for x in free["label"]]
         pools = {None: _Offers(list(range(len(free))), prices)}
         taken: set[int] = set()
+        mine = w.sort_values("position")
         out = []
-        for row in w.sort_values("position").itertuples():
+        for row in mine.itertuples():
+            if len(taken) == len(ids):
+                break
             named = row.label if isinstance(row.label, str) else None
             if named not in pools:
                 pools[named] = _Offers([k for k, x in enumerate(labels) if x.startswith(named)], prices)
@@ -221,8 +225,10 @@ def claim_once(wanted: DataFrame, offers: DataFrame, area: str, schema: str, mos
                 taken.add(pick)
                 for pool in pools.values():
                     pool.drop(pick)
-            out.append((getattr(row, area), row.position, free["offer"][pick] if pick is not None else None))
-        return pd.DataFrame(out, columns=[area, "position", "offer"]).astype({"offer": "Int64"})
+            out.append(ids[pick] if pick is not None else None)
+        # Nothing is left for those after the last that was looked at.
+        out += [None] * (len(mine) - len(out))
+        return pd.DataFrame({area: mine[area], "position": mine["position"], "offer": pd.array(out, "Int64")})
 
     sizes = wanted.groupBy(area).agg(F.count(F.lit(1)).alias("__n")).unionByName(offers.groupBy(area).agg(F.count(F.lit(1)).alias("__n")))
     large = kept_small(sizes.where(F.col(area).isNotNull()).groupBy(area).agg(F.sum("__n").alias("__n")).where(F.col("__n") > most).select(area), "large-areas")
