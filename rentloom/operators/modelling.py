@@ -119,16 +119,18 @@ class LeafQuantiles:
         np.maximum.at(most, part, high)
         return shares, least, most
 
-    def transform(self, df: DataFrame, key: str) -> DataFrame:
-        """(key, q0, q1, ...)."""
+    def _quantiles(self) -> Column:
+        """An array of a row's quantiles, from its leaves."""
         shares, least, most = self._histograms()
         points = np.array(self.quantiles)
 
         @F.pandas_udf("array<double>")
         def weighted(leaves: pd.Series) -> pd.Series:
+            # Rows that share all their leaves share the quantiles; with few and shallow trees most do.
+            every, place = np.unique(np.stack(leaves.to_numpy()).astype(np.int64), axis=0, return_inverse=True) if len(leaves) else (np.zeros((0, 1), np.int64), [])
             out = []
-            for k in range(0, len(leaves), 1000):
-                leaf = np.stack(leaves.iloc[k : k + 1000].to_numpy()).astype(np.int64)
+            for k in range(0, len(every), 1000):
+                leaf = every[k : k + 1000]
                 sample = shares[np.arange(leaf.shape[1]), leaf].mean(1).astype(float)
                 upto = np.cumsum(sample, 1)
                 upto /= upto[:, -1:]
@@ -136,10 +138,20 @@ class LeafQuantiles:
                     at = np.minimum(np.searchsorted(row, points), len(row) - 1)
                     share = np.clip(1 - (row[at] - points) / np.maximum(own[at], 1e-12), 0, 1)
                     out.append(least[at] + (most[at] - least[at]) * share)
-            return pd.Series(out)
+            return pd.Series([out[k] for k in np.ravel(place)], dtype=object)
+
+        return weighted(vector_to_array("__leaf"))
 
-        found = self.model.transform(df).select(key, weighted(vector_to_array("__leaf")).alias("__q"))
-        return found.select(key, *[F.col("__q")[k].alias(f"q{k}") for k in range(len(self.quantiles))])
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows with q0, q1, ... beside their own columns."""
+        quantiles = self._quantiles()
+        forest = self.model.copy({self.model.predictionCol: "__forest"})
+        found = forest.transform(df).withColumn("__q", quantiles)
+        return found.select(*df.columns, *[F.col("__q")[k].alias(f"q{k}") for k in range(len(self.quantiles))])
+
+    def transform(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, q0, q1, ...)."""
+        return self.add(df).select(key, *[f"q{k}" for k in range(len(self.quantiles))])
 
 
 def baseline_cv(df: DataFrame, index: str, target: str, fold: str) -> DataFrame:
@@ -196,12 +208,12 @@ def conformal(df: DataFrame, actual: str, low: str, high: str, share: float = 0.
 
 
 def predict(df: DataFrame, point: PipelineModel, band: LeafQuantiles | None, key: str) -> DataFrame:
-    """Adds predicted_rent_usd and, with a band, fair_rent_p25 and fair_rent_p75."""
+    """Adds predicted_rent_usd and, with a band, fair_rent_p25 and fair_rent_p75. A row gets its band where it is: none is
+    shuffled, and keys may be null or come twice."""
     out = point.transform(df).withColumn("predicted_rent_usd", N.from_log("prediction"))
     if band is None:
         return out
-    q = band.transform(out.select(key, "features"), key)
-    return out.join(q, key, "left").withColumns({"fair_rent_p25": N.from_log("q0"), "fair_rent_p75": N.from_log("q1")}).drop("q0", "q1")
+    return band.add(out).withColumns({"fair_rent_p25": N.from_log("q0"), "fair_rent_p75": N.from_log("q1")}).drop("q0", "q1")
 
 
 def flag_overpriced(df: DataFrame, actual: str, predicted: str, p75: str | None = None, dollars: float = 250.0, share: float = 0.10) -> DataFrame:

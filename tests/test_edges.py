@@ -366,6 +366,21 @@ def test_contributions_are_changes_of_the_prediction(spark):
         assert len(got) == 150
 
 
+def test_bands_come_without_a_join(spark):
+    """Each row has the band of its leaves, whatever its key is, and nothing is shuffled for it."""
+    rng = random.Random(8)
+    rows = [(None if k < 2 else k // 2, rng.choice("ab"), float(k % 4), 1000.0 + 400 * (k % 4) + 50 * rng.random()) for k in range(120)]
+    data = M.model_input(spark.createDataFrame(rows, "key int, zip string, beds double, rent double"), "zip", ["beds"], "rent")
+    point = M.point_pipeline("zip", ["beds"], rounds=2).fit(data)
+    band = M.LeafQuantiles([0.25, 0.75], trees=3, depth=2).fit(point.transform(data).select("features", "label"))
+    out = M.predict(data, point, band, "key")
+    got = out.select("zip", "beds", "fair_rent_p25", "fair_rent_p75").collect()
+    assert len(got) == 120 and all(0 < r.fair_rent_p25 <= r.fair_rent_p75 for r in got)
+    assert len({tuple(r) for r in got}) == len({(r.zip, r.beds) for r in got})
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert band.transform(point.transform(data).limit(0), "key").collect() == []
+
+
 @pytest.mark.parametrize("seed, block", [(1, 6), (4, 20)])
 def test_claims_in_rounds(spark, seed, block):
     """A large area in blocks of a few offers gets what choosing in turn gives."""
