@@ -316,13 +316,15 @@ def class_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for _ in range(ROUNDS):
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg((-F.count(F.lit(1))).alias("d"))
-        placed = materialize(_enough(_still_apart(_placed(blocks, links)), nodes), "jaccard-placed")
+        mixed = materialize(_still_apart(_placed(blocks, links)), "jaccard-mixed")
+        placed = materialize(_enough(mixed, nodes), "jaccard-placed")
         ranked = placed.join(degree, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
         more = materialize(star_pairs(ranked, F.col("d"), nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
         links = materialize(links.unionByName(verified(more, sets)), "jaccard-links")
         tried = tried.unionByName(more)
     # Holders of one block that are still apart, as far as they have enough such blocks for a link, all with all.
-    apart = materialize(_enough(_still_apart(_placed(placed, links)), nodes), "jaccard-apart")
+    mixed = materialize(_still_apart(_placed(placed, links)), "jaccard-mixed")
+    apart = materialize(_enough(mixed, nodes), "jaccard-apart")
     rest = materialize(apart_pairs(apart, nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     found = links.unionByName(verified(rest, sets))
     names = lambda k: nodes.select(F.col("node").alias(k), F.col("cls").alias(f"cls_{k}"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rentloom.llm.common import packed, pinned, quoted, unpacked
+from rentloom.llm.common import materialize, packed, pinned, quoted, unpacked
 
 RUN_LINES = 3
 LONG_WORDS = 50
@@ -66,7 +66,10 @@ def _later(windows: DataFrame, key: list[str]) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN_LINES, words: int | None = LONG_WORDS) -> DataFrame:
     """Maximal repeated runs: id, t, first_id, first_line, start, stop (lines, stop exclusive). Runs of fewer lines than
-    ``run`` need more than ``words`` words; None leaves them out."""
+    ``run`` need more than ``words`` words; None leaves them out.
+
+    Windows that are followed up are written down, as they are read twice: else the plan would hold their making twice,
+    and large plans are what the driver's memory goes to."""
     marks = fingerprints(docs, id_col, text_col, run)
     again = marks.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f")
     windows = (
@@ -74,9 +77,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("id", "t", "f", "lo", "near", F.explode(F.expr(f"sequence(0, size(near) - {run})")).alias("j"))
         .select("id", "t", "f", (F.col("lo") + F.col("j")).alias("line"), F.lit(run).alias("n"), F.expr(f"xxhash64(slice(near, j + 1, {run}))").alias("g"))
     )
-    later = _later(windows, ["f", "g"])
+    later = _later(materialize(windows, "line-windows"), ["f", "g"])
     if words is not None and run > 1:
-        later = later.unionByName(_later(long_windows(docs, id_col, text_col, run, words), ["n", "g"]))
+        later = later.unionByName(_later(materialize(long_windows(docs, id_col, text_col, run, words), "line-long-windows"), ["n", "g"]))
     along = W.partitionBy("id", "t", "first_id", "first_t", "shift", "n").orderBy("line")
     return (
         later.select("id", "t", "line", "n", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"), (F.col("line") - F.col("first.line")).alias("shift"))

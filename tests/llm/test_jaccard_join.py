@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from rentloom.llm import components as C
 from rentloom.llm.components import components
 from rentloom.llm.jaccard_join import near_duplicates
 
@@ -60,3 +61,19 @@ def test_components_of_a_chain(spark):
     links = spark.range(1, 41).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.node: r.component for r in components(links).collect()}
     assert got == dict.fromkeys(range(1, 42), 1) | {100: 100, 101: 100}
+
+
+def test_components_plan_little(spark, monkeypatch):
+    """The driver's memory goes to plans: no step has more than three exchanges by key, and stars take no round."""
+    plans, write = [], C.materialize
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, name)
+
+    monkeypatch.setattr(C, "materialize", written)
+    stars = spark.createDataFrame([(2, 1), (1, 3), (5, 4), (5, 5), (4, 6)], "a long, b long")
+    assert {r.node: r.component for r in components(stars).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+    assert len(plans) == 2
+    components(spark.range(20).selectExpr("id AS a", "id + 1 AS b"))
+    assert len(plans) > 4 and max(plans) <= 3

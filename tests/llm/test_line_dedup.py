@@ -47,3 +47,11 @@ def test_long_runs_of_few_lines(spark, documents):
     # Fifty words are not enough.
     assert got[8] == (1, 0, rows[7][1])
     assert {r.doc_id for r in line_dedup(docs, words=None).where("n_removed > 0").collect()} == set()
+
+
+def test_windows_are_planned_once(spark, documents):
+    """The driver's memory goes to plans: what makes the windows is not part of the plan that reads them twice."""
+    docs = documents([(1, "a\nb\nc"), (2, "a\nb\nc\nd")])
+    plan = line_dedup(docs)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Generate ") <= 2
+    assert {r.doc_id: r.n_removed for r in plan.collect()} == {1: 0, 2: 3}
