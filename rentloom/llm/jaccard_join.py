@@ -13,8 +13,8 @@ that band too. Equal sets are one class throughout, so copies cost nothing.
 
 Within a block's holders each is first compared with one only, one of a few with the fewest blocks that recur nowhere.
 Components are formed of the links found, and holders that are still apart are compared with the one that has the most
-links, which is what copies were made of rather than a changed copy; after that only holders in different components remain
-to be compared, all with all.
+links, which is what copies were made of rather than a changed copy; after that only holders in different components
+remain, and those are looked up by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.chunks import bucket_count, pack_keys, unpack_keys, with_recurring
+from rentloom.llm.chunks import pack_keys, unpack_keys, with_recurring
 from rentloom.llm.common import buffer_of, lower_ascii, materialize, mix, packed, prefix_hash, quoted, slices, stretch_hash, unpacked, word_bounds
 from rentloom.llm.components import components
 
@@ -33,7 +33,6 @@ PERCENT = 80
 CHUNK = 2 << 20
 KEY_BITS = 48
 HUBS = 4
-FAMILY_BLOCK = 500
 ROUNDS = 1
 U = np.uint64
 
@@ -322,70 +321,52 @@ def class_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         more = materialize(star_pairs(ranked, F.col("d"), nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
         links = materialize(links.unionByName(verified(more, sets)), "jaccard-links")
         tried = tried.unionByName(more)
-    # Holders of one block that are still apart, as far as they have enough such blocks for a link, all with all.
+    # Holders of one block that are still apart, as far as they have enough such blocks for a link.
     mixed = materialize(_still_apart(_placed(placed, links)), "jaccard-mixed")
     apart = materialize(_enough(mixed, nodes), "jaccard-apart")
-    rest = materialize(apart_pairs(apart, nodes).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialize(apart_pairs(apart, nodes, sets).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     found = links.unionByName(verified(rest, sets))
     names = lambda k: nodes.select(F.col("node").alias(k), F.col("cls").alias(f"cls_{k}"))
     return found.join(names("a"), "a").join(names("b"), "b").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
 
-def apart_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that the sketches allow, among all holders of common blocks.
+def apart_pairs(apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components whose sets can be linked, by the rarest shingles of each.
 
-    Holders that blocks connect are a family. A family is dealt out in blocks of FAMILY_BLOCK sets, and each pair of
-    them is compared in one task, as a product of matrices; only pairs that the bound allows leave it.
+    Shingles that only one component holds can't be in a link's overlap. Each set's shingles are put in one order for all:
+    those first, then the others by their number of holders. From the first shingle that two linked sets share, that one
+    included, each has as many left as they share in all, so a set is looked up by its first shingles only, and the smaller
+    set of a pair by fewer still. Pairs that these places don't allow are dropped within the join.
     """
-    least = apart.groupBy("key").agg(F.min("node").alias("a"))
-    family = components(apart.join(least, "key").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "family")
-    held = apart.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("c").alias("c"))
-    rows = materialize(held.join(nodes.select("node", "n", "own", "f0", "f1"), "node").join(family, "node"), "jaccard-families")
-    dealt = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("long").alias("parts"))
-    placed = rows.join(dealt, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    # Small families share tasks.
-    deal = F.when(F.col("parts") > 1, F.xxhash64("family", lo, hi)).otherwise(F.pmod(F.xxhash64("family"), F.lit(bucket_count(apart))))
-    placed = placed.select(deal.alias("deal"), "family", lo.alias("lo"), hi.alias("hi"), "i", "node", "c", "n", "own", "f0", "f1", "keys")
-    return placed.groupBy("deal").applyInArrow(_compare, "a long, b long")
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    out_a, out_b = [], []
-    group = np.stack([table.column(k).to_numpy() for k in ("family", "lo", "hi")], 1)
-    _, which = np.unique(group, axis=0, return_inverse=True)
-    order = np.argsort(which.ravel(), kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1):
-        part = table.take(pa.array(rows))
-        node, c, n, own, f0, f1, i, lo, hi = (part.column(k).to_numpy() for k in ("node", "c", "n", "own", "f0", "f1", "i", "lo", "hi"))
-        lists = part.column("keys").combine_chunks()
-        key = lists.flatten().to_numpy()
-        at = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-        values, column, times = np.unique(key, return_inverse=True, return_counts=True)
-        common = times[column] > 1
-        at, column = at[common], column[common]
-        x, y = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
-        shared = np.zeros((2, len(x), len(y)), np.float32)
-        step = 4096
-        for first in range(0, len(values), step):
-            for odd in (0, 1):
-                pick = (column >= first) & (column < first + step) & (values[column] % 2 == odd)
-                if pick.any():
-                    held = np.zeros((len(node), step), np.float32)
-                    held[at[pick], column[pick] - first] = 1
-                    shared[odd] += held[x] @ held[y].T
-        na, nb, oa, ob = n[x][:, None], n[y][None], own[x][:, None], own[y][None]
-        most = ((na + nb) * (100 - PERCENT)) // (100 + PERCENT)
-        fa = np.where(oa > ob, f1[x][:, None], f0[x][:, None])
-        fb = np.where(ob > oa, f1[y][None], f0[y][None])
-        both = np.where(np.minimum(oa, ob) % 2 == 1, shared[1], shared[0])
-        ok = (np.maximum(fa, fb) - both <= most) & (both > 0) & (c[x][:, None] != c[y][None]) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT)
-        r, k = np.nonzero(ok)
-        out_a.append(np.minimum(node[x[r]], node[y[k]]))
-        out_b.append(np.maximum(node[x[r]], node[y[k]]))
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    once = np.unique(np.stack([a, b], 1), axis=0)
-    return pa.table({"a": pa.array(once[:, 0], pa.int64()), "b": pa.array(once[:, 1], pa.int64())})
+    placed = apart.select("node", "c").distinct().join(nodes.select("node", "n"), "node")
+    held = materialize(sets.join(placed, "node").dropDuplicates(["node"]), "jaccard-held")
+    rows = held.select("node", "c", "shingles").mapInArrow(_listed, "key long, node long, c long")
+    # Keys are counted before they are shuffled, and joined from a table, so that a common one can be dealt to many tasks.
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("x"), F.max("c").alias("y"))
+    common = materialize(counted.where("x != y").select("key", "df"), "jaccard-common")
+    own = rows.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
+    able = own.join(held.select("node", "c", "n"), "node").withColumn("s", F.size("own").cast("long")).where(F.col("s") * 100 >= F.col("n") * PERCENT)
+    # A set of n shares n PERCENT / 100 shingles at least with a linked set, and 2 n PERCENT / (100 + PERCENT) if that is as large.
+    first = F.expr(f"n * {100 - PERCENT} div 100 + 1 - (n - s)")
+    looked = able.select("node", "c", "n", "s", F.posexplode(F.slice("own", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("at", "x"))
+    prefixes = materialize(looked.select(F.col("x.key").alias("key"), "node", "c", "n", "s", (F.col("n") - F.col("s") + F.col("at")).alias("at")), "jaccard-prefixes")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "c", "n", "s", "at")]
+    less = prefixes.where(F.expr(f"at <= n * {100 - PERCENT} div {100 + PERCENT}")).select("key", *side("a"))
+    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    overlap = F.least("s_a", "s_b", F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    alike = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (overlap * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+    met = less.join(prefixes.select("key", *side("b")), "key").where((F.col("c_a") != F.col("c_b")) & before & alike)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _listed(batches):
+    """A row for each shingle of a set."""
+    for batch in batches:
+        for part in slices(batch, "shingles"):
+            held = [unpack_keys(x.as_py()) for x in part.column("shingles")]
+            at = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            key = pa.array(np.concatenate(held).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, part.column("node").take(pa.array(at)), part.column("c").take(pa.array(at))], names=["key", "node", "c"])
 
 
 def _placed(blocks: DataFrame, links: DataFrame) -> DataFrame:

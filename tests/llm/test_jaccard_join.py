@@ -1,11 +1,15 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rentloom.llm import components as C
+from rentloom.llm import jaccard_join as J
+from rentloom.llm.chunks import pack_keys
 from rentloom.llm.components import components
-from rentloom.llm.jaccard_join import near_duplicates
+from rentloom.llm.jaccard_join import apart_pairs, near_duplicates
 
 
 def brute(rows):
@@ -77,3 +81,39 @@ def test_components_plan_little(spark, monkeypatch):
     assert len(plans) == 2
     components(spark.range(20).selectExpr("id AS a", "id + 1 AS b"))
     assert len(plans) > 4 and max(plans) <= 3
+
+
+def test_rarest_shingles_lose_no_link(spark):
+    """Every pair of different components that is linked, also just so, is found by the first shingles of its sets."""
+    rng = random.Random(5)
+    sets = []
+    for _ in range(160):
+        base = list(rng.choice(sets)) if sets and rng.random() < 0.8 else [rng.randrange(400) for _ in range(rng.randrange(1, 60))]
+        held = set(base[: len(base) - rng.randrange(0, 1 + len(base) // 6)]) | {rng.randrange(400) for _ in range(rng.randrange(0, 1 + len(base) // 8))}
+        sets.append(held or {1})
+    sets += [set(range(1000, 1008)), set(range(1000, 1010)), set(range(1000, 1009)) | {2000}, set(range(1000, 1009)) | {2001}]
+    rows = [(k, len(x), k % 150, pack_keys(np.array(sorted(x), np.uint64))) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, n int, c long, shingles binary")
+    got = {tuple(r) for r in apart_pairs(df.select("node", "c", F.lit(1).alias("key")), df.select("node", "n"), df.select("node", "shingles")).collect()}
+    able = [(a, b) for b in range(len(sets)) for a in range(b) if a % 150 != b % 150]
+    linked = {(a, b) for a, b in able if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked <= got <= set(able) and len(linked) > 20
+    edge = len(sets) - 4
+    assert (edge, edge + 1) in linked and (edge + 2, edge + 3) in linked
+
+
+def test_a_family_without_links_gives_no_pairs(spark, documents, monkeypatch):
+    """Sets that share a passage and have too much of their own are told apart by that, not compared all with all."""
+    rng = random.Random(1)
+    passage = [f"p{k}" for k in range(86)]
+    rows = [(i, " ".join(passage + [f"own{rng.randrange(10**9)}" for _ in range(18)])) for i in range(60)]
+    tables, write = {}, J.materialize
+
+    def written(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(J, "materialize", written)
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert tables["jaccard-apart"].count() > 0 and tables["jaccard-rest"].count() == 0
