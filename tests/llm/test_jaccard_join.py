@@ -117,3 +117,21 @@ def test_a_family_without_links_gives_no_pairs(spark, documents, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_duplicates(documents(rows)).collect()}
     assert got == {i: i for i, _ in rows}
     assert tables["jaccard-apart"].count() > 0 and tables["jaccard-rest"].count() == 0
+
+
+def test_the_stage_tells_a_family_apart_by_few_pairs(spark, documents, monkeypatch):
+    rng = random.Random(2)
+    passage = [f"p{k}" for k in range(86)]
+    rows = [(i, " ".join(passage + [f"own{rng.randrange(10**9)}" for _ in range(18)])) for i in range(60)]
+    rows.append((99, rows[7][1] + " more"))
+    pairs, write = [], J.materialize
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "jaccard-rest":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", written)
+    kept = sorted(r.doc_id for r in J.without_near_duplicates(documents(rows)).collect())
+    assert kept == list(range(60)) and len(pairs) == 1 and pairs[0] <= 1
