@@ -334,8 +334,8 @@ def model_rows(spark, sf_dir):
 @query()
 def gbt_predict(spark, sf_dir):
     rows, num = model_rows(spark, sf_dir)
-    model = M.point_pipeline("o_orderpriority", num, rounds=5).fit(rows)
-    band = M.LeafQuantiles([0.25, 0.75], trees=5, depth=4).fit(model.transform(rows).select("features", "label"))
+    model = M.point_pipeline("o_orderpriority", num).fit(rows)
+    band = M.LeafQuantiles([0.25, 0.75]).fit(model.transform(rows).select("features", "label"))
     out = M.predict(rows, model, band, "o_orderkey")
     return M.flag_overpriced(out, "o_totalprice", "predicted_rent_usd", "fair_rent_p75").select("o_orderkey", "predicted_rent_usd", "fair_rent_p25", "fair_rent_p75", "flag_overpriced")
 
@@ -343,7 +343,7 @@ def gbt_predict(spark, sf_dir):
 @query()
 def feature_contributions(spark, sf_dir):
     rows, num = model_rows(spark, sf_dir)
-    model = M.point_pipeline("o_orderpriority", num, rounds=5).fit(rows)
+    model = M.point_pipeline("o_orderpriority", num).fit(rows)
     return M.contributions(rows, model, num, "o_orderkey", 2)
 
 

@@ -115,3 +115,24 @@ def test_payloads_are_read_once(spark):
     assert len(got) == 30 and sorted(r.offer for r in got.values() if r.offer is not None) == list(range(6))
     assert all(r.offer is None or (r.zip_code == f"0000{r.offer % 2}" and r.position < 18) for r in got.values())
     assert [got[k].name_of for k in range(3)] == [None, "true", "None"] and got[4].lat == 1.0 and got[3].listing_id == "L003"
+
+
+def test_models_are_fitted_in_full(spark, monkeypatch):
+    """The queries that give a model's predictions train with the operators' own rounds and trees."""
+    rounds, trees, whole, bands = [], [], M.point_pipeline, M.LeafQuantiles
+
+    def small(*args, **kw):
+        rounds.append(whole(*args, **kw).getStages()[-1].getMaxIter())
+        return whole(*args, **kw | {"rounds": 2})
+
+    def few(*args, **kw):
+        band = bands(*args, **kw)
+        trees.append((band.trees, band.depth))
+        return bands(*args, **kw | {"trees": 2, "depth": 2})
+
+    monkeypatch.setattr(M, "point_pipeline", small)
+    monkeypatch.setattr(M, "LeafQuantiles", few)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert Q.gbt_predict(spark, sf).count() == n and Q.feature_contributions(spark, sf).count() == 2 * n
+    assert rounds == [220, 220] and trees == [(20, 5)]
